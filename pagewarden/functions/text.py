@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Whitespace as str.strip sees it: Unicode white space plus U+001C..U+001F.
 _STRIP_SPACE = r"[\s\x1c-\x1f]"
 # Whitespace as a browser script sees it.
-_JS_SPACE = r"[\s\x0b   -     　﻿]"
+_JS_SPACE = r"[\s\x0b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 JS_SPACE_CLASS = _JS_SPACE
 
 
