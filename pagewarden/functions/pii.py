@@ -45,7 +45,7 @@ def _matches(name: str, text: Column, digits: Column) -> Column:
     return F.when(possible, found).otherwise(F.array().cast("array<string>"))
 
 
-def _prefix_sums(lengths: Column) -> Column:
+def prefix_sums(lengths: Column) -> Column:
     """Exclusive running sums of an array, blockwise so long arrays stay cheap."""
     zero = F.lit(0)
 
@@ -93,7 +93,7 @@ def _spans(name: str, number: int, text: Column, digits: Column) -> Column:
             lambda g, v: F.length(F.coalesce(g, F.lit("")))
             + F.length(F.coalesce(v, F.lit(""))),
         )
-        ends = let(steps, lambda s: F.zip_with(_prefix_sums(s), s, lambda a, b: a + b))
+        ends = let(steps, lambda s: F.zip_with(prefix_sums(s), s, lambda a, b: a + b))
         spans = let(
             ends,
             lambda e: F.transform(
