@@ -265,3 +265,126 @@ def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
         "named_struct('x', 10 * word_no, 'y', 20 * line_num, "
         "'width', 10 * length(text), 'height', 18) as box",
     )
+
+
+# Closed-loop log: one task per user, one planning cycle per event.
+LOOP_TASK = (
+    "case user_id % 6 when 0 then 'type Ann into the NAME and click Search' "
+    "when 1 then 'click the Search' when 2 then 'type \"Bob\" into Email' when 3 then 'read the page' "
+    "when 4 then 'Type ''5 '' into phone and then click the login' else 'press missing' end"
+)
+LOOP_PLAN = (
+    "case when event_id % 11 = 0 then '[]' when event_id % 17 = 1 then 'no plan' "
+    "else case user_id % 6 "
+    "when 0 then case when cycle = 1 then '[{\"action\":\"type\",\"target\":\" Name\",\"value\":\"Ann\"}]' "
+    "else '[{\"action\":\"click\",\"target\":\"history\"},{\"action\":\"click\",\"target\":\"search\"}]' end "
+    "when 1 then '[{\"action\":\"click\",\"target\":\"Go\"}]' "
+    "when 2 then case when event_id % 7 = 0 then '[{\"action\":\"click\",\"target\":\"Email\"}]' "
+    "else '[{\"action\":\"type\",\"target\":\"Email\",\"value\":\"zzz\"}]' end "
+    "when 3 then case event_id % 4 when 0 then '[{\"action\":\"click\",\"target\":\"History\"}]' "
+    "when 1 then '[{\"action\":\"type\",\"target\":\"Phone\",\"value\":\"v\"}]' "
+    "when 2 then '[{\"action\":\"click\",\"target\":\"login\"}]' "
+    "else case when event_id % 3 = 0 then '[{\"action\":\"select\",\"target\":\"Country\",\"value\":\"IN\"}]' "
+    "when event_id % 3 = 1 then '[{\"action\":\"click\",\"target\":\"A\"},{\"action\":\"click\",\"target\":\"B\"}]' "
+    "else '[{\"action\":\"type\",\"target\":\"input[name=email]\",\"value\":\"v\"}]' end end "
+    "when 4 then case when cycle = 1 then '[{\"action\":\"type\",\"target\":\"phone\",\"value\":\"5\"}]' "
+    "else '[{\"action\":\"click\",\"target\":\"Login\"}]' end "
+    "else '[{\"action\":\"click\",\"target\":\"x\"}]' end end"
+)
+LOOP_ELAPSED = "5 * cycle + 2 * (user_id % 60)"
+LOOP_EXECUTED = "event_id % 19 <> 0"
+LOOP_VALUE_AFTER = "case when event_id % 13 = 0 then 'other' else chosen_value end"
+# A valid loop ends by its seventh cycle, so later rows of a task cannot count.
+LOOP_LAST_CYCLE = 7
+
+
+def loop_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First cycles of each task; the rank limit is applied before the exchange."""
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = read_table(spark, sf_dir, "events").withColumn("cycle", F.row_number().over(order))
+    rows = rows.filter(F.col("cycle") <= LOOP_LAST_CYCLE)
+    return rows.selectExpr(
+        "event_id", "user_id as task_id", "user_id as page_id", "ts", "cycle",
+        f"{LOOP_TASK} as task", f"{LOOP_PLAN} as model_text", f"{LOOP_ELAPSED} as elapsed_s",
+        f"{LOOP_EXECUTED} as executed",
+    )
+
+
+# Field values after an event: three fields of the event's page.
+FIELD_AFTER_ROWS = (
+    ("2", "'input'", "'Enter your name'", "''", "'name'", "'name'",
+     f"case when event_id % 4 = 0 then 'other' else {ACTION_VALUE} end"),
+    ("3", "'input'", "'Email'", "''", "'email'", "'email'", f"coalesce({ACTION_VALUE}, '')"),
+    ("9", "'textarea'", "''", "'Notes'", "'Enter your name'", "'notes'", f"coalesce({ACTION_VALUE}, '')"),
+)
+
+
+def fields_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ", ".join(
+        f"named_struct('ord', {o}, 'tag', {t}, 'placeholder', {p}, 'aria_label', {a}, "
+        f"'name', {n}, 'id', {i}, 'value', {v})"
+        for o, t, p, a, n, i, v in FIELD_AFTER_ROWS
+    )
+    return read_table(spark, sf_dir, "events").selectExpr("event_id", f"inline(array({rows}))")
+
+
+CLICK_ATTRIBUTES = {
+    "aria_expanded": "case when ord % 2 = 1 then 'false' else '' end",
+    "aria_pressed": "''",
+    "class": "'btn c' || cast(page_id % 3 as string)",
+}
+
+
+def click_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured elements with the attributes a click may change."""
+    return form_elements(spark, sf_dir).withColumns(
+        {name: F.expr(value) for name, value in CLICK_ATTRIBUTES.items()}
+    )
+
+
+def click_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State before and after each click; what changes depends on the event."""
+    clicks = actions(spark, sf_dir).filter("event_type = 'click'")
+    before = clicks.selectExpr(
+        "event_id", "'before' as phase", "'http://a.example/' || cast(page_id as string) as url",
+        "'text' as body_text", "'<p>text</p>' as body_html",
+        "case when event_id % 17 <> 0 then named_struct('visible', true, 'enabled', event_id % 3 <> 0, "
+        "'aria_expanded', 'false', 'aria_pressed', '', 'class', 'btn') end as target",
+    )
+    after = clicks.selectExpr(
+        "event_id", "'after' as phase",
+        "'http://a.example/' || cast(page_id as string) || case when event_id % 7 = 0 then '/next' else '' end as url",
+        "case when event_id % 7 = 1 then 'other' else 'text' end as body_text",
+        "case when event_id % 7 = 2 then '<p>other</p>' else '<p>text</p>' end as body_html",
+        "case when event_id % 23 <> 0 then named_struct('visible', true, 'enabled', event_id % 3 <> 0, "
+        "'aria_expanded', case when event_id % 7 = 3 then 'true' else 'false' end, 'aria_pressed', '', "
+        "'class', case when event_id % 7 = 4 then 'btn on' else 'btn' end) end as target",
+    )
+    return before.unionByName(after)
+
+
+# Extension cycles: what the agent answered and what came of it, per event.
+CYCLE_COLUMNS = {
+    "agent_status": "case when event_id % 29 = 0 then null when event_id % 13 = 0 then 'blocked' else 'ready' end",
+    "agent_reason": "case when event_id % 26 = 0 then 'Typing a Password is blocked' "
+    "when event_id % 39 = 0 then 'information that only the user can provide' else '' end",
+    "n_actions": "event_id % 31",
+    "executed": "event_id % 37 <> 0",
+    "verified": "case when event_id % 5 = 0 then null else event_id % 41 <> 0 end",
+    "after_text": "case when event_id % 9 = 0 then 'Search Completed' else 'Task Completed soon' end",
+}
+
+
+def popup_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First cycles per (user, day) task as the extension logs them."""
+    from pyspark.sql import Window as W
+
+    log = actions(spark, sf_dir).withColumn(
+        "task_id", F.expr("task_id * 100 + day(ts)").cast("bigint")
+    )
+    ranked = log.withColumn(
+        "cycle", F.row_number().over(W.partitionBy("task_id").orderBy("ts", "event_id"))
+    ).filter(F.col("cycle") <= 5)
+    return ranked.withColumns({n: F.expr(v) for n, v in CYCLE_COLUMNS.items()})
