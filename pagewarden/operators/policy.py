@@ -521,5 +521,7 @@ def task_counters(log: DataFrame) -> DataFrame:
     return log.groupBy("task_id").agg(
         F.count(F.lit(1)).alias("actions"),
         F.count_if("is_replan").alias("replans"),
-        (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).alias("runtime_us"),
+        (
+            F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))
+        ).alias("runtime_us"),
     )

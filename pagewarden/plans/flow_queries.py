@@ -1 +1,38 @@
-QUERIES = {}
+"""Registered queries over the composed flows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pagewarden.plans import flows
+from pagewarden.plans.policy_queries import _first_action
+from pagewarden.plans.target_queries import _elements
+from pagewarden.plans.task_queries import context_elements
+from pagewarden.sources import derived as D
+
+
+def inspect_batch(spark, sf):
+    pages, elements = flows.inspect_batch(D.payloads(spark, sf))
+    per_page = elements.groupBy("page_id").agg(
+        F.count(F.lit(1)).alias("elements"), F.count_if(F.col("value").startswith("[")).alias("masked")
+    )
+    return pages.join(per_page, "page_id", "left").select(
+        "page_id", "url", "page_text", "findings", F.array_join("types", ",").alias("types"),
+        F.coalesce("elements", F.lit(0)).alias("elements"), F.coalesce("masked", F.lit(0)).alias("masked"),
+    )
+
+
+def agent_decision_batch(spark, sf):
+    rows = flows.agent_decisions(D.model_texts(spark, sf), context_elements(spark, sf))
+    return rows.select("event_id", "success", "error", "status", "reason", *_first_action("actions"))
+
+
+def loop_replay(spark, sf):
+    return flows.loop_replay(D.loop_cycles(spark, sf), _elements(spark, sf), D.LOOP_VALUE_AFTER)
+
+
+QUERIES = {
+    "inspect_batch": inspect_batch,
+    "agent_decision_batch": agent_decision_batch,
+    "loop_replay": loop_replay,
+}

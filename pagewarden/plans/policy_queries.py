@@ -1 +1,245 @@
-QUERIES = {}
+"""Registered queries over validation, policy and audit."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pagewarden.functions.numbering import number_within
+from pagewarden.functions.text import js_trim
+from pagewarden.operators import policy as O
+from pagewarden.operators.targets import canonical_actions
+from pagewarden.operators.tasks import page_shows_success
+from pagewarden.plans import flows
+from pagewarden.plans.target_queries import OPTION_VALUE, _elements
+from pagewarden.sources import derived as D
+from pagewarden.sources import pages as P
+
+
+def validate_action(spark, sf):
+    rows = O.validate_action(D.actions(spark, sf), _elements(spark, sf))
+    return rows.select("event_id", "canonical", "valid", "message")
+
+
+def _validated_plans(spark, sf):
+    """A plan is a user's day; steps follow the log."""
+    log = D.actions(spark, sf).withColumn("plan_day", F.dayofmonth("ts"))
+    steps = number_within(log, ["task_id", "plan_day"], F.hour("ts"), ["ts", "event_id"], "step")
+    return O.validate_action(steps, _elements(spark, sf))
+
+
+def validate_plan(spark, sf):
+    return O.validate_plan(_validated_plans(spark, sf), ["task_id", "plan_day"])
+
+
+def validate_plan_errors(spark, sf):
+    return O.plan_errors(_validated_plans(spark, sf)).select("task_id", "plan_day", "step", "error")
+
+
+def _first_action(actions="plan_actions"):
+    first = F.get(actions, F.lit(0))
+    return [
+        F.size(actions).alias("n_actions"), first["action"].alias("action"),
+        first["target"].alias("target"), first["value"].alias("value"),
+    ]
+
+
+def validate_model_plan(spark, sf):
+    rows = O.validate_model_plan(P.parse_plan_object(D.model_texts(spark, sf)))
+    return rows.select("event_id", "plan_status", "plan_reason", *_first_action())
+
+
+def action_policy(spark, sf):
+    return O.action_policy(D.actions(spark, sf)).select("event_id", "action", "allowed", "reason")
+
+
+def domain_policy(spark, sf):
+    forms = D.form_pages(spark, sf).select(F.lit("form").alias("source"), "page_id", "url")
+    pages = D.read_table(spark, sf, "pages").select(F.lit("page").alias("source"), "page_id", "url")
+    return O.domain_policy(forms.unionByName(pages)).select("source", "page_id", "host", "allowed")
+
+
+def popup_policy(spark, sf):
+    return O.popup_policy(D.actions(spark, sf)).select("event_id", "allowed", "reason")
+
+
+def execution_preconditions(spark, sf):
+    rows = O.execution_preconditions(D.actions(spark, sf), D.form_elements(spark, sf), D.select_options(spark, sf))
+    return rows.select("event_id", "ready", "message")
+
+
+def navigate_url_check(spark, sf):
+    pages = D.form_pages(spark, sf).select("page_id", "url")
+    log = D.actions(spark, sf).drop("target").join(pages, "page_id").withColumnRenamed("url", "target")
+    return O.navigate_url_check(log).select("event_id", "ok")
+
+
+def _decided(spark, sf):
+    return flows.decided_cycles(D.loop_cycles(spark, sf), _elements(spark, sf))
+
+
+def sequence_step_match(spark, sf):
+    rows = _decided(spark, sf).filter(F.col("intent") == "sequence")
+    rows = rows.filter(F.col("planned").isNotNull() & (F.size("planned") > 0) & (F.col("step_index") < 2))
+    return rows.select(
+        "event_id", "step_index", (F.col("decision") == "act").alias("matched"),
+        F.col("chosen.action").alias("action"), F.col("chosen.target").alias("target"),
+    )
+
+
+def fallback_action(spark, sf):
+    rows = _decided(spark, sf).filter(F.size("planned") == 0)
+    return rows.select(
+        "event_id", "intent", "decision", F.col("chosen.action").alias("action"),
+        F.col("chosen.target").alias("target"), F.col("chosen.value").alias("value"),
+    )
+
+
+def intent_override(spark, sf):
+    rows = _decided(spark, sf).filter((F.col("intent") != "sequence") & (F.size("planned") > 0))
+    return rows.select(
+        "event_id", "intent", "decision", F.col("chosen.action").alias("action"),
+        F.col("chosen.target").alias("target"), F.col("chosen.value").alias("value"),
+    )
+
+
+# Elapsed seconds of a log row; its step number comes from the log order.
+ELAPSED = "5 * step + task_id % 60"
+
+
+def budget_log(spark, sf):
+    """Cycle starts of each task: the log in order, elapsed time by step."""
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("task_id").orderBy("ts", "event_id")
+    log = D.actions(spark, sf).withColumn("step", F.row_number().over(order)).filter(F.col("step") <= 21)
+    return log.select(
+        "task_id", "ts", "event_id", F.expr(ELAPSED).alias("elapsed_s"),
+        (F.col("event_type") == "view").alias("is_replan"),
+    )
+
+
+def budget_limits(spark, sf):
+    return O.budget_breaches(budget_log(spark, sf))
+
+
+def verify_type(spark, sf):
+    return O.verify_type(D.actions(spark, sf), D.fields_after(spark, sf))
+
+
+def click_state_capture(spark, sf):
+    requests = D.actions(spark, sf).filter(F.col("action") == "click")
+    return O.click_targets(requests, D.click_elements(spark, sf))
+
+
+def verify_click(spark, sf):
+    return O.verify_click(D.click_states(spark, sf))
+
+
+def verify_page_change(spark, sf):
+    """Extension side: page text and elements as nested values, before and after."""
+    states = D.click_states(spark, sf).select(
+        "event_id", "phase", "url", F.col("body_text").alias("page_text"), F.array("target").alias("elements")
+    )
+    return O.verify_page_change(states)
+
+
+VALUE_AFTER = "case when event_id % 4 = 0 then 'IN' when event_id % 4 = 1 then 'JP' when event_id % 4 = 2 then 'SEG' else '' end"
+
+
+def verify_select(spark, sf):
+    log = D.read_table(spark, sf, "events").filter("event_type = 'signup'").selectExpr(
+        "event_id", "user_id as page_id", f"{OPTION_VALUE} as value", f"{VALUE_AFTER} as value_after"
+    )
+    return O.verify_select(log, D.select_options(spark, sf)).select("event_id", "opt_value", "verified")
+
+
+def first_action_per_cycle(spark, sf):
+    log = D.actions(spark, sf).select("task_id", F.dayofmonth("ts").alias("cycle"), "ts", "event_id", "action", "target")
+    return O.first_action_per_cycle(log, ["task_id", "cycle"], ["ts", "event_id"]).select(
+        "task_id", "cycle", "event_id", "action", "target"
+    )
+
+
+def _popup_cycles(spark, sf):
+    cycles = D.popup_cycles(spark, sf)
+    canonical = canonical_actions(cycles, _elements(spark, sf))
+    rows = cycles.join(canonical, ["page_id", "action", "target"], "left").withColumn(
+        "policy_reason", O.popup_policy_reason(F.col("action"), F.col("canonical"), F.col("value"))
+    )
+    return O.cycle_status(rows.withColumn("shows_success", page_shows_success("after_text")))
+
+
+def cycle_status(spark, sf):
+    return _popup_cycles(spark, sf).select("event_id", "task_id", "cycle", "policy_reason", "status")
+
+
+def cycle_outcome(spark, sf):
+    return O.cycle_outcome(_popup_cycles(spark, sf).drop("status"))
+
+
+# Verified history of tasks: what each row says about its task.
+HISTORY = {
+    "intent": "case when task_id % 3 = 0 then 'sequence' else 'general' end",
+    "n_steps": "case when task_id % 3 = 0 then 60 + task_id % 20 else 0 end",
+    "ok": "not (task_id % 4 = 1 and event_id % 50 = 7)",
+    "completed": "event_id % 40 = 3",
+}
+
+
+def task_outcome(spark, sf):
+    history = D.actions(spark, sf).withColumns({n: F.expr(v) for n, v in HISTORY.items()})
+    return O.task_outcome(history)
+
+
+def status_message(spark, sf):
+    cycles = _popup_cycles(spark, sf)
+    rows = cycles.select(
+        "event_id",
+        F.when(F.col("event_id") % 43 == 0, "max_cycles_reached")
+        .when(F.col("event_id") % 47 == 0, "agent_not_ready").otherwise(F.col("status")).alias("status"),
+        F.when(F.col("status") == "blocked", F.when(F.col("agent_status") == "blocked", F.col("agent_reason"))
+               .otherwise(F.col("policy_reason"))).alias("reason"),
+        F.when(F.col("event_id") % 3 == 0, F.lit("lost page")).alias("error"),
+    )
+    return rows.select(
+        "event_id", "status", O.status_message(F.col("status"), F.col("reason"), F.col("error")).alias("message")
+    )
+
+
+def action_history(spark, sf):
+    verified = D.actions(spark, sf).filter(js_trim("target") != "").filter(F.col("event_id") % 5 != 4)
+    return O.action_history(verified).select("task_id", "number", "event_id", "line")
+
+
+def task_counters(spark, sf):
+    log = D.actions(spark, sf).withColumn("is_replan", F.col("event_type") == "view")
+    return O.task_counters(log)
+
+
+QUERIES = {
+    "validate_action": validate_action,
+    "validate_plan": validate_plan,
+    "validate_plan_errors": validate_plan_errors,
+    "validate_model_plan": validate_model_plan,
+    "action_policy": action_policy,
+    "domain_policy": domain_policy,
+    "popup_policy": popup_policy,
+    "execution_preconditions": execution_preconditions,
+    "navigate_url_check": navigate_url_check,
+    "sequence_step_match": sequence_step_match,
+    "fallback_action": fallback_action,
+    "intent_override": intent_override,
+    "budget_limits": budget_limits,
+    "verify_type": verify_type,
+    "click_state_capture": click_state_capture,
+    "verify_click": verify_click,
+    "verify_page_change": verify_page_change,
+    "verify_select": verify_select,
+    "first_action_per_cycle": first_action_per_cycle,
+    "cycle_status": cycle_status,
+    "cycle_outcome": cycle_outcome,
+    "task_outcome": task_outcome,
+    "status_message": status_message,
+    "action_history": action_history,
+    "task_counters": task_counters,
+}

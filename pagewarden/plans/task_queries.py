@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagewarden.functions.staging import staged
 from pagewarden.functions.text import text_or_blank
 from pagewarden.operators import tasks as O
+from pagewarden.operators.privacy import sanitize_elements
 from pagewarden.plans.target_queries import _elements
 from pagewarden.sources import derived as D
 
 
 def context_elements(spark, sf):
-    """Context elements: sanitized in their row, known by tag only."""
-    from pagewarden.operators.privacy import sanitize_elements
-
-    return sanitize_elements(_elements(spark, sf)).withColumn("type", F.lit(""))
+    """Context elements: sanitized in their row, known by tag only, kept once."""
+    return staged(
+        sanitize_elements(_elements(spark, sf)).select(
+            "page_id", "ord", F.lit("").alias("type"), "tag", "input_type", "text", "aria_label",
+            "placeholder", "name", "id", "value",
+        )
+    )
 
 
 def infer_task_constraint(spark, sf):
