@@ -13,9 +13,10 @@ _TOK = Y._TOK
 
 SQL = {
     "inspect_batch": C.rec(V.INGEST, V._FINDINGS_TAIL, V.CLEAN_ELEMENTS, V.CLEAN_PAGES, V.SUMMARY) + """
-      select p.page_id, url, c.page_text, s.findings, types, coalesce(n, 0) as elements, coalesce(masked, 0) as masked
+      select p.page_id, url, c.page_text, s.findings, types, coalesce(n, 0) as elements, coalesce(masked, 0) as masked, coalesce(texts, '') as texts
       from form_pages p join clean_pg c using (page_id) join summary s using (page_id) left join (
-        select page_id, count(*) as n, count(*) filter (where value like '[%') as masked from clean_el group by 1) using (page_id)""",
+        select page_id, count(*) as n, count(*) filter (where value like '[%') as masked,
+        string_agg(text, '|' order by ord) as texts from clean_el group by 1) using (page_id)""",
     "agent_decision_batch": C.rec(C.FINDINGS, V.CLEAN_ELEMENTS, C.MODELS, "tasks as (select event_id, page_id, task from model_texts)",
                                   K.CONTEXT, K.STEPS, S.PARSED, Y.PLANS) + f""",
       fin as (select c.event_id, trim(coalesce(c.task, '')) = '' as blank, {K._MISSING.replace('task,', 'c.task,')} <> '' as missing, t.status as ss,

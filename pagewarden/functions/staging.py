@@ -3,9 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def work_folder(spark: SparkSession) -> str:
+    """New folder for a job's own files, inside the session's shared folder.
+
+    Local sessions without ``spark.checkpoint.dir`` get a folder of their own.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        return tempfile.mkdtemp(prefix="pagewarden-")
+    return f"{shared.rstrip('/')}/pagewarden-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame) -> DataFrame:

@@ -39,18 +39,21 @@ def detect_pii(
     )
 
 
-def credential_flag() -> Column:
-    return is_credential("input_type", "name", "id", "placeholder", "aria_label")
+def credential_flag(get=F.col) -> Column:
+    return is_credential(*[get(c) for c in ("input_type", "name", "id", "placeholder", "aria_label")])
 
 
 def credential_elements(elements: DataFrame) -> DataFrame:
     return elements.filter(credential_flag()).select("page_id", F.col("ord").alias("elem_ord"))
 
 
-def element_findings_expr() -> Column:
-    """Findings of one element row, in order, as an array; no shuffle needed."""
+def element_findings_expr(get=F.col) -> Column:
+    """Findings of one element, in order, as an array; no shuffle needed.
+
+    ``get`` yields a field of the element: a column, or a field of a struct.
+    """
     credential = F.when(
-        credential_flag(),
+        credential_flag(get),
         F.array(
             F.struct(
                 F.lit(0).alias("is_pii"), F.lit(-1).alias("field_no"), F.lit(0).alias("start"),
@@ -62,7 +65,7 @@ def element_findings_expr() -> Column:
     # One detection expression over an array of fields, not one per field.
     fields = F.array(
         *[
-            F.struct(F.lit(n).alias("no"), F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit("")).alias("text"))
+            F.struct(F.lit(n).alias("no"), F.lit(f).alias("field"), F.coalesce(get(f), F.lit("")).alias("text"))
             for n, f in enumerate(fixed.INSPECTED_FIELDS)
         ]
     )
@@ -120,6 +123,20 @@ def numbered_findings(findings: DataFrame) -> DataFrame:
     return number_within(findings, ["page_id"], block, FINDING_ORDER, "seq")
 
 
+def folded_field(name: str, value: Column, findings: Column) -> Column:
+    """One field of an element after its findings, applied in order."""
+
+    def step(acc: Column, f: Column) -> Column:
+        token = token_of(f["type"])
+        by_value = F.when(f["value"].isNotNull(), F.replace(acc, f["value"], token))
+        if name == "value":
+            by_value = by_value.when(acc != "", token)
+        return by_value.otherwise(acc)
+
+    start = F.coalesce(value, F.lit(""))
+    return F.when(F.size(findings) > 0, F.aggregate(findings, start, step)).otherwise(start)
+
+
 def sanitize_elements(elements: DataFrame) -> DataFrame:
     """Apply each element's own findings, in order, to its five fields.
 
@@ -127,20 +144,9 @@ def sanitize_elements(elements: DataFrame) -> DataFrame:
     value overwrites a filled ``value``. Everything stays within the row.
     """
     marked = elements.withColumn("_f", element_findings_expr())
-
-    def fold(name: str) -> Column:
-        def step(acc: Column, f: Column) -> Column:
-            token = token_of(f["type"])
-            by_value = F.when(f["value"].isNotNull(), F.replace(acc, f["value"], token))
-            if name == "value":
-                by_value = by_value.when(acc != "", token)
-            return by_value.otherwise(acc)
-
-        return F.when(
-            F.size("_f") > 0, F.aggregate("_f", F.coalesce(F.col(name), F.lit("")), step)
-        ).otherwise(F.coalesce(F.col(name), F.lit("")))
-
-    return marked.withColumns({n: fold(n) for n in fixed.INSPECTED_FIELDS}).drop("_f")
+    return marked.withColumns(
+        {n: folded_field(n, F.col(n), F.col("_f")) for n in fixed.INSPECTED_FIELDS}
+    ).drop("_f")
 
 
 def sanitize_page_text(
@@ -221,6 +227,51 @@ def privacy_summary(pages: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
+def sanitize_states(states: DataFrame) -> DataFrame:
+    """Whole protect step for rows that hold a page and its elements as an array.
+
+    All findings of a page come from its own row, so nothing is shuffled: the
+    same map serves batches and streams. Adds findings counts and types.
+    """
+
+    def own_findings(e: Column) -> Column:
+        return element_findings_expr(e.getField)
+
+    def clean(z: Column) -> Column:
+        e, found = z["elements"], z["_fs"]
+        return F.struct(
+            *[
+                (folded_field(c, e[c], found) if c in fixed.INSPECTED_FIELDS else e[c]).alias(c)
+                for c in columns
+            ]
+        )
+
+    columns = states.schema["elements"].dataType.elementType.fieldNames()
+    text_findings = F.transform(
+        pii_spans("page_text"), lambda s: F.struct(s["type"].alias("type"), s["value"].alias("value"))
+    )
+    rows = states.withColumn("_fs", F.transform("elements", own_findings)).withColumn(
+        "_all",
+        F.concat(
+            F.transform(
+                F.flatten("_fs"), lambda f: F.struct(f["type"].alias("type"), f["value"].alias("value"))
+            ),
+            text_findings,
+        ),
+    )
+    secret = F.size(F.filter("_all", lambda f: f["type"] == "credential"))
+    return rows.withColumns(
+        {
+            "elements": F.transform(F.arrays_zip("elements", "_fs"), clean),
+            "page_text": replace_values("page_text", F.col("_all")),
+            "findings": F.size("_all"),
+            "pii_findings": F.size("_all") - secret,
+            "credential_findings": secret,
+            "types": F.array_distinct(F.transform("_all", lambda f: f["type"])),
+        }
+    ).drop("_fs", "_all")
+
+
 def replacement_tokens(findings: DataFrame) -> DataFrame:
     """Findings with the token that stands for their type (a fixed six-entry map)."""
     return findings.withColumn("token", F.element_at(token_map(), F.col("type")))

@@ -11,17 +11,20 @@ from pagewarden.plans.task_queries import context_elements
 from pagewarden.sources import derived as D
 
 
-def inspect_batch(spark, sf):
-    pages, elements = flows.inspect_batch(D.payloads(spark, sf))
-    per_page = elements.groupBy("page_id").agg(
-        F.count(F.lit(1)).alias("elements"), F.count_if(F.col("value").startswith("[")).alias("masked")
-    )
-    return pages.join(per_page, "page_id", "left").select(
+def inspect_rows(states):
+    """Flat view of sanitized states."""
+    return states.select(
         "page_id", "url", "page_text", "findings", F.array_join("types", ",").alias("types"),
-        F.coalesce("elements", F.lit(0)).alias("elements"), F.coalesce("masked", F.lit(0)).alias("masked"),
+        F.size("elements").alias("elements"),
+        F.size(F.filter("elements", lambda e: e["value"].startswith("["))).alias("masked"),
+        F.array_join(F.transform("elements", lambda e: e["text"]), "|").alias("texts"),
     )
 
 
+def inspect_batch(spark, sf):
+    return inspect_rows(flows.inspect_batch(D.payloads(spark, sf)))
+
+
 def agent_decision_batch(spark, sf):
     rows = flows.agent_decisions(D.model_texts(spark, sf), context_elements(spark, sf))
     return rows.select("event_id", "success", "error", "status", "reason", *_first_action("actions"))

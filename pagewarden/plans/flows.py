@@ -28,12 +28,9 @@ def sanitized_state(
     return clean_elements, clean_pages, findings
 
 
-def inspect_batch(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """JSON page states in; (page rows with summary, element rows) out."""
-    pages, elements = P.ingest_page_state_json(payloads)
-    clean_elements, clean_pages, findings = sanitized_state(elements, pages)
-    summary = privacy.privacy_summary(pages, findings)
-    return clean_pages.join(summary, "page_id"), clean_elements
+def inspect_batch(payloads: DataFrame) -> DataFrame:
+    """JSON page states in; sanitized state and summary out, row by row."""
+    return privacy.sanitize_states(P.payload_states(payloads))
 
 
 def agent_decisions(requests: DataFrame, elements: DataFrame) -> DataFrame:

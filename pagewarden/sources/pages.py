@@ -149,46 +149,51 @@ def _string_field(element: Column, name: str) -> Column:
     return F.coalesce(F.try_variant_get(element, f"$.{name}", "string"), F.lit(""))
 
 
-def ingest_page_state_json(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """JSON payloads to (pages, elements) with defaults; non-objects are dropped.
+def payload_states(payloads: DataFrame) -> DataFrame:
+    """JSON payloads to typed page states, elements as an array; no shuffle.
 
-    The element type, role and visibility are not part of the result.
+    Missing fields take defaults, elements that are no objects are dropped, and
+    the element type, role and visibility are not part of the result.
     """
-    parsed = payloads.select("page_id", F.try_parse_json("payload").alias("p"))
-    fields = parsed.select(
-        "page_id",
+    fields = payloads.withColumn("_p", F.try_parse_json("payload")).select(
+        *payloads.columns,
         *[
-            F.try_variant_get("p", f"$.{n}", "variant").alias(n)
+            F.try_variant_get("_p", f"$.{n}", "variant").alias(f"_{n}")
             for n in ("url", "title", "page_text", "elements")
         ],
     )
-    pages = fields.select(
-        "page_id",
-        json_text(F.col("url")).alias("url"),
-        json_text(F.col("title")).alias("title"),
-        F.when(_kind(F.col("page_text")) == "STRING", F.try_variant_get("page_text", "$", "string"))
+
+    def element(e: Column) -> Column:
+        return F.struct(
+            *[_string_field(e, n).alias(n) for n in PAYLOAD_FIELDS],
+            F.coalesce(F.try_variant_get(e, "$.enabled", "boolean"), F.lit(True)).alias("enabled"),
+            F.try_variant_get(e, "$.box", "struct<x:double,y:double,width:double,height:double>").alias("box"),
+        )
+
+    items = F.when(
+        _kind(F.col("_elements")) == "ARRAY", F.try_variant_get("_elements", "$", "array<variant>")
+    ).otherwise(F.array().cast("array<variant>"))
+    return fields.select(
+        *[c for c in payloads.columns if c != "payload"],
+        json_text(F.col("_url")).alias("url"),
+        json_text(F.col("_title")).alias("title"),
+        F.when(_kind(F.col("_page_text")) == "STRING", F.try_variant_get("_page_text", "$", "string"))
         .otherwise(F.lit(""))
         .alias("page_text"),
+        F.transform(F.filter(items, lambda e: _kind(e) == "OBJECT"), element).alias("elements"),
     )
-    items = fields.select(
-        "page_id",
-        F.when(_kind(F.col("elements")) == "ARRAY", F.try_variant_get("elements", "$", "array<variant>")).alias("a"),
-    )
-    rows = items.select(
-        "page_id",
-        F.posexplode(F.filter("a", lambda e: _kind(e) == "OBJECT")).alias("ord", "e"),
-    )
-    e = F.col("e")
-    elements = rows.select(
-        "page_id", "ord",
-        *[
-            _string_field(e, n).alias(n)
-            for n in ("tag", "text", "aria_label", "placeholder", "name", "id", "input_type", "value")
-        ],
-        F.coalesce(F.try_variant_get(e, "$.enabled", "boolean"), F.lit(True)).alias("enabled"),
-        F.try_variant_get(e, "$.box", "struct<x:double,y:double,width:double,height:double>").alias("box"),
-    )
-    return pages, elements
+
+
+PAYLOAD_FIELDS = (
+    "tag", "text", "aria_label", "placeholder", "name", "id", "input_type", "value",
+)
+
+
+def ingest_page_state_json(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """JSON payloads to a page table and an element table."""
+    states = payload_states(payloads)
+    elements = states.select("page_id", F.posexplode("elements").alias("ord", "e"))
+    return states.drop("elements"), elements.select("page_id", "ord", "e.*")
 
 
 def scan_ocr_tokens(words: DataFrame) -> DataFrame:
