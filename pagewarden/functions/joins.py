@@ -44,17 +44,23 @@ def salted_join(
     return left.join(right, [*keys, "_piece"], how).drop("_piece")
 
 
-def _grams(text: Column) -> Column:
-    """Distinct substrings of one, two and three characters."""
-    size = F.length(text)
+def only_asked(rows: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the keys that are asked about, before anything is exploded."""
+    return rows.join(asked.select(*keys).distinct(), keys, "left_semi")
+
+
+def _grams(text: Column, sizes: tuple[int, ...]) -> Column:
+    """Distinct substrings of the given lengths."""
+    length = F.length(text)
 
     def of(n: int) -> Column:
         return F.when(
-            size >= n,
-            F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substring(text, i, F.lit(n))),
+            length >= n,
+            F.transform(F.sequence(F.lit(1), length - (n - 1)), lambda i: F.substring(text, i, F.lit(n))),
         ).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(*[of(n) for n in range(1, GRAM + 1)]))
+    parts = [of(n) for n in sizes]
+    return F.array_distinct(F.concat(*parts) if len(parts) > 1 else parts[0])
 
 
 def contains_join(
@@ -63,23 +69,25 @@ def contains_join(
     """Distinct (keys, needle, hay) where the hay contains the needle.
 
     Both sides are made distinct first. A needle meets only the hays that share
-    its first three characters (all of it when shorter), by an equi-join, and
-    the full test follows; no pair of strings is formed without a shared gram.
+    its first three characters, by an equi-join, and the full test follows; no
+    pair of strings is formed without a shared gram. Needles shorter than that
+    are joined by themselves, and only their keys' hays are cut into short grams.
     """
-    left = (
-        needles.select(*keys, needle)
-        .filter(F.col(needle) != "")
-        .distinct()
-        .withColumn("_gram", F.substring(F.col(needle), 1, GRAM))
-    )
-    right = (
-        hays.select(*keys, hay)
-        .filter(F.col(hay) != "")
-        .distinct()
-        .withColumn("_gram", F.explode(_grams(F.col(hay))))
-    )
-    return (
-        left.join(right, [*keys, "_gram"])
-        .filter(F.col(hay).contains(F.col(needle)))
-        .select(*keys, needle, hay)
+    wanted = needles.select(*keys, needle).filter(F.col(needle) != "").distinct()
+    distinct_hays = only_asked(
+        hays.select(*keys, hay).filter(F.col(hay) != ""), wanted, keys
+    ).distinct()
+
+    def joined(part: DataFrame, sizes: tuple[int, ...], right: DataFrame) -> DataFrame:
+        left = part.withColumn("_gram", F.substring(F.col(needle), 1, GRAM))
+        cut = right.withColumn("_gram", F.explode(_grams(F.col(hay), sizes)))
+        return (
+            left.join(cut, [*keys, "_gram"])
+            .filter(F.col(hay).contains(F.col(needle)))
+            .select(*keys, needle, hay)
+        )
+
+    short = wanted.filter(F.length(needle) < GRAM)
+    return joined(wanted.filter(F.length(needle) >= GRAM), (GRAM,), distinct_hays).unionByName(
+        joined(short, tuple(range(1, GRAM)), only_asked(distinct_hays, short, keys))
     )

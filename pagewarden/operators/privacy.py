@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pagewarden.functions import fixed
 from pagewarden.functions.joins import contains_join, salted_join
 from pagewarden.functions.numbering import number_within
+from pagewarden.functions.staging import staged
 from pagewarden.functions.pii import (
     is_credential,
     pii_spans,
@@ -120,7 +121,8 @@ def numbered_findings(findings: DataFrame) -> DataFrame:
     block = F.col("is_text") * F.lit(1 << 40) + F.coalesce(
         F.floor(F.col("elem_ord") / _ORD_BLOCK), F.lit(0)
     )
-    return number_within(findings, ["page_id"], block, FINDING_ORDER, "seq")
+    # Findings are few beside the texts they come from; numbering reads them twice.
+    return number_within(staged(findings), ["page_id"], block, FINDING_ORDER, "seq")
 
 
 def folded_field(name: str, value: Column, findings: Column) -> Column:

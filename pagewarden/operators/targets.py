@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewarden.functions import fixed
-from pagewarden.functions.joins import contains_join
+from pagewarden.functions.joins import contains_join, only_asked
 from pagewarden.functions.text import (
     first_filled,
     first_visible,
@@ -104,6 +104,7 @@ def _element_keys(elements: DataFrame, keys: list[Column]) -> DataFrame:
 def match_exact(requests: DataFrame, elements: DataFrame) -> DataFrame:
     """All elements an identifier of which equals the target, per distinct target."""
     asked = requests.select("page_id", ident("target").alias("target")).filter(F.col("target") != "").distinct()
+    elements = only_asked(elements, asked, ["page_id"])
     found = _element_keys(elements, [F.nullif(ident(c), F.lit("")) for c in IDENTIFIERS])
     return asked.join(found.withColumnRenamed("key", "target"), ["page_id", "target"])
 
@@ -131,8 +132,8 @@ def resolve_targets(requests: DataFrame, elements: DataFrame) -> DataFrame:
     ``canonical_n``, ``any_input`` and ``any_click`` of the final target.
     """
     on = ["page_id", "action", "target"]
-    facts = match_facts(elements)
     asked = requests.select(*on).distinct()
+    facts = match_facts(only_asked(elements, asked, ["page_id"]))
     hits = _lookup(asked, on, _rules(exact_key(F.col("target")), selector_key(F.col("target"))), facts)
     best = hits.groupBy(*on).agg(
         F.min(F.struct("rule_no", "n", "first", "any_input", "any_click")).alias("m")
@@ -201,7 +202,7 @@ def match_scored(requests: DataFrame, elements: DataFrame) -> DataFrame:
     """
     on = ["page_id", "kind", "target"]
     asked = requests.select(*on).distinct().withColumn("form", word_form(ident("target"))).filter(ident("target") != "")
-    profiles = _profiles(elements)
+    profiles = _profiles(only_asked(elements, asked, ["page_id"]))
     words = asked.select(
         *on, F.posexplode(F.filter(F.split("form", " "), lambda w: w != "")).alias("pos", "word")
     )
@@ -264,7 +265,7 @@ def bridge_facts(elements: DataFrame) -> DataFrame:
 def _bridge_rule(requests: DataFrame, elements: DataFrame, keys: Column) -> DataFrame:
     on = ["page_id", "kind", "target"]
     asked = requests.select(*on).distinct().filter(ident("target") != "")
-    return _lookup(asked, on, keys, bridge_facts(elements))
+    return _lookup(asked, on, keys, bridge_facts(only_asked(elements, asked, ["page_id"])))
 
 
 def _alias_key() -> Column:
@@ -374,7 +375,8 @@ def _needles(requests: DataFrame) -> DataFrame:
 
 def match_semantic(requests: DataFrame, elements: DataFrame) -> DataFrame:
     """Suitable elements a phrase target means, per distinct needle."""
-    return _semantic_hits(_needles(requests), elements).select(
+    needles = _needles(requests)
+    return _semantic_hits(needles, only_asked(elements, needles, ["page_id"])).select(
         "page_id", F.col("role_").alias("action"), "needle", "ord"
     )
 
@@ -385,6 +387,7 @@ def canonical_actions(requests: DataFrame, elements: DataFrame) -> DataFrame:
     action = F.lower(js_trim(text_or_blank("action")))
     asked = requests.select(*on).distinct()
     open_targets = asked.filter(js_trim(text_or_blank("target")) != "")
+    elements = only_asked(elements, open_targets, ["page_id"])
     role_keys = _role_rows(elements)
     keyed = role_keys.select(
         "page_id", "ord", "label",
@@ -450,6 +453,7 @@ def find_target_dom(requests: DataFrame, elements: DataFrame) -> DataFrame:
     on = ["page_id", "target"]
     trimmed = js_trim(text_or_blank("target"))
     asked = requests.select(*on).distinct().filter(trimmed != "")
+    elements = only_asked(elements, asked, ["page_id"])
     lower = F.lower(trimmed)
 
     # Rule 0 and 1: words of a dropdown target against the selects.

@@ -151,7 +151,16 @@ MODEL_TEXT = (
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table, in at least as many partitions as there are cores.
+
+    A file of one row group is one partition, and the text work on it would run
+    in one task. Large inputs have more splits than cores and are left alone.
+    """
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() < cores:
+        return table.repartition(cores, table.columns[0])
+    return table
 
 
 def form_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
