@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pagewarden.functions import fixed
 from pagewarden.functions.joins import contains_join, only_asked
+from pagewarden.functions.staging import staged
 from pagewarden.functions.text import (
     first_filled,
     first_visible,
@@ -28,6 +29,11 @@ from pagewarden.functions.text import (
 IDENTIFIERS = ("text", "aria_label", "placeholder", "name", "id")
 
 
+def distinct_requests(requests: DataFrame, on: list[str]) -> DataFrame:
+    """Each request once, kept: the log is read once, not once per rule."""
+    return staged(requests.select(*on).distinct())
+
+
 def _distinct_keys(*keys: Column) -> Column:
     """Non-null keys of one row, each once."""
     return F.array_distinct(F.array_compact(F.array(*keys)))
@@ -132,7 +138,7 @@ def resolve_targets(requests: DataFrame, elements: DataFrame) -> DataFrame:
     ``canonical_n``, ``any_input`` and ``any_click`` of the final target.
     """
     on = ["page_id", "action", "target"]
-    asked = requests.select(*on).distinct()
+    asked = distinct_requests(requests, on)
     facts = match_facts(only_asked(elements, asked, ["page_id"]))
     hits = _lookup(asked, on, _rules(exact_key(F.col("target")), selector_key(F.col("target"))), facts)
     best = hits.groupBy(*on).agg(
@@ -290,6 +296,7 @@ def resolve_bridge(requests: DataFrame, elements: DataFrame) -> DataFrame:
     Exact, first in order; unique best score; unique alias; sole candidate.
     """
     on = ["page_id", "kind", "target"]
+    requests = distinct_requests(requests, on)
     keyed = _bridge_rule(
         requests,
         elements,
@@ -385,7 +392,7 @@ def canonical_actions(requests: DataFrame, elements: DataFrame) -> DataFrame:
     """Distinct (page_id, action, target) with the target the popup would use."""
     on = ["page_id", "action", "target"]
     action = F.lower(js_trim(text_or_blank("action")))
-    asked = requests.select(*on).distinct()
+    asked = distinct_requests(requests, on)
     open_targets = asked.filter(js_trim(text_or_blank("target")) != "")
     elements = only_asked(elements, open_targets, ["page_id"])
     role_keys = _role_rows(elements)
@@ -402,7 +409,7 @@ def canonical_actions(requests: DataFrame, elements: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "label")).alias("first")
     )
     semantic = (
-        _semantic_hits(_needles(requests), elements)
+        _semantic_hits(_needles(asked), elements)
         .groupBy("page_id", F.concat(F.lit("s|"), F.col("role_"), F.lit("|"), F.col("needle")).alias("key"))
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "label")).alias("first"))
     )
@@ -452,7 +459,7 @@ def find_target_dom(requests: DataFrame, elements: DataFrame) -> DataFrame:
     """
     on = ["page_id", "target"]
     trimmed = js_trim(text_or_blank("target"))
-    asked = requests.select(*on).distinct().filter(trimmed != "")
+    asked = distinct_requests(requests.filter(trimmed != ""), on)
     elements = only_asked(elements, asked, ["page_id"])
     lower = F.lower(trimmed)
 
