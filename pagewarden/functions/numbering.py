@@ -55,15 +55,7 @@ def running_within(
 
 
 def number_within(
-    df: DataFrame,
-    keys: list[str],
-    block: Column,
-    order: list[str],
-    name: str,
-    start: int = 1,
+    df: DataFrame, keys: list[str], block: Column, order: list[str], name: str
 ) -> DataFrame:
-    """Add a dense row number within ``keys`` by ``order``."""
-    numbered = running_within(df, keys, block, order, {name: F.lit(1)})
-    if start == 1:
-        return numbered
-    return numbered.withColumn(name, F.col(name) - (1 - start))
+    """Add a dense row number, from 1, within ``keys`` by ``order``."""
+    return running_within(df, keys, block, order, {name: F.lit(1)})

@@ -31,7 +31,9 @@ def agent_decision_batch(spark, sf):
 
 
 def loop_replay(spark, sf):
-    return flows.loop_replay(D.loop_cycles(spark, sf), _elements(spark, sf), D.LOOP_VALUE_AFTER)
+    return flows.loop_replay(
+        D.loop_cycles(spark, sf), _elements(spark, sf), D.LOOP_VALUE_AFTER, D.LOOP_CLICK_VERIFIED
+    )
 
 
 QUERIES = {

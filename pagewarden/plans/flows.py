@@ -106,12 +106,15 @@ def decided_cycles(cycles: DataFrame, elements: DataFrame) -> DataFrame:
     return policy.decide_action(ready)
 
 
-def loop_replay(cycles: DataFrame, elements: DataFrame, value_after: str) -> DataFrame:
+def loop_replay(
+    cycles: DataFrame, elements: DataFrame, value_after: str, click_verified: str
+) -> DataFrame:
     """Replay logged cycles: one outcome per task.
 
     Each cycle is judged on its own, given that all before it succeeded; the
     first cycle that ends its task then decides. No state runs over the log.
-    ``value_after`` is an expression over chosen_value for the typed field.
+    ``value_after`` (over chosen_value) and ``click_verified`` are expressions
+    for what was seen after a type and after a click.
     """
     decided = decided_cycles(cycles, elements).select(
         "event_id", "task_id", "page_id", "cycle", "elapsed_s", "executed", "intent", "decision",
@@ -123,9 +126,7 @@ def loop_replay(cycles: DataFrame, elements: DataFrame, value_after: str) -> Dat
     rows = checked.withColumn("chosen_value", F.col("value")).withColumn("_after", F.expr(value_after))
     seen = rows.withColumn(
         "_verified",
-        F.when(kind == "type", F.col("_after").eqNullSafe(F.col("chosen_value"))).otherwise(
-            (F.col("event_id") % 17 != 0) & (F.col("event_id") % 5 != 4)
-        ),
+        F.when(kind == "type", F.col("_after").eqNullSafe(F.col("chosen_value"))).otherwise(F.expr(click_verified)),
     )
     done_after = F.col("intent").isin("click_only", "type_only") | (
         (F.col("intent") == "sequence") & (F.col("cycle") >= 2)

@@ -9,6 +9,7 @@ table grows with its base table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewarden.functions.numbering import number_within
@@ -303,14 +304,13 @@ LOOP_PLAN = (
 LOOP_ELAPSED = "5 * cycle + 2 * (user_id % 60)"
 LOOP_EXECUTED = "event_id % 19 <> 0"
 LOOP_VALUE_AFTER = "case when event_id % 13 = 0 then 'other' else chosen_value end"
+LOOP_CLICK_VERIFIED = "event_id % 17 <> 0 and event_id % 5 <> 4"
 # A valid loop ends by its seventh cycle, so later rows of a task cannot count.
 LOOP_LAST_CYCLE = 7
 
 
 def loop_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First cycles of each task; the rank limit is applied before the exchange."""
-    from pyspark.sql import Window as W
-
     order = W.partitionBy("user_id").orderBy("ts", "event_id")
     rows = read_table(spark, sf_dir, "events").withColumn("cycle", F.row_number().over(order))
     rows = rows.filter(F.col("cycle") <= LOOP_LAST_CYCLE)
@@ -388,8 +388,6 @@ CYCLE_COLUMNS = {
 
 def popup_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First cycles per (user, day) task as the extension logs them."""
-    from pyspark.sql import Window as W
-
     log = actions(spark, sf_dir).withColumn(
         "task_id", F.expr("task_id * 100 + day(ts)").cast("bigint")
     )
