@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 # Run-time settings. Skewed joins are split by AQE even when that costs one
@@ -15,10 +19,28 @@ RUNTIME_CONF = {
 }
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, wherever they run; once for each application."""
+    context = spark.sparkContext
+    if getattr(context, "_pagewarden_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="pagewarden-ship-"), "pagewarden.zip")
+    with zipfile.ZipFile(archive, "w") as packed:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    packed.write(path, os.path.relpath(path, os.path.dirname(top)))
+    context.addPyFile(archive)
+    context._pagewarden_shipped = True
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to a session that already exists."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
@@ -29,4 +51,6 @@ def build_session(master: str | None = None, **extra: str) -> SparkSession:
         builder = builder.master(master)
     for key, value in {**RUNTIME_CONF, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
