@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewarden.llm import runindex
+from pagewarden.llm import chosenpath, runindex
 from pagewarden.llm.common import table
 
 
@@ -14,7 +14,13 @@ def op2_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chosenpath.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "class_id", "n_links", "n_copies")
+
+
 QUERIES = {
     "op2_run_length_index": op2_run_length_index,
+    "op8_chosen_path_join": op8_chosen_path_join,
 }
 SQL: dict[str, str] = {}
