@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewarden.llm import chosenpath, runindex
+from pagewarden.llm import chosenpath, curriculum, quality, runindex
 from pagewarden.llm.common import table
 
 
@@ -14,6 +14,17 @@ def op2_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = quality.fit_from(docs, table(spark, sf_dir, "labels"))
+    return quality.judged(docs, trees).select("doc_id", "_quality.*")
+
+
+def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = curriculum.mixed(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "first_position")
+
+
 def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chosenpath.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "class_id", "n_links", "n_copies")
@@ -21,6 +32,8 @@ def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_run_length_index": op2_run_length_index,
+    "op3_boosted_quality": op3_boosted_quality,
+    "op7_curriculum_mix": op7_curriculum_mix,
     "op8_chosen_path_join": op8_chosen_path_join,
 }
 SQL: dict[str, str] = {}
