@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewarden.llm import chosenpath, curriculum, quality, runindex
+from pagewarden.llm import chosenpath, curriculum, decontaminate, linededup, quality, runindex
 from pagewarden.llm.common import table
 
 
@@ -20,6 +20,14 @@ def op3_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, trees).select("doc_id", "_quality.*")
 
 
+def op6_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linededup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id", "_lines.n_lines", "_lines.n_removed", F.length("_lines.text").alias("kept_chars"),
+        F.sha2("_lines.text", 256).alias("kept_sha256"),
+    )
+
+
 def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = curriculum.mixed(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "first_position")
@@ -30,10 +38,16 @@ def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op10_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_run_length_index": op2_run_length_index,
     "op3_boosted_quality": op3_boosted_quality,
+    "op6_deletion_neighbourhood": op6_deletion_neighbourhood,
     "op7_curriculum_mix": op7_curriculum_mix,
     "op8_chosen_path_join": op8_chosen_path_join,
+    "op10_simhash_windows": op10_simhash_windows,
 }
 SQL: dict[str, str] = {}
