@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from pagewarden.llm.common import scratch, written
 
-SAMPLE = 20_000  # labelled rows the words and weights are learned from, at most
-SHARE, ODDS = 0.08, 20.0  # a learned insult: in this share of toxic texts, and so much likelier there
+SAMPLE = 10_000  # labelled rows the stems and weights are learned from, at most
+SHARE, ODDS = 0.03, 8.0  # a learned stem: in this share of toxic texts, and so much likelier there
+STEM, LONGEST = 4, 12  # characters of a stem
 REACH = 4  # words that a target or a negation reaches
 CUT = 0.3
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
@@ -84,15 +85,43 @@ PATTERNS = 17
 STEP, EMIT = compose(follower(TARGET, REACH), follower(NEGATION, REACH), follower(REPORT, None))
 
 
-def matches(text: str | None, symbols: dict[str, int]) -> np.ndarray:
+class Lexicon:
+    """Symbol of a word: listed words first, then learned insult stems."""
+
+    def __init__(self, stems: tuple[str, ...] = ()):
+        self.words = {w: s for s, words in WORDS.items() for w in words}
+        self.stems = stems
+        self.heads = {s[:STEM] for s in stems}
+
+    def get(self, word: str, default: int = OTHER) -> int:
+        if word[:STEM] in self.heads and word not in self.words and word.startswith(self.stems):
+            return INSULT
+        return self.words.get(word, default)
+
+
+def stems_of(counts: dict[str, int]) -> tuple[str, ...]:
+    """The shortest of the qualifying prefixes, each grown while it keeps its texts.
+
+    ``counts`` has the toxic texts of each qualifying prefix.
+    """
+    roots = [p for p in counts if not any(p[:n] in counts for n in range(STEM, len(p)))]
+    out = set()
+    for stem in roots:
+        while longer := [p for p in counts if len(p) == len(stem) + 1 and p.startswith(stem) and counts[p] >= 0.95 * counts[stem]]:
+            stem = longer[0]
+        out.add(stem)
+    return tuple(sorted(out))
+
+
+def matches(text: str | None, symbols: Lexicon) -> np.ndarray:
     """Features of one text: matched patterns, clauses, their densest clause and length."""
     tokens = _TOKEN.findall((text or "").lower())
     counts = np.zeros(PATTERNS)
     clauses = densest = here = state = 0
     kinds: set[str] = set()
-    if any(symbols.get(t, 0) in (INSULT, THREAT) for t in set(tokens)):
+    if any(symbols.get(t) in (INSULT, THREAT) for t in set(tokens)):
         for token in tokens:
-            symbol = END if token in _ENDS else symbols.get(token, OTHER)
+            symbol = END if token in _ENDS else symbols.get(token)
             pattern = EMIT[state][symbol]
             state = STEP[state][symbol]
             if pattern:
@@ -128,8 +157,8 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, int], tuple]:
-    """Symbols by word, and weights, from the ``sample`` rows with the smallest hashed ids.
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Lexicon, tuple]:
+    """Lexicon and weights from the ``sample`` rows with the smallest hashed ids.
 
     Held-out rows are left out. ``sample`` bounds the rows that are sent about.
     """
@@ -142,22 +171,24 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
     rows = written(rows, scratch(docs.sparkSession), "sample")
     n_toxic = rows.filter("y = 1").count()
     n_clean = rows.count() - n_toxic
-    found = F.array_distinct(F.split(F.lower("t"), r"[^\p{L}']+"))
+    found = F.filter(F.array_distinct(F.split(F.lower("t"), r"[^\p{L}]+")), lambda w: F.length(w) >= STEM)
+    prefixes = F.array_distinct(F.flatten(F.transform(found, lambda w: F.transform(
+        F.sequence(F.lit(STEM), F.least(F.length(w), F.lit(LONGEST))), lambda n: F.substring(w, F.lit(1), n)
+    ))))
     often = (
-        rows.select("y", F.explode(found).alias("word")).groupBy("word")
+        rows.select("y", F.explode(prefixes).alias("stem")).groupBy("stem")
         .agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
-        .filter(F.length("word") > 2).filter(F.col("toxic") >= SHARE * max(n_toxic, 50))
+        .filter(F.col("toxic") >= max(SHARE * n_toxic, 5))
         .filter((F.col("toxic") + 0.5) / (n_toxic + 1) >= ODDS * (F.col("clean") + 0.5) / (n_clean + 1))
     )
-    symbols = {w: s for s, words in WORDS.items() for w in words}
-    # At most words-per-text / SHARE rows: each is in that share of the toxic texts.
-    symbols.update({r["word"]: INSULT for r in often.collect() if r["word"] not in symbols})
+    # Few rows: each prefix is in that share of the toxic texts of the sample.
+    symbols = Lexicon(stems_of({r["stem"]: r["toxic"] for r in often.collect()}))
     data = rows.select("y", features("t", symbols).alias("x")).collect()
     x = np.array([r["x"] for r in data], float).reshape(len(data), PATTERNS - 1 + 8)
     return symbols, fit(x, np.array([r["y"] for r in data], float))
 
 
-def features(text: str, symbols: dict[str, int]) -> Column:
+def features(text: str, symbols: Lexicon) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([matches(t, symbols) for t in texts])
 
