@@ -296,6 +296,6 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     gone = found.filter("not first").select(F.col("doc_id").alias("_i"), F.col("k").alias("_k")).distinct()
     left = docs.withColumn("_key", text_key("text"))
     kept = left.join(gone, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left_anti")
-    blank = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0
+    blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     # Repeated rows of a text that stays: one of them.
     return kept.filter(~blank).dropDuplicates(["_key"]).unionByName(kept.filter(blank)).drop("_key")

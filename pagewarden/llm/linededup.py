@@ -29,6 +29,10 @@ def _pair(*parts: Column) -> list[Column]:
     return [F.xxhash64(*parts), F.xxhash64(F.lit("second"), *parts)]
 
 
+def _numbers(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
 def _halves(w: Column) -> Column:
     """Hashes of both halves, cut as for the own number of words and for one less."""
     def keys(m: Column) -> list[Column]:
@@ -73,8 +77,9 @@ def duplicate_lines(docs: DataFrame, folder: str, min_words: int = MIN_WORDS) ->
     ``docs`` has id and text. Lines are judged on the input, in the order of id
     (nulls last) and line number.
     """
+    # Words are hashed once for each line; whatever else is hashed is made of those numbers.
     line = F.explode(
-        F.transform(F.split("text", "\n"), lambda s, i: F.struct(i.alias("line"), words(s).alias("w")))
+        F.transform(F.split("text", "\n"), lambda s, i: F.struct(i.alias("line"), _numbers(words(s)).alias("w")))
     )
     lines = docs.select("id", line.alias("l")).filter(F.size("l.w") >= min_words)
     h1, h2 = _pair(F.col("l.w"))
@@ -97,30 +102,27 @@ def duplicate_lines(docs: DataFrame, folder: str, min_words: int = MIN_WORDS) ->
     near = cut.select(
         "m.h1", "m.h2", _order(F.col("id"), F.col("m.line")).alias("at"), words(F.get("split", F.col("m.line"))).alias("w")
     )
-    near = written(near.filter(_pair(F.col("w"))[0] == F.col("h1")).dropDuplicates(["h1", "h2"]), folder, "near")
-    # Place 0 stands for the whole line.
-    lacking = F.concat(
-        F.array(F.struct(F.lit(0).alias("place"), F.col("w").alias("v"))),
-        F.transform(
-            F.sequence(F.lit(1), F.size("w")),
-            lambda i: F.struct(i.alias("place"), F.concat(F.slice("w", F.lit(1), i - 1), F.slice("w", i + 1, F.size("w"))).alias("v")),
-        ),
-    )
-    hashed = F.transform(lacking, lambda e: F.struct(e["place"].alias("place"), F.xxhash64(e["v"]).alias("v1"), F.xxhash64(F.lit("second"), e["v"]).alias("v2")))
+    near = near.withColumn("v", _numbers(F.col("w")))
+    near = written(near.filter(_pair(F.col("v"))[0] == F.col("h1")).dropDuplicates(["h1", "h2"]), folder, "near")
+    def lacking(i: Column) -> Column:  # place 0 stands for the whole line
+        rest = F.concat(F.slice("v", F.lit(1), F.greatest(i - 1, F.lit(0))), F.slice("v", i + 1, F.size("v")))
+        return F.struct(i.alias("place"), F.xxhash64(rest).alias("v1"))
+
+    neighbourhood = F.transform(F.sequence(F.lit(0), F.size("v")), lacking)
     variants = written(
-        near.select("h1", "h2", "at", F.explode(hashed).alias("e")).select("h1", "h2", "at", "e.*"), folder, "variants"
+        near.select("h1", "h2", "at", F.explode(neighbourhood).alias("e")).select("h1", "h2", "at", "e.*"), folder, "variants"
     )
     least = F.min(F.struct("at", "h1", "h2"))
-    by_place = written(variants.groupBy("v1", "v2", "place").agg(least.alias("same"), F.count(F.lit(1)).alias("n")), folder, "places")
+    by_place = written(variants.groupBy("v1", "place").agg(least.alias("same"), F.count(F.lit(1)).alias("n")), folder, "places")
     by_variant = written(
-        by_place.groupBy("v1", "v2").agg(
+        by_place.groupBy("v1").agg(
             F.min(F.when(F.col("place") == 0, F.col("same"))).alias("whole"),
             F.min(F.when(F.col("place") > 0, F.col("same"))).alias("less"),
             F.sum("n").alias("n"),
         ).filter("n > 1").drop("n"),
         folder, "shared",
     )
-    met = variants.join(by_variant, ["v1", "v2"]).join(by_place.drop("n"), ["v1", "v2", "place"])
+    met = variants.join(by_variant, ["v1"]).join(by_place.drop("n"), ["v1", "place"])
     partner = F.when(F.col("place") == 0, F.col("less")).otherwise(F.least("same", "whole"))
     pairs = (
         met.withColumn("p", partner).filter(F.col("p.at") < F.col("at"))
