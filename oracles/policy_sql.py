@@ -80,7 +80,7 @@ _HOST = """nullif(lower(regexp_replace(regexp_replace(regexp_extract(url, '^(?:[
 
 LOOP = f"""loop0 as (select *, row_number() over (partition by user_id order by ts, event_id) as cycle from events),
   loop1 as (select event_id, user_id as task_id, user_id as page_id, ts, cycle, {D.LOOP_TASK} as task, {D.LOOP_PLAN} as model_text,
-    {D.LOOP_ELAPSED} as elapsed_s, {D.LOOP_EXECUTED} as executed from loop0 where cycle <= 7),
+    {D.LOOP_ELAPSED} as elapsed_s, {D.LOOP_EXECUTED} as executed from loop0),
   {K.constraints('loop1')}, {K.SEQUENCES},
   lp as (select c.*, cycle - 1 as idx, {S._ARRAY} as arr from resolved_c c),
   lq as (select *, arr <> '' and json_valid(arr) as parsed, case when arr <> '' and json_valid(arr) then json_array_length(arr)::bigint end as n_planned from lp),
@@ -111,7 +111,7 @@ _EXPECTED = C.rec(C.ELEMENTS, LOOP)
 _CYCLES = ", ".join(f"{v} as {n}" for n, v in D.CYCLE_COLUMNS.items())
 POPUP = f"""pc0 as (select * replace (task_id * 100 + day(ts) as task_id) from actions),
   pc1 as (select *, row_number() over (partition by task_id order by ts, event_id) as cycle from pc0),
-  pc2 as (select *, {_CYCLES} from pc1 where cycle <= 5),
+  pc2 as (select *, {_CYCLES} from (select * replace (task_id * {D.POPUP_RUNS} + (cycle - 1) // 5 as task_id, (cycle - 1) % 5 + 1 as cycle) from pc1)),
   {T.canonical_actions('pc2')},
   pc3 as (select p.*, {popup_reason('p.action', 'c.canonical', 'p.value')} as policy_reason,
     {" or ".join(f"contains(lower(after_text), '{x}')" for x in fixed.SUCCESS_PHRASES)} as shows

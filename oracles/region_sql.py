@@ -35,10 +35,11 @@ SQL = {
       from captured where box_w > 0 and box_h > 0""",
     "redaction_plan": C.rec(HITS, C.FINDINGS, _BOXES) + f""",
       rects as (select page_id as image_id, 0 as source_no, ord as a, 0 as b, 0 as c, box_x as x, box_y as y, box_w as width, box_h as height
-        from boxes where page_id in (select doc_id from documents)
+        from boxes
         union all select image_id, 1, first_line, first_word, finding_no, x, y, width, height
         from regions join (select {_KEYS}, first_line, first_word from lines) l using ({_KEYS}))
       select image_id, row_number() over (partition by image_id order by source_no, a, b, c) as seq, source_no,
-        greatest(0, x::int - 4) as x1, greatest(0, y::int - 4) as y1, least(500, x::int + width::int + 4) as x2,
-        least(1200, y::int + height::int + 4) as y2 from rects where width > 0 and height > 0""",
+        greatest(0, x::int - 4) as x1, greatest(0, y::int - 4) as y1, least(case when sized then 500 end, x::int + width::int + 4) as x2,
+        least(case when sized then 1200 end, y::int + height::int + 4) as y2
+      from (select r.*, d.doc_id is not null as sized from rects r left join documents d on d.doc_id = r.image_id) where width > 0 and height > 0""",
 }

@@ -149,7 +149,8 @@ def pad_clamp_boxes(boxes: DataFrame) -> DataFrame:
 def redaction_plan(element_boxes: DataFrame, regions: DataFrame, sizes: DataFrame) -> DataFrame:
     """Ordered rectangles per image: element boxes first, then OCR regions.
 
-    ``sizes``(image_id, image_width, image_height) is one row per image.
+    ``sizes``(image_id, image_width, image_height) is one row per image; boxes of
+    an image without a size are kept and have no right or lower limit.
     """
     wide = "struct<x:double,y:double,width:double,height:double>"
     first = element_boxes.select(
@@ -160,7 +161,7 @@ def redaction_plan(element_boxes: DataFrame, regions: DataFrame, sizes: DataFram
         "image_id", F.lit(1).alias("source_no"), F.col("first_seq").alias("place"), "finding_no",
         F.col("box").cast(wide).alias("box"),
     )
-    rects = pad_clamp_boxes(first.unionByName(second).join(sizes, "image_id"))
+    rects = pad_clamp_boxes(first.unionByName(second).join(sizes, "image_id", "left"))
     # Blocks follow the order: elements by ordinal, regions by scan line.
     block = F.when(F.col("source_no") == 0, F.floor(F.col("place") / 4096) - (1 << 40)).otherwise(
         F.floor(F.col("place") / (1 << 24))

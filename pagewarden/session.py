@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Of repeated JSON keys the last one counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

@@ -152,16 +152,8 @@ MODEL_TEXT = (
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, in at least as many partitions as there are cores.
-
-    A file of one row group is one partition, and the text work on it would run
-    in one task. Large inputs have more splits than cores and are left alone.
-    """
-    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() < cores:
-        return table.repartition(cores, table.columns[0])
-    return table
+    """A given table, as it is stored."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def form_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,15 +297,12 @@ LOOP_ELAPSED = "5 * cycle + 2 * (user_id % 60)"
 LOOP_EXECUTED = "event_id % 19 <> 0"
 LOOP_VALUE_AFTER = "case when event_id % 13 = 0 then 'other' else chosen_value end"
 LOOP_CLICK_VERIFIED = "event_id % 17 <> 0 and event_id % 5 <> 4"
-# A valid loop ends by its seventh cycle, so later rows of a task cannot count.
-LOOP_LAST_CYCLE = 7
 
 
 def loop_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First cycles of each task; the rank limit is applied before the exchange."""
+    """Every event as a cycle of its user's task."""
     order = W.partitionBy("user_id").orderBy("ts", "event_id")
     rows = read_table(spark, sf_dir, "events").withColumn("cycle", F.row_number().over(order))
-    rows = rows.filter(F.col("cycle") <= LOOP_LAST_CYCLE)
     return rows.selectExpr(
         "event_id", "user_id as task_id", "user_id as page_id", "ts", "cycle",
         f"{LOOP_TASK} as task", f"{LOOP_PLAN} as model_text", f"{LOOP_ELAPSED} as elapsed_s",
@@ -386,12 +375,19 @@ CYCLE_COLUMNS = {
 }
 
 
+POPUP_RUNS = 1_000_000  # tasks that a (user, day) may have
+
+
 def popup_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First cycles per (user, day) task as the extension logs them."""
+    """Cycles as the extension logs them: each run of five events of a (user, day) is a task."""
     log = actions(spark, sf_dir).withColumn(
         "task_id", F.expr("task_id * 100 + day(ts)").cast("bigint")
     )
-    ranked = log.withColumn(
-        "cycle", F.row_number().over(W.partitionBy("task_id").orderBy("ts", "event_id"))
-    ).filter(F.col("cycle") <= 5)
+    place = F.row_number().over(W.partitionBy("task_id").orderBy("ts", "event_id")) - 1
+    ranked = (
+        log.withColumn("_place", place)
+        .withColumn("task_id", (F.col("task_id") * POPUP_RUNS + F.floor(F.col("_place") / 5)).cast("bigint"))
+        .withColumn("cycle", (F.col("_place") % 5 + 1).cast("int"))
+        .drop("_place")
+    )
     return ranked.withColumns({n: F.expr(v) for n, v in CYCLE_COLUMNS.items()})
