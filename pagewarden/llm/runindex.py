@@ -243,8 +243,9 @@ def repeated_spans(texts: DataFrame, length: int, folder: str) -> DataFrame:
     give the same spans once or more often.
     """
     found = written(texts.mapInArrow(_anchors(length), _ANCHORS), folder, "anchors")
-    often = found.groupBy("ah").agg(F.count(F.lit(1)).alias("total")).filter("total > 1")
-    repeated = written(found.join(often.select("ah"), "ah"), folder, "repeated")
+    often = found.groupBy("ah").agg(F.count(F.lit(1)).alias("total")).filter("total > 1").select("ah")
+    # Written, so that the join has an exchange of its own on both sides and a hot anchor can be split.
+    repeated = written(found.join(written(often, folder, "often"), "ah"), folder, "repeated")
     contexts = written(
         repeated.groupBy("ah", "ch").agg(
             F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "place")).alias("at")
