@@ -16,16 +16,16 @@ ELEMENT = (
     "placeholder string, aria_label string, name string, id string"
 )
 FORM = [
-    (1, 0, "input", "input", "", "", "ann@example.com", "Email", "", "email", ""),
-    (1, 1, "input", "input", "", "", "+919876543210", "Phone", "", "phone", ""),
-    (1, 2, "input", "input", "", "", "4111 1111 1111 1111", "Card", "", "card", ""),
-    (1, 3, "input", "input", "password", "", "secret-password", "Password", "", "password", ""),
-    (1, 4, "input", "input", "", "", "1234 5678 9012", "Aadhaar", "", "aadhaar", ""),
-    (1, 5, "input", "input", "", "", "ABCDE1234F", "PAN", "", "pan", ""),
+    (1, 0, "input", "input", "", "", "lea.k@sample.org", "Where we write to", "", "contact", ""),
+    (1, 1, "input", "input", "", "", "+917012345678", "Mobile", "", "mobile", ""),
+    (1, 2, "input", "input", "", "", "5500 0055 5555 5559", "Payment", "", "payment", ""),
+    (1, 3, "input", "input", "password", "", "open-sesame-77", "Entry", "", "entry", ""),
+    (1, 4, "input", "input", "", "", "9876 5432 1098", "Resident number", "", "resident", ""),
+    (1, 5, "input", "input", "", "", "QWERT6789Z", "Tax number", "", "tax", ""),
 ]
 TEXT = (
-    "Name: Ann\nEmail: ann@example.com\nPhone: +919876543210\nCard: 4111 1111 1111 1111\n"
-    "Aadhaar: 1234 5678 9012\nPAN: ABCDE1234F"
+    "Guest Lea\nwrite to lea.k@sample.org\nmobile +917012345678\npaid by 5500 0055 5555 5559\n"
+    "resident 9876 5432 1098\ntax no. QWERT6789Z"
 )
 
 
@@ -43,7 +43,7 @@ def test_page_protection(form):
     clean = {r.ord: r.value for r in privacy.sanitize_elements(elements).collect()}
     assert clean == {0: "[EMAIL]", 1: "[PHONE]", 2: "[CREDIT_CARD]", 3: "[REDACTED]", 4: "[AADHAAR]", 5: "[PAN]"}
     text = privacy.sanitize_page_text(page, found, hot_keys(elements, ["page_id"])).first().page_text
-    for value in ("ann@example.com", "9876543210", "4111", "5678", "ABCDE1234F"):
+    for value in ("lea.k@sample.org", "7012345678", "5500", "5432", "QWERT6789Z"):
         assert value not in text
     summary = privacy.privacy_summary(page, found).first()
     assert summary.credential_findings == 1 and summary.findings == 13
@@ -115,17 +115,17 @@ def test_ocr_region(spark):
 
 def test_planner_case(spark):
     elements = spark.createDataFrame(
-        [(1, 0, "button", "button", "", "Search", "", "", "", "", ""), (1, 1, "input", "input", "", "", "", "Enter your name", "", "name", "name")], ELEMENT
+        [(1, 0, "button", "button", "", "Send", "", "", "", "", ""), (1, 1, "input", "input", "", "", "", "Street and number", "", "street", "street")], ELEMENT
     )
     actions = spark.createDataFrame(
-        [(1, 1, "type", "input[name='name']", "Ann"), (1, 2, "click", "Search", None), (1, 3, "click", "Nope", None), (1, 4, "type", "Search", "x")],
+        [(1, 1, "type", "input[name='street']", "Mill Lane 4"), (1, 2, "click", "Send", None), (1, 3, "click", "Gone", None), (1, 4, "type", "Send", "x")],
         "page_id bigint, step int, action string, target string, value string",
     )
     rows = policy.validate_action(actions, elements).orderBy("step").collect()
     assert [r.message for r in rows] == [
-        "Valid action.", "Valid action.", "Target not found: Nope", "Target is not a text input: Search"
+        "Valid action.", "Valid action.", "Target not found: Gone", "Target is not a text input: Send"
     ]
-    assert rows[0].canonical == "Enter your name"
+    assert rows[0].canonical == "Street and number"
 
 
 @pytest.mark.parametrize(
@@ -205,3 +205,9 @@ def test_budget_counts_only_what_came_before(spark):
     df = spark.createDataFrame(log, "task_id bigint, ts timestamp, event_id bigint, elapsed_s bigint, is_replan boolean")
     got = {r.task_id: (r.step, r.breach) for r in policy.budget_breaches(df).collect()}
     assert got == {1: (7, "replans"), 2: (21, "actions"), 3: (2, "runtime")}
+
+
+def test_last_of_repeated_json_keys_counts(spark):
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    row = spark.sql("""select to_json(try_parse_json('{"status":"blocked","status":"ready"}')) as j""").first()
+    assert row.j == '{"status":"ready"}'
