@@ -16,14 +16,40 @@ ELEMENT_KINDS = (
 )
 _HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 _LINE_ENDS = r"(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|tr|td|option|title)\s*>"
-# Entities decoded in captured text; the ampersand comes last.
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+# The rest of a tag after its name: a ">" inside a quoted value does not end it.
+_TAG_REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
+_ANY_TAG = "<" + _TAG_REST
+_START_TAG = rf"(?s)\A{_ANY_TAG}"
+# One attribute: a name, then a double-quoted, single-quoted, bare or no value.
+_ATTRIBUTE = r"""[^\s/>=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]*))?"""
+_VALUE = r"""(?s)\A[^\s=]+\s*(?:=\s*)?(?:"([^"]*)"|'([^']*)'|(.*))\z"""
+# Named entities decoded in captured text.
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+_NUMERIC = r"(?s)\A&#([xX][0-9a-fA-F]+|[0-9]+);?(.*)\z"
+
+
+def _code_point(number: Column) -> Column:
+    """Character of a decimal or x-prefixed number; U+FFFD where there is none."""
+    is_hex = F.lower(F.substring(number, 1, 1)) == "x"
+    digits = F.regexp_replace(number, "^[xX]?0*", "")
+    code = F.when(F.length(digits) > 7, F.lit(0)).otherwise(
+        F.coalesce(F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).try_cast("int"), F.lit(0))
+    )
+    none = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(none, F.lit(0xFFFD)).otherwise(code)), 8, "0")), "UTF-32")
 
 
 def _decode(text: Column) -> Column:
-    for entity, char in _ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Named and numeric entities, each decoded once, from left to right."""
+
+    def piece(p: Column) -> Column:
+        out = F.when(p.rlike(_NUMERIC), F.concat(_code_point(F.regexp_extract(p, _NUMERIC, 1)), F.regexp_extract(p, _NUMERIC, 2)))
+        for entity, char in _ENTITIES:
+            out = out.when(F.startswith(p, F.lit(entity)), F.concat(F.lit(char), F.substr(p, F.lit(len(entity) + 1))))
+        return out.otherwise(p)
+
+    pieces = F.transform(F.split(text, "(?=&)", -1), piece)
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
 
 
 def shown_html(html: Column | str) -> Column:
@@ -35,13 +61,26 @@ def shown_html(html: Column | str) -> Column:
 def shown_text(html: Column) -> Column:
     """Text of markup: line tags end a line, others vanish, blanks collapse."""
     lines = F.regexp_replace(html, _LINE_ENDS, "\n")
-    bare = _decode(F.regexp_replace(lines, "<[^>]*>", ""))
+    bare = _decode(F.regexp_replace(lines, _ANY_TAG, ""))
     squeezed = F.regexp_replace(bare, "[ \\t]+", " ")
     return F.regexp_replace(F.regexp_replace(squeezed, " ?\\n[ \\n]*", "\n"), r"\A\s+|\s+\z", "")
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    return _decode(F.regexp_extract(tag, rf'(?i)\s{name}\s*=\s*"([^"]*)"', 1))
+def _attributes(tag: Column) -> Column:
+    """Attributes of a start tag in order, as (name, value); a bare name has an empty value."""
+    inside = F.regexp_replace(tag, r"\A<[a-zA-Z][^\s/>]*", "")
+    return F.transform(
+        F.regexp_extract_all(inside, F.lit(_ATTRIBUTE), F.lit(0)),
+        lambda a: F.struct(
+            F.lower(F.regexp_extract(a, r"\A[^\s=]+", 0)).alias("name"), F.regexp_replace(a, _VALUE, "$1$2$3").alias("value")
+        ),
+    )
+
+
+def _attribute(attributes: Column, name: str) -> Column:
+    """Value of the first attribute of this name, empty without one."""
+    first = F.get(F.filter(attributes, lambda a: a["name"] == name), F.lit(0))
+    return F.coalesce(_decode(first["value"]), F.lit(""))
 
 
 def scan_page_elements(pages: DataFrame) -> DataFrame:
@@ -51,7 +90,7 @@ def scan_page_elements(pages: DataFrame) -> DataFrame:
     def of_kind(kind: str, tag: str) -> Column:
         end = "" if tag == "input" else rf".*?</{tag}\s*>"
         return F.transform(
-            F.regexp_extract_all(F.col("_h"), F.lit(rf"(?is)<{tag}\b[^>]*>{end}"), F.lit(0)),
+            F.regexp_extract_all(F.col("_h"), F.lit(rf"(?is)<{tag}(?=[\s/>]){_TAG_REST}{end}"), F.lit(0)),
             lambda m: F.struct(F.lit(kind).alias("type"), F.lit(tag).alias("tag"), m.alias("m")),
         )
 
@@ -60,22 +99,22 @@ def scan_page_elements(pages: DataFrame) -> DataFrame:
         source.select("page_id", F.posexplode_outer(F.concat(*found)).alias("ord", "e"))
         .filter(F.col("e").isNotNull())
         .select("page_id", "ord", "e.type", "e.tag", "e.m")
-        .withColumn("_t", F.regexp_extract("m", r"(?s)\A<[^>]*>", 0))
+        .withColumn("_a", _attributes(F.regexp_extract("m", _START_TAG, 0)))
     )
-    inner = F.regexp_replace("m", r"(?s)\A<[^>]*>|</[a-zA-Z]+\s*>\z", "")
+    inner = F.regexp_replace("m", rf"{_START_TAG}|</[a-zA-Z]+\s*>\z", "")
     text = F.when(F.col("tag") == "input", F.lit("")).otherwise(shown_text(inner))
     return rows.select(
         "page_id", "ord", "type", "tag",
-        _attribute(F.col("_t"), "role").alias("role"),
+        _attribute(F.col("_a"), "role").alias("role"),
         text.alias("text"),
-        _attribute(F.col("_t"), "aria-label").alias("aria_label"),
-        _attribute(F.col("_t"), "placeholder").alias("placeholder"),
-        _attribute(F.col("_t"), "type").alias("input_type"),
-        _attribute(F.col("_t"), "name").alias("name"),
-        _attribute(F.col("_t"), "id").alias("id"),
-        _attribute(F.col("_t"), "value").alias("value"),
-        _attribute(F.col("_t"), "href").alias("href"),
-        (~F.col("_t").rlike(r"(?i)\sdisabled[\s>=/]")).alias("enabled"),
+        _attribute(F.col("_a"), "aria-label").alias("aria_label"),
+        _attribute(F.col("_a"), "placeholder").alias("placeholder"),
+        _attribute(F.col("_a"), "type").alias("input_type"),
+        _attribute(F.col("_a"), "name").alias("name"),
+        _attribute(F.col("_a"), "id").alias("id"),
+        _attribute(F.col("_a"), "value").alias("value"),
+        _attribute(F.col("_a"), "href").alias("href"),
+        (~F.exists("_a", lambda a: a["name"] == "disabled")).alias("enabled"),
     )
 
 
@@ -90,7 +129,7 @@ def page_text(pages: DataFrame) -> DataFrame:
     body = shown_html("html")
     return pages.select(
         "page_id",
-        _decode(F.regexp_extract(body, r"(?is)<title[^>]*>(.*?)</title\s*>", 1)).alias("title"),
+        _decode(F.regexp_extract(body, rf"(?is)<title(?=[\s/>]){_TAG_REST}(.*?)</title\s*>", 1)).alias("title"),
         shown_text(F.regexp_replace(body, r"(?is)<head\b.*?</head\s*>", "")).alias("page_text"),
     )
 
@@ -270,15 +309,15 @@ def parse_plan_object(texts: DataFrame, text: str = "model_text") -> DataFrame:
 
 def html_table_rows(pages: DataFrame) -> DataFrame:
     """Cells of ``table tbody tr``: row_no counts non-empty rows from 1."""
-    bodies = F.regexp_extract_all(shown_html("html"), F.lit(r"(?is)<tbody\b[^>]*>(.*?)</tbody\s*>"), F.lit(1))
+    bodies = F.regexp_extract_all(shown_html("html"), F.lit(rf"(?is)<tbody(?=[\s/>]){_TAG_REST}(.*?)</tbody\s*>"), F.lit(1))
     rows = F.flatten(
-        F.transform(bodies, lambda b: F.regexp_extract_all(b, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"), F.lit(1)))
+        F.transform(bodies, lambda b: F.regexp_extract_all(b, F.lit(rf"(?is)<tr(?=[\s/>]){_TAG_REST}(.*?)</tr\s*>"), F.lit(1)))
     )
     cells = F.transform(
         rows,
         lambda r: F.filter(
             F.transform(
-                F.regexp_extract_all(r, F.lit(r"(?is)<td\b[^>]*>(.*?)</td\s*>"), F.lit(1)),
+                F.regexp_extract_all(r, F.lit(rf"(?is)<td(?=[\s/>]){_TAG_REST}(.*?)</td\s*>"), F.lit(1)),
                 shown_text,
             ),
             lambda c: c != "",
