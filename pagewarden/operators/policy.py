@@ -382,6 +382,11 @@ def click_targets(requests: DataFrame, elements: DataFrame) -> DataFrame:
     )
 
 
+def _digest(body: Column | str) -> Column:
+    """What of a page body travels to the comparison of two phases."""
+    return F.sha2(body, 256)
+
+
 def verify_click(states: DataFrame) -> DataFrame:
     """One row per click: did anything observable change?
 
@@ -389,7 +394,7 @@ def verify_click(states: DataFrame) -> DataFrame:
     phases of a click meet in one aggregation; the target must have been seen
     before, and may be gone after.
     """
-    side = F.struct("url", "body_text", "body_html", "target")
+    side = F.struct("url", _digest("body_text").alias("body_text"), _digest("body_html").alias("body_html"), "target")
     pairs = states.groupBy("event_id").agg(
         F.max(F.when(F.col("phase") == "before", side)).alias("b"),
         F.max(F.when(F.col("phase") == "after", side)).alias("a"),
@@ -411,7 +416,7 @@ def verify_click(states: DataFrame) -> DataFrame:
 
 def verify_page_change(states: DataFrame) -> DataFrame:
     """Extension side: address, text or elements differ between the phases."""
-    side = F.struct("url", "page_text", F.to_json("elements").alias("elements"))
+    side = F.struct("url", _digest("page_text").alias("page_text"), _digest(F.to_json("elements")).alias("elements"))
     pairs = states.groupBy("event_id").agg(
         F.max(F.when(F.col("phase") == "before", side)).alias("b"),
         F.max(F.when(F.col("phase") == "after", side)).alias("a"),
