@@ -125,8 +125,7 @@ def mask_password_values(spark, sf):
 
 
 def sanitize_context(spark, sf):
-    _, payload_elements = P.ingest_page_state_json(D.payloads(spark, sf))
-    payload_pages, _ = P.ingest_page_state_json(D.payloads(spark, sf))
+    payload_pages, payload_elements = P.ingest_page_state_json(D.payloads(spark, sf))
     elements, pages, found = flows.sanitized_state(payload_elements, payload_pages)
     summary = _summary(O.privacy_summary(payload_pages, found))
     state = P.page_state(pages, elements.select("page_id", "ord", "tag", "text", "name", "value"))
