@@ -25,16 +25,25 @@ SLACK = 2
 BROADCAST_ROWS = 200_000  # item shingles of 16 bytes that may be sent to every task
 
 
-def shingles(w: Column) -> Column:
-    """Hashes of the five-word shingles in order; of all words where there are fewer."""
+def shingles(w: Column, length: int = SHINGLE) -> Column:
+    """Hashes of the shingles of ``length`` words in order; of all words where there are fewer."""
     return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(
         F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1))),
-            lambda i: F.xxhash64(F.slice(w, i, SHINGLE)),
+            F.sequence(F.lit(1), F.greatest(F.size(w) - length + 1, F.lit(1))),
+            lambda i: F.xxhash64(F.slice(w, i, length)),
         )
     )
 
 
+def lookups(w: Column, short: list[int]) -> Column:
+    """(pos, h) of every shingle of a text; of ``short`` items' lengths too."""
+    found = F.transform(shingles(w), lambda h, i: F.struct(i.alias("pos"), h.alias("h")))
+    for length in short:
+        more = F.transform(shingles(w, length), lambda h, i: F.struct(i.alias("pos"), h.alias("h")))
+        found = F.concat(found, F.when(F.size(w) > length, more).otherwise(F.slice(more, 1, 0)))
+    return found
+
+
 def simhash(hashes: Column) -> Column:
     """Sign of the sum of the counted hashes, bit by bit."""
     def bit(b: Column) -> Column:
@@ -79,9 +88,9 @@ def leaks(
     """(doc_id, item_id, start, similarity): the best window of each leaked item in each document.
 
     ``start`` counts words from 0; of equal windows the first is given. Null and
-    blank texts leak nothing, nor do items without words; an item or a document
-    of fewer than five words is one shingle, and a text shorter than an item is
-    one window. Documents with null ids are treated as one; repeated rows give
+    blank texts leak nothing, nor do items without words; an item, window or
+    document of fewer than five words is one shingle, and a text shorter than an
+    item is one window. Documents with null ids are treated as one; repeated rows give
     the same leaks once. Other columns are not looked at.
     """
     spark = docs.sparkSession
@@ -91,10 +100,12 @@ def leaks(
         items.select("n", F.posexplode("item").alias("place", "h")).groupBy("h").agg(F.collect_set(F.struct("n", "place")).alias("at")),
         folder, "item_shingles",
     )
+    # Lengths of items that are shorter than a shingle: four at most.
+    short = sorted(r["n"] for r in items.filter(F.col("n") < SHINGLE).select("n").distinct().collect())
     small = places.count() <= BROADCAST_ROWS
     known = F.broadcast(places) if small else places
     texts = docs.select(F.col(id_col).alias("id"), words(F.col(text_col).cast("string")).alias("w")).filter(F.size("w") > 0)
-    hits = texts.select("id", F.size("w").alias("size"), F.xxhash64(F.array_join("w", " ")).alias("key"), F.posexplode(shingles(F.col("w"))).alias("pos", "h")).join(known, "h")
+    hits = texts.select("id", F.size("w").alias("size"), F.xxhash64(F.array_join("w", " ")).alias("key"), F.inline(lookups(F.col("w"), short))).join(known, "h")
     # Start of a window on the diagonal of the shared shingle, kept inside the text.
     diagonals = F.explode("at").alias("a")
     start = F.greatest(F.lit(0), F.least(F.col("size") - F.col("a.n"), F.col("pos") - F.col("a.place")))

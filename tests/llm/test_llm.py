@@ -211,7 +211,7 @@ def test_decontamination(spark, docs, empty):
     loose = item.copy()
     loose[5] = loose[12] = loose[20] = "edit"
     extra = [(100, "start " + " ".join(item) + " end"), (101, sentence(rng, 30) + " " + " ".join(edited[:29] + ["z"])),
-             (102, " ".join(loose)), (103, " ".join(item[:15])), (104, "a b c")]
+             (102, " ".join(loose)), (103, " ".join(item[:15])), (104, "a b c"), (105, sentence(rng, 20) + " a b c " + sentence(rng, 9)), (106, "z a b c")]
     rows = spark.createDataFrame([(i, t, "en", "s", 1, "a", 1, "b", 2) for i, t in extra], SCHEMA).unionByName(docs)
     bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, ""), (4, "a b c"), (5, " ".join(item))], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(rows, bench).collect()}
@@ -228,7 +228,7 @@ def test_decontamination(spark, docs, empty):
         return top
 
     want = {(r.doc_id, b.item_id): s for r in rows.collect() for b in bench.collect() if (s := best(r.text, b.text)) >= 0.8}
-    assert got == pytest.approx(want) and (100, 1) in got and (102, 1) not in got and (104, 4) in got
+    assert got == pytest.approx(want) and (100, 1) in got and (102, 1) not in got and {(i, 4) for i in (104, 105, 106)} <= set(got)
     assert decontaminate.clean(empty, bench).count() == 0 and decontaminate.clean(docs, bench.limit(0)).count() == docs.count()
 
 
