@@ -213,7 +213,7 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("k", text_key("text"))
     kind = dict(texts.dtypes)["id"]
     signed = written(
-        texts.mapInArrow(_signatures(runs), f"id {kind}, k long, set_id binary, words long, paths array<long>"),
+        texts.mapInArrow(_signatures(runs), f"id {kind}, k binary, set_id binary, words long, paths array<long>"),
         folder, "signed",
     )
     rows = signed.select("id", "k", "set_id", "words")
@@ -286,8 +286,8 @@ def near_duplicates(
 
 
 def text_key(column: str):
-    """60 bits of the MD5 of a text; null counts as empty."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(column), F.lit(""))), 1, 15), 16, 10).cast("long")
+    """MD5 of a text, all 128 bits: texts are told apart by it alone. Null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(column), F.lit(""))))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:

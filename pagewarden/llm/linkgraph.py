@@ -16,7 +16,8 @@ from pagewarden.llm.common import scratch, written
 # (host and path prefix, verdict); a rule holds for the host and all its subdomains.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 DAMPING, ROUNDS, EVERY = 0.85, 20, 5
-BLOCK_AT = 0.5  # share of distrust in a host's evidence from which it is blocked
+BLOCK_AT = 0.5  # share of distrust in a host's evidence above which it is blocked
+TIE = 1e-9  # shares that differ by less are equal, so that the order of sums decides nothing
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -123,7 +124,7 @@ def judged(pages: DataFrame, rules=RULES, trusted: DataFrame | None = None, bloc
         folder, "hosts",
     )
     evidence = F.col("trust") + F.col("distrust")
-    by_graph = F.when((evidence > 0) & (F.col("distrust") > BLOCK_AT * evidence), F.lit("block")).otherwise(F.lit("allow"))
+    by_graph = F.when((evidence > 0) & (F.col("distrust") > (BLOCK_AT + TIE) * evidence), F.lit("block")).otherwise(F.lit("allow"))
     by_rule = F.coalesce(*(F.when(F.col("rule") == r, F.lit(v)) for r, v in kinds.items()), F.lit(None).cast("string"))
     return ruled.join(hosts, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce(by_rule, by_graph).alias("verdict"), "trust", "distrust"
