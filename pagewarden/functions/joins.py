@@ -1,4 +1,4 @@
-"""Joins for keys that may be hot, and a containment join by shared grams."""
+"""A containment join by shared grams, and a semi join on what is asked."""
 
 from __future__ import annotations
 
@@ -8,42 +8,6 @@ from pyspark.sql import functions as F
 GRAM = 3
 
 
-def hot_keys(rows: DataFrame, keys: list[str], limit: int = 1_000_000) -> DataFrame:
-    """Keys holding more than ``limit`` rows, with the pieces to cut them into."""
-    return (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > limit)
-        .select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_pieces"))
-    )
-
-
-def salted_join(
-    many: DataFrame,
-    one: DataFrame,
-    keys: list[str],
-    spread_on: list[str],
-    hot: DataFrame,
-    how: str = "inner",
-) -> DataFrame:
-    """Join many rows to one row per key; hot keys are cut into pieces.
-
-    The one-row side is copied per piece, for hot keys only.
-    """
-    piece = F.coalesce(F.col("_pieces"), F.lit(1))
-    left = (
-        many.join(hot, keys, "left")
-        .withColumn("_piece", F.pmod(F.xxhash64(*spread_on), piece).cast("int"))
-        .drop("_pieces")
-    )
-    right = (
-        one.join(hot, keys, "left")
-        .withColumn("_piece", F.explode(F.sequence(F.lit(0), piece - 1)))
-        .drop("_pieces")
-    )
-    return left.join(right, [*keys, "_piece"], how).drop("_piece")
-
-
 def only_asked(rows: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the keys that are asked about, before anything is exploded."""
     return rows.join(asked.select(*keys).distinct(), keys, "left_semi")

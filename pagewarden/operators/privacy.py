@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewarden.functions import fixed
-from pagewarden.functions.joins import contains_join, salted_join
+from pagewarden.functions.joins import contains_join
 from pagewarden.functions.numbering import number_within
 from pagewarden.functions.pii import (
     is_credential,
@@ -17,7 +17,6 @@ from pagewarden.functions.pii import (
     token_map,
     token_of,
 )
-from pagewarden.functions.staging import staged
 
 # Order of findings within a page: elements in order, the text last; within an
 # element the credential first, then fields, then spans.
@@ -121,8 +120,7 @@ def numbered_findings(findings: DataFrame) -> DataFrame:
     block = F.col("is_text") * F.lit(1 << 40) + F.coalesce(
         F.floor(F.col("elem_ord") / _ORD_BLOCK), F.lit(0)
     )
-    # Findings are few beside the texts they come from; numbering reads them twice.
-    return number_within(staged(findings), ["page_id"], block, FINDING_ORDER, "seq")
+    return number_within(findings, ["page_id"], block, FINDING_ORDER, "seq")
 
 
 def folded_field(name: str, value: Column, findings: Column) -> Column:
@@ -151,9 +149,7 @@ def sanitize_elements(elements: DataFrame) -> DataFrame:
     ).drop("_f")
 
 
-def sanitize_page_text(
-    pages: DataFrame, findings: DataFrame, hot: DataFrame, text: str = "page_text"
-) -> DataFrame:
+def sanitize_page_text(pages: DataFrame, findings: DataFrame, text: str = "page_text") -> DataFrame:
     """Replace every page finding's value in the page text, in finding order.
 
     The text's own findings are folded within the row. A value found in an
@@ -161,8 +157,8 @@ def sanitize_page_text(
     produce a new one (tokens share no character run with any value), so the
     element values are made distinct per page, joined, and tested against the
     original text before anything is gathered. What is gathered per page is
-    bounded by its text. ``hot`` lists pages with very many elements
-    (:func:`pagewarden.functions.joins.hot_keys`).
+    bounded by its text. Values of a page with very many elements are split by
+    AQE in that join, as its text is a single row.
     """
     values = (
         findings.filter((F.col("is_text") == 0) & F.col("value").isNotNull())
@@ -173,7 +169,7 @@ def sanitize_page_text(
         )
     )
     present = (
-        salted_join(values, pages.select("page_id", text), ["page_id"], ["value"], hot)
+        values.join(pages.select("page_id", text), "page_id")
         .filter(F.col(text).contains(F.col("value")))
         .groupBy("page_id")
         .agg(F.sort_array(F.collect_list(F.struct("at", F.col("at.type").alias("type"), "value"))).alias("_vs"))
@@ -328,7 +324,7 @@ def raw_values(findings: DataFrame, elements: DataFrame) -> DataFrame:
 
 def residual_leaks(
     values: DataFrame, sanitized_elements: DataFrame, sanitized_pages: DataFrame,
-    hot: DataFrame, columns: tuple[str, ...] = fixed.INSPECTED_FIELDS,
+    columns: tuple[str, ...] = fixed.INSPECTED_FIELDS,
 ) -> DataFrame:
     """Raw values (page_id, value) that still occur after redaction, with the place.
 
@@ -336,9 +332,7 @@ def residual_leaks(
     distinct field strings that share a gram, not every field of the page.
     """
     page_columns = [c for c in ("page_text", "url", "title") if c in sanitized_pages.columns]
-    in_page = salted_join(
-        values, sanitized_pages.select("page_id", *page_columns), ["page_id"], ["value"], hot
-    ).select(
+    in_page = values.join(sanitized_pages.select("page_id", *page_columns), "page_id").select(
         "page_id", "value",
         F.explode(
             F.array_compact(

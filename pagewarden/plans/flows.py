@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewarden.functions import fixed
-from pagewarden.functions.joins import hot_keys
-from pagewarden.functions.staging import staged
 from pagewarden.functions.text import strip, text_or_blank
 from pagewarden.operators import policy, privacy, tasks
 from pagewarden.sources import pages as P
@@ -21,12 +19,9 @@ def sanitized_state(
     Elements are rewritten within their row; only the page text needs values
     from other rows. Address and title pass through unchanged.
     """
-    # Found once, read by the text step, the summary and the audit.
-    findings = staged(privacy.inspect_page(elements, pages))
+    findings = privacy.inspect_page(elements, pages)
     clean_elements = privacy.sanitize_elements(elements)
-    clean_pages = privacy.sanitize_page_text(
-        pages, findings, hot_keys(elements, ["page_id"])
-    )
+    clean_pages = privacy.sanitize_page_text(pages, findings)
     return clean_elements, clean_pages, findings
 
 

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewarden.functions import fixed
-from pagewarden.functions.joins import hot_keys
 from pagewarden.functions.pii import pii_spans, redact_display, replace_values
-from pagewarden.functions.staging import staged
 from pagewarden.operators import privacy as O
 from pagewarden.plans import flows
 from pagewarden.sources import derived as D
@@ -77,7 +75,7 @@ def sanitize_page_text(spark, sf):
     elements = _elements(spark, sf)
     pages = D.form_pages(spark, sf)
     found = O.inspect_page(elements, pages)
-    return O.sanitize_page_text(pages, found, hot_keys(elements, ["page_id"])).select("page_id", "page_text")
+    return O.sanitize_page_text(pages, found).select("page_id", "page_text")
 
 
 def sanitize_documents(spark, sf):
@@ -140,8 +138,8 @@ def sanitize_context(spark, sf):
 def residual_leak_audit(spark, sf):
     elements = _elements(spark, sf)
     clean_elements, clean_pages, found = flows.sanitized_state(elements, D.form_pages(spark, sf))
-    values = staged(O.raw_values(found, elements))
-    leaks = O.residual_leaks(values, clean_elements, clean_pages, hot_keys(elements, ["page_id"]))
+    values = O.raw_values(found, elements)
+    leaks = O.residual_leaks(values, clean_elements, clean_pages)
     per_page = values.groupBy("page_id").agg(F.count(F.lit(1)).alias("raw_values"))
     leaked = leaks.groupBy("page_id").agg(F.count(F.lit(1)).alias("leaks"))
     return per_page.join(leaked, "page_id", "left").select(
@@ -153,8 +151,8 @@ def leak_audit_unprotected(spark, sf):
     """The same audit over states where only password values are masked."""
     elements = _elements(spark, sf)
     pages = D.form_pages(spark, sf)
-    values = staged(O.raw_values(O.inspect_page(elements, pages), elements))
-    return O.residual_leaks(values, O.mask_password_values(elements), pages, hot_keys(elements, ["page_id"]))
+    values = O.raw_values(O.inspect_page(elements, pages), elements)
+    return O.residual_leaks(values, O.mask_password_values(elements), pages)
 
 
 def residual_leak_documents(spark, sf):

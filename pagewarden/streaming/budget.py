@@ -18,14 +18,13 @@ from pagewarden.functions import fixed
 STATE_SCHEMA = "seen int, replans int, first_us bigint, done boolean"
 OUTPUT_SCHEMA = "task_id bigint, step int, breach string"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-IDLE_MS = 30 * 24 * 3600 * 1000
 
 
 class BudgetProcessor(StatefulProcessor):
-    """Emits the first limit a task breaks, once; forgets tasks that went idle."""
+    """Emits the first limit a task breaks, once; ``idle_ms`` after its last batch a task is forgotten."""
 
-    def __init__(self, unit_us: int = 1_000_000) -> None:
-        self.unit_us = unit_us
+    def __init__(self, unit_us: int = 1_000_000, idle_ms: int | None = None) -> None:
+        self.unit_us, self.idle_ms = unit_us, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -33,36 +32,34 @@ class BudgetProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         seen, replans, first_us, done = self.state.get() if self.state.exists() else (0, 0, None, False)
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        if done:
+            for _ in rows:
+                pass
+            return
         room = fixed.MAX_ACTIONS + 1 - seen
-        head, last_ms = None, None
+        head = None
         for chunk in rows:
-            newest = int(chunk["ts_us"].max()) // 1000
-            last_ms = newest if last_ms is None else max(last_ms, newest)
-            if done or room <= 0:
-                continue
             part = chunk[["ts_us", "event_id", "is_replan"]]
             part = part if head is None else pd.concat([head, part])
             head = part.sort_values(["ts_us", "event_id"]).head(room)
         breach = None
-        if head is not None:
-            for row in head.itertuples(index=False):
-                first_us = int(row.ts_us) if first_us is None else first_us
-                if row.ts_us - first_us > fixed.MAX_SECONDS * self.unit_us:
-                    breach = "runtime"
-                elif seen >= fixed.MAX_ACTIONS:
-                    breach = "actions"
-                elif replans > fixed.MAX_REPLANS:
-                    breach = "replans"
-                seen += 1
-                if breach:
-                    done = True
-                    break
-                replans += int(row.is_replan)
-        self.state.update((seen, replans, first_us, done))
-        if last_ms is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(last_ms + IDLE_MS)
+        for row in head.itertuples(index=False) if head is not None else ():
+            first_us = int(row.ts_us) if first_us is None else first_us
+            if row.ts_us - first_us > fixed.MAX_SECONDS * self.unit_us:
+                breach = "runtime"
+            elif seen >= fixed.MAX_ACTIONS:
+                breach = "actions"
+            elif replans > fixed.MAX_REPLANS:
+                breach = "replans"
+            seen += 1
+            if breach:
+                break
+            replans += int(row.is_replan)
+        self.state.update((seen, replans, first_us, breach is not None))
         if breach:
             yield pd.DataFrame({"task_id": [key[0]], "step": [seen], "breach": [breach]})
 
@@ -74,21 +71,25 @@ class BudgetProcessor(StatefulProcessor):
         pass
 
 
-def budget_stream(log: DataFrame, unit_us: int = 1_000_000, lateness: str = "1 hour") -> DataFrame:
+def budget_stream(log: DataFrame, unit_us: int = 1_000_000, idle_ms: int | None = None) -> DataFrame:
     """log(task_id, ts, event_id, is_replan) as a stream to first breaches.
 
     ``unit_us`` is the length of one second of the limit in microseconds of
-    ``ts``. The watermark only serves to expire idle state.
+    ``ts``. Rows count batch by batch, and by ``ts`` and ``event_id`` inside a
+    batch; the time limit runs from the first row so counted. No row is dropped,
+    however late it comes. With one batch, or batches in order of time, the
+    result is that of the batch rule.
+
+    Counters stay for good unless ``idle_ms`` is given: then a task without rows
+    for that long, by the clock of the cluster, is forgotten, and rows that come
+    after that start a new one, which may break a limit again.
     """
-    rows = log.selectExpr(
-        "task_id", "cast(ts as timestamp) as ts", "unix_micros(cast(ts as timestamp)) as ts_us",
-        "event_id", "is_replan",
-    ).withWatermark("ts", lateness)
+    rows = log.selectExpr("task_id", "unix_micros(cast(ts as timestamp)) as ts_us", "event_id", "is_replan")
     return rows.groupBy("task_id").transformWithStateInPandas(
-        statefulProcessor=BudgetProcessor(unit_us),
+        statefulProcessor=BudgetProcessor(unit_us, idle_ms),
         outputStructType=OUTPUT_SCHEMA,
         outputMode="Update",
-        timeMode="EventTime",
+        timeMode="None" if idle_ms is None else "ProcessingTime",
     )
 
 

@@ -1,15 +1,17 @@
 """Operators on small fixtures with results worked out by hand or by brute force."""
 
 import datetime
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from pagewarden.functions.joins import contains_join, hot_keys, salted_join
+from pagewarden.functions.joins import contains_join
 from pagewarden.functions.numbering import number_within
 from pagewarden.operators import policy, privacy, regions, targets, tasks
 from pagewarden.sources import pages as P
+from pagewarden.streaming import budget
 
 ELEMENT = (
     "page_id bigint, ord int, type string, tag string, input_type string, text string, value string, "
@@ -42,7 +44,7 @@ def test_page_protection(form):
     assert found.filter("is_text = 1").count() == 6
     clean = {r.ord: r.value for r in privacy.sanitize_elements(elements).collect()}
     assert clean == {0: "[EMAIL]", 1: "[PHONE]", 2: "[CREDIT_CARD]", 3: "[REDACTED]", 4: "[AADHAAR]", 5: "[PAN]"}
-    text = privacy.sanitize_page_text(page, found, hot_keys(elements, ["page_id"])).first().page_text
+    text = privacy.sanitize_page_text(page, found).first().page_text
     for value in ("lea.k@sample.org", "7012345678", "5500", "5432", "QWERT6789Z"):
         assert value not in text
     summary = privacy.privacy_summary(page, found).first()
@@ -54,16 +56,16 @@ def test_value_found_in_an_element_is_replaced_inside_longer_text(spark):
     elements = spark.createDataFrame([(1, 0, "input", "input", "", "", "ABCDE1234F", "", "", "", "")], ELEMENT)
     page = spark.createDataFrame([(1, "", "", "xABCDE1234Fx")], "page_id bigint, url string, title string, page_text string")
     found = privacy.inspect_page(elements, page)
-    assert privacy.sanitize_page_text(page, found, hot_keys(elements, ["page_id"])).first().page_text == "x[PAN]x"
+    assert privacy.sanitize_page_text(page, found).first().page_text == "x[PAN]x"
 
 
-def test_hot_page_gives_the_same_text(form):
-    elements, page = form
-    found = privacy.inspect_page(elements, page)
-    hot = hot_keys(elements, ["page_id"], limit=2)
-    assert hot.first()._pieces == 3
-    cold = hot_keys(elements, ["page_id"])
-    assert privacy.sanitize_page_text(page, found, hot).collect() == privacy.sanitize_page_text(page, found, cold).collect()
+def test_hot_page_loses_every_value(spark):
+    rows = [(1, i, "input", "input", "", "", f"user{i}@mail{i}.org", "", "", "", "") for i in range(3000)]
+    text = "x" + " y".join(r[6] for r in rows[::7])
+    page = spark.createDataFrame([(1, "", "", text), (2, "", "", "calm")], "page_id bigint, url string, title string, page_text string")
+    elements = spark.createDataFrame(rows, ELEMENT)
+    got = {r.page_id: r.page_text for r in privacy.sanitize_page_text(page, privacy.inspect_page(elements, page)).collect()}
+    assert "@mail" not in got[1] and got[1].count("[EMAIL]") == len(rows[::7]) and got[2] == "calm"
 
 
 def test_credential_token_wins_over_value_match(spark):
@@ -96,13 +98,6 @@ def test_contains_join_equals_brute_force(spark):
     assert got == {(k, n, h) for k, n in needles for j, h in hays if k == j and n and n in h}
 
 
-def test_salted_join_keeps_every_row(spark):
-    many = spark.createDataFrame([(1, i) for i in range(100)] + [(2, 1)], "k int, v int")
-    one = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, t string")
-    rows = salted_join(many, one, ["k"], ["v"], hot_keys(many, ["k"], limit=10))
-    assert rows.count() == 101 and rows.filter("k = 1").count() == 100
-
-
 def test_ocr_region(spark):
     words = [("Email:", 10, 10, 50), ("ann@example.com", 65, 10, 180), ("safe", 10, 40, 40)]
     tokens = spark.createDataFrame(
@@ -211,3 +206,32 @@ def test_last_of_repeated_json_keys_counts(spark):
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     row = spark.sql("""select to_json(try_parse_json('{"status":"blocked","status":"ready"}')) as j""").first()
     assert row.j == '{"status":"ready"}'
+
+
+@pytest.mark.parametrize("in_order", [True, False])
+def test_budget_stream_over_several_batches(spark, tmp_path, in_order):
+    """No late row is lost; batches in order of time give the batch result."""
+    start = datetime.datetime(2024, 1, 1)
+    log = [(1, start + datetime.timedelta(seconds=i), i, i, True) for i in range(10)]
+    log += [(2, start + datetime.timedelta(seconds=i), i, i, False) for i in range(30)]
+    log += [(3, start + datetime.timedelta(seconds=s), s, s, False) for s in (0, 9, 25, 121)]
+    schema = "task_id bigint, ts timestamp, event_id bigint, elapsed_s bigint, is_replan boolean"
+    batches = [[r for r in log if r[2] < 8], [r for r in log if 8 <= r[2] < 19], [r for r in log if r[2] >= 19]]
+    if not in_order:  # the last file is nine hours older than the others
+        old = datetime.timedelta(hours=9)
+        batches[2] = [(r[0], r[1] - old, *r[2:]) for r in batches[2] if r[0] == 2]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/b={n}")
+        for part in (tmp_path / "in" / f"b={n}").glob("*.parquet"):  # files are taken by age
+            os.utime(part, (1_700_000_000 + 60 * n, 1_700_000_000 + 60 * n))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", budget.STATE_STORE)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    out = f"{tmp_path}/out"
+    budget.write_breaches(budget.budget_stream(stream), out, f"{tmp_path}/checkpoint").awaitTermination()
+    assert len(list((tmp_path / "out").glob("batch=*"))) >= 3
+    got = {r.task_id: (r.step, r.breach) for r in spark.read.schema(budget.OUTPUT_SCHEMA).parquet(f"{out}/batch=*").collect()}
+    df = spark.createDataFrame(log, schema)
+    want = {r.task_id: (r.step, r.breach) for r in policy.budget_breaches(df).collect()}
+    if not in_order:
+        want.pop(3)  # its row beyond the time limit is not among these
+    assert got == want
