@@ -8,6 +8,7 @@ or less). Variants are joined by their hash. For each variant only the earliest
 whole line and the earliest line for each missing place are kept, so no pair of
 lines is formed within a group.
 
+Lines of every length that are equal in their words are found by their hash.
 Only lines that can have a neighbour get variants: one edit leaves the first or
 the second half of a line as it was, so lines are first counted by hashes of
 their halves. That test loses nothing.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from pagewarden.llm.common import scratch, words, written
 
-MIN_WORDS = 5  # shorter lines stay: one edit would leave less than 0.8 of them
+MIN_WORDS = 5  # shorter lines only count as equal or not: one edit would leave less than 0.8 of them
 
 
 def _pair(*parts: Column) -> list[Column]:
@@ -81,10 +82,11 @@ def duplicate_lines(docs: DataFrame, folder: str, min_words: int = MIN_WORDS) ->
     line = F.explode(
         F.transform(F.split("text", "\n"), lambda s, i: F.struct(i.alias("line"), _numbers(words(s)).alias("w")))
     )
-    lines = docs.select("id", line.alias("l")).filter(F.size("l.w") >= min_words)
+    lines = docs.select("id", line.alias("l")).filter(F.size("l.w") > 0)
     h1, h2 = _pair(F.col("l.w"))
+    halves = F.when(F.size("l.w") >= min_words, _halves(F.col("l.w")))  # null: no variants
     lines = written(
-        lines.select("id", F.col("l.line").alias("line"), h1.alias("h1"), h2.alias("h2"), _halves(F.col("l.w")).alias("halves")),
+        lines.select("id", F.col("l.line").alias("line"), h1.alias("h1"), h2.alias("h2"), halves.alias("halves")),
         folder, "lines",
     )
     distinct = written(
@@ -146,9 +148,9 @@ def duplicate_lines(docs: DataFrame, folder: str, min_words: int = MIN_WORDS) ->
 def drop_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with a struct column ``_lines``: text, n_lines, n_removed.
 
-    A line (between newlines) of ``min_words`` words or more goes if an earlier
-    line of any document is equal in its words or one word edit away; shorter
-    lines stay. Null and empty texts have no such line and stay as they are. Null
+    A line (between newlines) goes if an earlier line of any document is equal in
+    its words or, where both have ``min_words`` words or more, one word edit away.
+    Lines without words stay. Null and empty texts have no such line and stay as they are. Null
     ids come last in the order and count as one document, as do equal ids: of
     rows that repeat an id, lines at the same number with equal words stay
     together, and a line number that goes for one goes for all. Other columns
@@ -183,10 +185,10 @@ def brute_force(rows: list[tuple[int, str | None]], min_words: int = MIN_WORDS)
     for i, text in rows:
         for n, line in enumerate((text or "").split("\n")):
             w = [x for x in line.replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") if x]
-            if len(w) >= min_words:
+            if w:
                 lines.append(((i is None, i or 0, n), w))
     out: dict[int, list[int]] = {}
     for at, w in lines:
-        if any(o < at and within(w, v, 1) for o, v in lines):
+        if any(o < at and (w == v or min(len(w), len(v)) >= min_words and within(w, v, 1)) for o, v in lines):
             out.setdefault(None if at[0] else at[1], []).append(at[2])
     return out

@@ -142,6 +142,14 @@ def test_line_dedup(docs, empty):
     assert linededup.within("a b c".split(), "a c".split(), 1) and not linededup.within("a b".split(), "b a".split(), 1)
 
 
+def test_equal_short_lines_go(spark):
+    rows = [(1, "All rights reserved.\n\nHome"), (2, "All  rights reserved.\n\nAll rights reserved"), (3, "Home\nMenu\nHome"), (4, "a b c d"), (5, "a b c d e"), (6, "a b c d")]
+    out = linededup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.text for r in out.select("doc_id", "_lines.text").collect()}
+    assert got == {1: rows[0][1], 2: "\nAll rights reserved", 3: "Menu", 4: "a b c d", 5: "a b c d e", 6: ""}
+    assert linededup.brute_force(rows) == {2: [0], 3: [0, 2], 6: [0]}
+
+
 def test_curriculum(docs, empty):
     rows = [r.asDict() for r in curriculum.mixed(docs).collect()]
     assert len(rows) == docs.count() and all(r["taken"] <= 3 * r["size"] for r in rows)
