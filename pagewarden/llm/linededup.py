@@ -16,6 +16,8 @@ their halves. That test loses nothing.
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,41 +70,46 @@ def _verified(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([within(list(x), list(y), 1) for x, y in zip(a, b)], dtype=bool)
 
 
-def _order(id_column: Column, line: Column) -> Column:
-    return F.struct(id_column.isNull().alias("none"), id_column.alias("id"), line.alias("line"))
+def _order(id_column: Column, key: Column, line: Column) -> Column:
+    return F.struct(id_column.isNull().alias("none"), id_column.alias("id"), key.alias("k"), line.alias("line"))
+
+
+def _key(text: str | Column) -> Column:
+    """MD5 of a text, all 128 bits: tells rows of one id apart."""
+    return F.unhex(F.md5(text))
 
 
 def duplicate_lines(docs: DataFrame, folder: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, gone): line numbers of each id that an earlier line makes superfluous.
+    """(id, k, gone): line numbers of each text of an id that an earlier line makes superfluous.
 
-    ``docs`` has id and text. Lines are judged on the input, in the order of id
-    (nulls last) and line number.
+    ``docs`` has id, k, a key of the text, and text. Lines are judged on the
+    input, in the order of id (nulls last), k and line number.
     """
     # Words are hashed once for each line; whatever else is hashed is made of those numbers.
     line = F.explode(
         F.transform(F.split("text", "\n"), lambda s, i: F.struct(i.alias("line"), _numbers(words(s)).alias("w")))
     )
-    lines = docs.select("id", line.alias("l")).filter(F.size("l.w") > 0)
+    lines = docs.select("id", "k", line.alias("l")).filter(F.size("l.w") > 0)
     h1, h2 = _pair(F.col("l.w"))
     halves = F.when(F.size("l.w") >= min_words, _halves(F.col("l.w")))  # null: no variants
     lines = written(
-        lines.select("id", F.col("l.line").alias("line"), h1.alias("h1"), h2.alias("h2"), halves.alias("halves")),
+        lines.select("id", "k", F.col("l.line").alias("line"), h1.alias("h1"), h2.alias("h2"), halves.alias("halves")),
         folder, "lines",
     )
     distinct = written(
-        lines.groupBy("h1", "h2").agg(F.min(_order(F.col("id"), F.col("line"))).alias("at"), F.first("halves").alias("halves")),
+        lines.groupBy("h1", "h2").agg(F.min(_order(F.col("id"), F.col("k"), F.col("line"))).alias("at"), F.first("halves").alias("halves")),
         folder, "distinct",
     )
-    halves = distinct.select("h1", "h2", "at", F.explode(F.array_distinct("halves")).alias("half"))
+    halves = distinct.select("h1", "h2", F.explode(F.array_distinct("halves")).alias("half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half")
-    maybe = halves.join(shared, "half").select("h1", "h2", "at").distinct()
-    wanted = maybe.groupBy(F.col("at.id").alias("id")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "h1", "h2")).alias("wanted"))
+    maybe = distinct.select("h1", "h2", "at").join(halves.join(shared, "half").select("h1", "h2").distinct(), ["h1", "h2"])
+    wanted = maybe.groupBy(F.col("at.id").alias("id"), F.col("at.k").alias("k")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "h1", "h2")).alias("wanted"))
     left, right = docs.alias("d"), wanted.alias("w")
-    cut = left.join(right, F.col("d.id").eqNullSafe(F.col("w.id"))).select(
-        F.col("d.id").alias("id"), F.split("d.text", "\n").alias("split"), F.explode("w.wanted").alias("m")
+    cut = left.join(right, (F.col("d.k") == F.col("w.k")) & F.col("d.id").eqNullSafe(F.col("w.id"))).select(
+        F.col("d.id").alias("id"), F.col("d.k").alias("k"), F.split("d.text", "\n").alias("split"), F.explode("w.wanted").alias("m")
     )
     near = cut.select(
-        "m.h1", "m.h2", _order(F.col("id"), F.col("m.line")).alias("at"), words(F.get("split", F.col("m.line"))).alias("w")
+        "m.h1", "m.h2", _order(F.col("id"), F.col("k"), F.col("m.line")).alias("at"), words(F.get("split", F.col("m.line"))).alias("w")
     )
     near = near.withColumn("v", _numbers(F.col("w")))
     near = written(near.filter(_pair(F.col("v"))[0] == F.col("h1")).dropDuplicates(["h1", "h2"]), folder, "near")
@@ -139,10 +146,10 @@ def duplicate_lines(docs: DataFrame, folder: str, min_words: int = MIN_WORDS) ->
     verdict = written(
         distinct.select("h1", "h2", "at").join(verified, ["h1", "h2"], "left"), folder, "verdict"
     )
-    gone = lines.select("id", "line", "h1", "h2").join(verdict, ["h1", "h2"]).filter(
-        F.coalesce("near", F.lit(False)) | (_order(F.col("id"), F.col("line")) != F.col("at"))
+    gone = lines.select("id", "k", "line", "h1", "h2").join(verdict, ["h1", "h2"]).filter(
+        F.coalesce("near", F.lit(False)) | (_order(F.col("id"), F.col("k"), F.col("line")) != F.col("at"))
     )
-    return gone.groupBy("id").agg(F.collect_set("line").alias("gone"))
+    return gone.groupBy("id", "k").agg(F.collect_set("line").alias("gone"))
 
 
 def drop_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,23 +158,25 @@ def drop_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     A line (between newlines) goes if an earlier line of any document is equal in
     its words or, where both have ``min_words`` words or more, one word edit away.
     Lines without words stay. Null and empty texts have no such line and stay as they are. Null
-    ids come last in the order and count as one document, as do equal ids: of
-    rows that repeat an id, lines at the same number with equal words stay
-    together, and a line number that goes for one goes for all. Other columns
-    pass through.
+    ids come last in the order. Rows of one id, or of the null id, are kept apart
+    by a 128-bit digest of their text, and stand in its order; rows that repeat
+    both are one document, and keep and lose the same lines. Other columns pass
+    through.
     """
     folder = scratch(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
-    gone = duplicate_lines(rows, folder, min_words).select(F.col("id").alias("_gone_id"), F.col("gone").alias("_gone"))
+    rows = rows.withColumn("k", _key("text"))
+    gone = duplicate_lines(rows, folder, min_words).select(F.col("id").alias("_gone_id"), F.col("k").alias("_gone_k"), F.col("gone").alias("_gone"))
     split = F.split(F.col(text_col), "\n")
     none = F.coalesce("_gone", F.array().cast("array<int>"))
     text = F.when(F.size(none) == 0, F.col(text_col)).otherwise(
         F.array_join(F.filter(split, lambda s, i: ~F.array_contains(none, i)), "\n")
     )
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")), "left").withColumn(
+    own = docs.withColumn("_own_k", _key(F.col(text_col).cast("string")))
+    return own.join(gone, (F.col("_own_k") == F.col("_gone_k")) & F.col(id_col).eqNullSafe(F.col("_gone_id")), "left").withColumn(
         "_lines",
         F.struct(text.alias("text"), F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.size(none).alias("n_removed")),
-    ).drop("_gone", "_gone_id")
+    ).drop("_gone", "_gone_id", "_gone_k", "_own_k")
 
 
 def without_duplicate_lines(docs: DataFrame) -> DataFrame:
@@ -179,16 +188,17 @@ def without_duplicate_lines(docs: DataFrame) -> DataFrame:
     ).select(*docs.columns)
 
 
-def brute_force(rows: list[tuple[int, str | None]], min_words: int = MIN_WORDS) -> dict[int, list[int]]:
-    """Line numbers that go, by comparing every pair of lines, for tests."""
+def brute_force(rows: list[tuple[int, str | None]], min_words: int = MIN_WORDS, by_text: bool = False) -> dict:
+    """Line numbers that go of each id, or of each (id, text), by comparing every pair of lines, for tests."""
     lines = []
     for i, text in rows:
         for n, line in enumerate((text or "").split("\n")):
             w = [x for x in line.replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") if x]
             if w:
-                lines.append(((i is None, i or 0, n), w))
-    out: dict[int, list[int]] = {}
-    for at, w in lines:
-        if any(o < at and (w == v or min(len(w), len(v)) >= min_words and within(w, v, 1)) for o, v in lines):
-            out.setdefault(None if at[0] else at[1], []).append(at[2])
+                lines.append(((i is None, i or 0, hashlib.md5(text.encode()).digest(), n), w, text))
+    out: dict = {}
+    for at, w, text in lines:
+        if any(o < at and (w == v or min(len(w), len(v)) >= min_words and within(w, v, 1)) for o, v, _ in lines):
+            i = None if at[0] else at[1]
+            out.setdefault((i, text) if by_text else i, []).append(at[3])
     return out

@@ -150,6 +150,19 @@ def test_equal_short_lines_go(spark):
     assert linededup.brute_force(rows) == {2: [0], 3: [0, 2], 6: [0]}
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    rows = [(1, "a b c d e f"), (None, "x1 x2 x3 x4 x5\nclean one\na b c d e f"), (None, "a b c d e f\nclean two\nclean three"), (None, None),
+            (7, "clean four\na b c d e z"), (7, "a b c d e f\nclean five"), (7, "a b c d e f\nclean five")]
+    want = linededup.brute_force(rows, by_text=True)
+    assert want[(None, rows[1][1])] == [2] and want[(None, rows[2][1])] == [0] and want[(7, rows[5][1])] == [0, 0]
+    out = linededup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text", "_lines.*").collect()
+    assert len(out) == len(rows)
+    for r in out:
+        gone = set(want.get((r.doc_id, r.text), []))
+        left = None if r.text is None else "\n".join(s for n, s in enumerate(r.text.split("\n")) if n not in gone)
+        assert (r[2], r.n_removed) == (left, len(gone)), r
+
+
 def test_curriculum(docs, empty):
     rows = [r.asDict() for r in curriculum.mixed(docs).collect()]
     assert len(rows) == docs.count() and all(r["taken"] <= 3 * r["size"] for r in rows)
