@@ -1,8 +1,13 @@
 """Benchmark decontamination by SimHash over windows of the items' own sizes.
 
-A window of n words is looked at only where the text holds a five-word shingle
-of an item of n words, on the diagonal that the shared shingle gives or within
-``SLACK`` words of it; a window without a shared shingle has similarity 0. Each
+A window of n words is looked at only where the text holds shingles of items of
+n words. A shared shingle gives a diagonal, the start that would put it in place.
+A window whose shared shingles all lie on diagonals to its right loses nothing
+by a step to the right, and likewise to the left, so the best window starts
+between two diagonals of its own shingles. Two of them are less than 2 n apart:
+all starts from diagonal to diagonal are taken where the gap is not larger, and
+``SLACK`` more at the ends. Of these, windows with too few shared shingles to
+reach the threshold are left out. Each
 window and each item has a 64-bit SimHash of its counted shingles. A radius of r
 over eight blocks of eight bits means that some block differs in r // 8 bits at
 most, so items are entered under every block value within that distance and
@@ -81,13 +86,43 @@ def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
     )
 
 
+def between() -> Column:
+    """Starts between neighbours of ``starts`` that are at most two item lengths apart."""
+    last = F.greatest(F.lit(0), F.col("size") - F.col("n"))
+
+    def reach(s: Column, i: Column) -> Column:
+        after = F.get("starts", i + 1)
+        end = F.when(after - s <= 2 * F.col("n"), after).otherwise(s)
+        return F.sequence(F.greatest(F.lit(0), s - SLACK), F.least(last, end + SLACK))
+
+    return F.array_distinct(F.flatten(F.transform("starts", reach)))
+
+
+def full(threshold: float) -> Column:
+    """Starts of windows with shared shingles at as many places of ``found`` as the threshold takes.
+
+    b shingles in common give b / (a + c - b) at most, for a and c shingles of window and item.
+    """
+    size, n = F.col("size"), F.col("n")
+    item = F.greatest(n - SHINGLE + 1, F.lit(1))
+    window = F.greatest(F.least(size, n) - SHINGLE + 1, F.lit(1))
+    need = F.greatest(F.ceil(threshold / (1 + threshold) * (item + window) - 1e-9), F.lit(1)).cast("int")
+
+    def starts(p: Column, i: Column) -> Column:
+        q = F.get("found", i + need - 1)
+        first, last = F.greatest(F.lit(0), q - item + 1), F.least(p, F.greatest(F.lit(0), size - n))
+        return F.when((q - p < item) & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+    return F.array_distinct(F.flatten(F.transform("found", starts)))
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = RADIUS,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, item_id, start, similarity): the best window of each leaked item in each document.
 
-    ``start`` counts words from 0; of equal windows the first is given. Null and
+    ``start`` counts words from 0; of equal windows that are looked at the first is given. Null and
     blank texts leak nothing, nor do items without words; an item, window or
     document of fewer than five words is one shingle, and a text shorter than an
     item is one window. Documents with null ids are treated as one; repeated rows give
@@ -109,10 +144,13 @@ def leaks(
     # Start of a window on the diagonal of the shared shingle, kept inside the text.
     diagonals = F.explode("at").alias("a")
     start = F.greatest(F.lit(0), F.least(F.col("size") - F.col("a.n"), F.col("pos") - F.col("a.place")))
-    near = F.sequence(F.greatest(F.lit(0), F.col("s") - SLACK), F.greatest(F.lit(0), F.least(F.col("size") - F.col("n"), F.col("s") + SLACK)))
+    spots = written(
+        hits.select("id", "key", "size", "pos", diagonals).select("id", "key", "size", "pos", F.col("a.n").alias("n"), start.alias("s")).distinct()
+        .groupBy("id", "key", "size", "n").agg(F.array_sort(F.collect_set("pos")).alias("found"), F.array_sort(F.collect_set("s")).alias("starts")),
+        folder, "spots",
+    )
     windows = (
-        hits.select("id", "key", "size", "pos", diagonals).select("id", "key", "size", F.col("a.n").alias("n"), start.alias("s")).distinct()
-        .select("id", "key", "n", F.explode(near).alias("start")).distinct()
+        spots.select("id", "key", "n", F.explode(F.array_intersect(between(), full(threshold))).alias("start"))
         .groupBy("id", "key").agg(F.collect_list(F.struct("n", "start")).alias("windows"))
     )
     windows = written(windows, folder, "windows")

@@ -224,6 +224,21 @@ def test_runs_reach_the_recall():
     assert 1 - (1 - 0.8**chosenpath.DEPTH) ** chosenpath.n_runs(0.8, 0.99) >= 0.99
 
 
+def test_leak_between_diagonals(spark):
+    rng = random.Random(12)
+    item = [f"{rng.randrange(10**9)}w" for _ in range(304)]
+    new = lambda n: [f"{rng.randrange(10**9)}x" for _ in range(n)]
+    text = new(100) + new(14) + item[14:152] + new(28) + item[152:290] + new(14) + new(120)
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(text[:240]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    b, best = {tuple(item[i : i + 5]) for i in range(300)}, (0, 0)
+    for s in range(len(text) - 303):
+        a = {tuple(text[s + i : s + i + 5]) for i in range(300)}
+        best = max(best, (len(a & b) / len(a | b), -s))
+    got = decontaminate.leaks(docs, bench).collect()
+    assert best[0] >= 0.8 and [(r.doc_id, r.item_id, r.start) for r in got] == [(1, 1, -best[1])] and got[0].similarity == pytest.approx(best[0])
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(9)
     item = sentence(rng, 30).split()
