@@ -1,9 +1,10 @@
 """Near duplicates by a chosen-path join on five-word shingles.
 
 Each text is the set of its shingles. A run splits all sets by a path of sampled
-shared tokens: at a node the path itself picks one of the hash orders, and every
-set goes to the child named by its smallest token in that order, so two sets of
-similarity s stay together with probability s at each step. A node of few sets
+shared tokens: the path itself seeds the hash order of a node, which no other
+node of any run uses, and every set goes to the child named by its smallest token
+in that order, so two sets of similarity s stay together with probability s at
+each step, whatever happened at other steps and in other runs. A node of few sets
 is a leaf; others are split again, down to ``DEPTH`` steps. Leaves are compared
 set by set. Runs are repeated until a pair at the threshold meets with the
 target recall. What is still large at the last step holds texts that are alike;
@@ -29,12 +30,10 @@ from pagewarden.llm import arrays
 from pagewarden.llm.common import scratch, written
 
 SHINGLE = 5
-ORDERS = 64  # hash orders a path can pick from
 FIRST, DEPTH = 2, 5  # steps before the first size test, and at most
 LEAF = 128  # sets that are compared without another split
 TILE = 512  # sets of one side of a tile
-_rng = np.random.default_rng(8)
-_FACTORS = _rng.integers(1 << 62, dtype=np.uint64, size=ORDERS) * np.uint64(2) + np.uint64(1)
+RECALL = 0.999  # chance that a pair at the threshold meets in some run
 
 
 def n_runs(threshold: float, recall: float) -> int:
@@ -42,28 +41,30 @@ def n_runs(threshold: float, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**DEPTH))
 
 
-def smallest(tokens: np.ndarray) -> np.ndarray:
-    """Smallest token in every hash order."""
-    least = np.full(ORDERS, np.uint64(2**64 - 1))
+def smallest(tokens: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Smallest hash of the tokens in the order of every seed."""
+    least = np.full(len(seeds), np.uint64(2**64 - 1))
+    factors = (arrays.mix(seeds) | np.uint64(1))[:, None]
     for at in range(0, len(tokens), 1 << 14):
-        part = tokens[None, at : at + (1 << 14)] * _FACTORS[:, None]
+        part = (tokens[None, at : at + (1 << 14)] ^ seeds[:, None]) * factors
         part ^= part >> np.uint64(29)
         part *= np.uint64(0xBF58476D1CE4E5B9)
+        part ^= part >> np.uint64(32)
         np.minimum(least, part.min(axis=1), out=least)
     return least
 
 
-def paths(least: np.ndarray, runs: int) -> np.ndarray:
-    """Node keys of each row of minima: rows x runs x steps from FIRST to DEPTH."""
-    key = np.broadcast_to(arrays.mix(np.arange(1, runs + 1, dtype=np.uint64)), (len(least), runs)).copy()
-    rows = np.arange(len(least))[:, None]
-    out = []
-    for step in range(1, DEPTH + 1):
-        order = (arrays.mix(key + np.uint64(step)) % np.uint64(ORDERS)).astype(np.int64)
-        key = arrays.mix(key ^ arrays.mix(least[rows, order]))
-        if step >= FIRST:
-            out.append(key)
-    return np.stack(out, axis=2)
+def paths(sets: list[np.ndarray], runs: int) -> np.ndarray:
+    """Node keys of each set: sets x runs x steps from FIRST to DEPTH."""
+    roots = arrays.mix(np.arange(1, runs + 1, dtype=np.uint64))
+    out = np.empty((len(sets), runs, DEPTH - FIRST + 1), np.uint64)
+    for row, tokens in enumerate(sets):
+        key = roots
+        for step in range(1, DEPTH + 1):
+            key = arrays.mix(key ^ arrays.mix(smallest(tokens, arrays.mix(key + np.uint64(step)))))
+            if step >= FIRST:
+                out[row, :, step - FIRST] = key
+    return out
 
 
 def _sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -81,7 +82,7 @@ def _signatures(runs: int):
         for batch in batches:
             for first, count, sets in _sets(batch.column("text")):
                 names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                keys = paths(np.stack([smallest(s) for s in sets]), runs).reshape(len(sets), -1).view(np.int64)
+                keys = paths(sets, runs).reshape(len(sets), -1).view(np.int64)
                 flat = pa.array(keys.ravel())
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * keys.shape[1]), flat)
                 part = batch.slice(first, len(sets))
@@ -196,7 +197,7 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, threshold: float = 0.8, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per input row: id, k, class_id, n_links, n_copies, first.
 

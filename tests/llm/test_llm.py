@@ -224,6 +224,26 @@ def test_runs_reach_the_recall():
     assert 1 - (1 - 0.8**chosenpath.DEPTH) ** chosenpath.n_runs(0.8, 0.99) >= 0.99
 
 
+def test_runs_do_not_share_orders():
+    """More than 128 different near copies: links found of those at 0.8 to 0.82, with every node split to the last step."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(1 << 63, size=400).astype(np.uint64)
+    sets = []
+    for _ in range(600):
+        own = base.copy()
+        own[rng.permutation(400)[:22]] = rng.integers(1 << 63, size=22).astype(np.uint64)
+        sets.append(np.unique(own))
+    last = chosenpath.paths(sets, chosenpath.n_runs(0.8, chosenpath.RECALL))[:, :, -1]
+    found = pairs = 0
+    for i in range(len(sets)):
+        for j in range(0, i, 3):
+            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 0.8 <= shared / (len(sets[i]) + len(sets[j]) - shared) < 0.82:
+                pairs += 1
+                found += (last[i] == last[j]).any()
+    assert pairs > 5_000 and found / pairs >= 0.998
+
+
 def test_leak_between_diagonals(spark):
     rng = random.Random(12)
     item = [f"{rng.randrange(10**9)}w" for _ in range(304)]
