@@ -239,8 +239,8 @@ def _slices(length: int):
 def repeated_spans(texts: DataFrame, length: int, folder: str) -> DataFrame:
     """(k, start, end): byte spans covered by windows that start elsewhere too.
 
-    ``texts`` has k, a key of the text's content, and text. Rows of equal texts
-    give the same spans once or more often.
+    ``texts`` has k, a key of the text's content, and text. Each span comes once,
+    however many rows share a text.
     """
     found = written(texts.mapInArrow(_anchors(length), _ANCHORS), folder, "anchors")
     often = found.groupBy("ah").agg(F.count(F.lit(1)).alias("total")).filter("total > 1").select("ah")
@@ -278,7 +278,8 @@ def repeated_spans(texts: DataFrame, length: int, folder: str) -> DataFrame:
     windows = sliced.filter("hot").mapInArrow(_windows(length), "ah long, w long, k long, start long, n long")
     twice = windows.groupBy("ah", "w").agg(F.sum("n").alias("total")).filter("total > 1").select("ah", "w")
     cut = windows.join(twice, ["ah", "w"]).select("k", "start", (F.col("start") + length).alias("end"))
-    return equal.unionByName(indexed).unionByName(cut)
+    # Copies of a text give the same spans: they go before the exchange, and a text has no more spans than bytes.
+    return equal.unionByName(indexed).unionByName(cut).distinct()
 
 
 def kept_text(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int, int]:

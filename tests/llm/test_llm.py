@@ -71,6 +71,14 @@ def test_run_index_beyond_a_block(docs, monkeypatch):
     assert got == collections.Counter((r[0], w[1]) for r, w in zip(rows, runindex.brute_force([r[1] for r in rows])))
 
 
+def test_spans_of_copies_come_once(spark, tmp_path):
+    rng = random.Random(2)
+    copied, other = sentence(rng, 200), sentence(rng, 100)
+    rows = [(1, copied)] * 40 + [(2, other + " " + copied[:400])]
+    spans = runindex.repeated_spans(spark.createDataFrame(rows, "k long, text string"), 200, f"file://{tmp_path}/spans").collect()
+    assert len(spans) == len(set(spans)) and {r.k for r in spans} == {1, 2}
+
+
 def test_matching_statistics():
     rng = np.random.default_rng(3)
     text = np.r_[rng.integers(97, 99, 400), rng.integers(97, 120, 100), [255]].astype(np.uint8)
