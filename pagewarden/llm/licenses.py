@@ -1,16 +1,19 @@
 """License scans: TF-IDF cosine of notices to templates, then directory inheritance.
 
-Every line of a whole file that holds a licence word is a notice. Notices and
-templates are sparse TF-IDF vectors, with document frequencies of the templates'
-terms counted over all files; the cosine to the nearest template decides. A file
-without a notice of its own inherits from the nearest directory above it that
-has a licence file, found by joins on directory paths. All of it is built-in
+Notices are the lines, paragraphs and comment blocks that hold a licence word,
+and the whole of a licence file; copyright statements are taken out first.
+Notices and templates, one-sentence and full texts, are sparse TF-IDF vectors
+with document frequencies of all their terms counted over all files; the cosine
+to the nearest template decides. An SPDX identifier counts as it is written. A
+file without a notice of its own inherits from the nearest directory above it
+that has a licence file, found by joins on directory paths. All of it is built-in
 DataFrame functions.
 """
 
 from __future__ import annotations
 
 import math
+import pkgutil
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -36,6 +39,51 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
 )
 ANCHORS = ("license", "licensed", "licence", "licenced", "copyright", "reserved", "redistribution", "permission", "spdx", "cc")
+MIT_TEXT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+    "(the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+    "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do "
+    "so, subject to the following conditions:",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE "
+    "FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+    "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+)
+APACHE_HEADER = (
+    "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. "
+    "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, "
+    "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
+    "permissions and limitations under the License."
+)
+GPL_HEADER = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+    "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+    "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. "
+    "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/."
+)
+MPL_HEADER = (
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
+    "this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+)
+# Headers and full texts; the files stand in license_texts.
+TEXTS = (
+    ("MIT", MIT_TEXT[0]), ("MIT", " ".join(MIT_TEXT[:2])), ("MIT", "MIT License " + " ".join(MIT_TEXT)),
+    ("Apache-2.0", APACHE_HEADER), ("GPL", GPL_HEADER), ("GPL", GPL_HEADER.split(" This program is distributed")[0]), ("MPL-2.0", MPL_HEADER),
+)
+FILES = (
+    ("Apache-2.0", "Apache-2.0"), ("GPL", "GPL-2"), ("GPL", "GPL-3"), ("LGPL", "LGPL-2.1"), ("LGPL", "LGPL-3"), ("MPL-2.0", "MPL-2.0"),
+    ("BSD", "BSD"), ("CC0-1.0", "CC0-1.0"),
+)
+# Families of SPDX identifiers; others count as they are written.
+SPDX = (("AGPL-", "AGPL"), ("LGPL-", "LGPL"), ("GPL-", "GPL"), ("BSD-", "BSD"), ("CC-BY-NC-4", "CC-BY-NC"), ("CC-BY-SA-", "CC-BY-SA"), ("CC-BY-4", "CC-BY"))
+SPDX_LINE = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() \t-]*[A-Za-z0-9.+)])"
+# From "Copyright" and a year or sign to the end of the sentence or line.
+COPYRIGHT = r"(?im)(?:copyright[ \t]*(?:\(c\)|©|:)?|©|\(c\))[ \t]*\d{4}.*?(?=all rights reserved|[.;](?:\s|$)|$)"
+_MARK = r"[ \t]*(?://|/\*|\*|#|--|;|%|<!--)"
+_BLANK = r"\n(?:[^\p{L}\p{N}\n]*\n)++"  # a line without letters ends a paragraph, though not a comment
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.-].*)?$"
 _SPLIT = r"[^a-z0-9]+"
 
@@ -48,50 +96,77 @@ def _terms(text: str) -> list[str]:
     return [t for t in re.split(_SPLIT, text.lower()) if t]
 
 
-def frequencies(files: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int], int]:
-    """Files that hold each term of the templates, and all files. One row for each term comes back."""
-    known = F.array(*(F.lit(t) for t in vocabulary))
-    found = F.array_intersect(F.split(F.lower(F.coalesce("text", F.lit(""))), _SPLIT), known)
-    counts = files.select(F.explode(found).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    got = {r["t"]: r["n"] for r in counts.collect()}
-    return {t: got.get(t, 0) for t in vocabulary}, files.count()
+_ANCHOR = rf"(?i)(?<![a-z0-9])(?:{'|'.join(ANCHORS)})(?![a-z0-9])"
 
 
-def notices(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> Column:
-    """Best (similarity, license) over the notices of a file; null without one."""
-    vocabulary = sorted({t for _, text in templates for t in _terms(text)} | set(ANCHORS))
-    df, n = frequencies(files, vocabulary)
-    idf = {t: math.log((1 + n) / (1 + df[t])) + 1 for t in vocabulary}
-    rare = math.log(1 + n) + 1  # a term of no template
-    weight = F.create_map(*(x for t, w in idf.items() for x in (F.lit(t), F.lit(w))))
-    anchors = F.array(*(F.lit(a) for a in ANCHORS))
-    vectors = []
-    for name, text in templates:
-        words = _terms(text)
-        vector = {t: words.count(t) * idf[t] for t in set(words)}
-        norm = math.sqrt(sum(v * v for v in vector.values()))
-        vectors.append((name, {t: v / norm for t, v in vector.items()}))
+def templates() -> list[tuple[str, str]]:
+    files = [(name, pkgutil.get_data(__package__, f"license_texts/{file}.txt").decode()) for name, file in FILES]
+    return [*TEMPLATES, *TEXTS, *files]
 
-    def scored(w: Column) -> Column:
-        def tf(t: Column) -> Column:
-            return F.size(F.filter(w, lambda x: x == t)) * F.coalesce(F.element_at(weight, t), F.lit(rare))
 
-        vector = F.transform(F.array_distinct(w), lambda t: F.struct(t.alias("t"), tf(t).alias("v")))
-        norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, e: s + e["v"] * e["v"]))
+def notices(text: Column, whole: Column) -> Column:
+    """Terms, joined by blanks, of the parts of a text that hold a licence word."""
+    plain = F.regexp_replace(text, COPYRIGHT, " ")
+    cut = F.regexp_replace(plain, rf"(?m)^({_MARK}.*)\n(?!{_MARK})", "$1\n\x01")
+    cut = F.regexp_replace(cut, rf"(?m)^(?!{_MARK})(.*)\n(?={_MARK})", "$1\n\x01")
+    parts = F.concat(
+        F.split(plain, "\n"), F.split(plain, _BLANK), F.split(cut, r"\x01|\n[ \t\r]*\n"),
+        F.when(whole, F.array(plain)).otherwise(F.array().cast("array<string>")),
+    )
+    held = F.filter(F.array_distinct(parts), lambda p: p.rlike(_ANCHOR))
+    return F.array_distinct(F.transform(held, lambda p: F.array_join(terms(p), " ")))
+
+
+def identified(text: Column) -> Column:
+    """(1.0, license) of the SPDX identifiers of a text, the last by name."""
+    def family(x: Column) -> Column:
+        name = F.trim(x)
+        one = ~name.contains(" ")
+        known = F.coalesce(*(F.when(one & F.lower(name).startswith(p.lower()), F.lit(n)) for p, n in SPDX), name)
+        return F.struct(F.lit(1.0).alias("similarity"), known.alias("license"))
+
+    return F.array_max(F.transform(F.regexp_extract_all(text, F.lit(SPDX_LINE), F.lit(1)), family))
 
-        def cosine(template: dict[str, float]) -> Column:
-            own = F.create_map(*(x for t, v in template.items() for x in (F.lit(t), F.lit(v))))
-            return F.aggregate(vector, F.lit(0.0), lambda s, e: s + e["v"] * F.coalesce(F.element_at(own, e["t"]), F.lit(0.0))) / norm
 
-        return F.array_max(F.array(*(F.struct(F.round(cosine(v), 9).alias("similarity"), F.lit(name).alias("license")) for name, v in vectors)))
+def judged(files: DataFrame, folder: str, threshold: float) -> DataFrame:
+    """(k, whole, best): best (similarity, license) over the notices of each text that has one.
 
-    # The cheap test on the line itself comes before it is cut into terms; it loses nothing.
-    lines = F.filter(
-        F.split(F.coalesce("text", F.lit("")), "\n"), lambda s: F.lower(s).rlike("|".join(ANCHORS))
+    ``files`` has text, k, a key of the text, and whole, true for licence files.
+    """
+    spark = files.sparkSession
+    part = F.explode(notices(F.col("text"), F.col("whole")))
+    parts = files.filter(F.col("text").rlike(_ANCHOR)).select("k", "whole", part.alias("c"))
+    parts = written(parts.withColumn("h", F.unhex(F.md5("c"))), folder, "parts")
+    distinct = parts.groupBy("h").agg(F.first("c").alias("c"))
+    counts = written(
+        distinct.select("h", F.explode(F.split("c", " ")).alias("t")).groupBy("h", "t").agg(F.count(F.lit(1)).alias("f")),
+        folder, "terms",
     )
-    cut = F.filter(F.transform(lines, terms), lambda w: F.arrays_overlap(w, anchors))
-    best = F.array_max(F.transform(cut, scored))
-    return F.when(best["similarity"] >= threshold, best)
+    known = [(name, _terms(re.sub(COPYRIGHT, " ", text))) for name, text in templates()]
+    vocabulary = sorted({t for _, words in known for t in words})
+    asked = counts.select("t").union(spark.createDataFrame([(t,) for t in vocabulary], "t string")).distinct()
+    # Document frequencies of all terms of notices and templates, over all files.
+    held = files.select(F.explode(F.array_distinct(terms(F.coalesce("text", F.lit(""))))).alias("t"))
+    df = written(held.groupBy("t").agg(F.count(F.lit(1)).alias("df")).join(asked, "t", "left_semi"), folder, "frequencies")
+    n = files.count()
+    of = {r["t"]: r["df"] for r in df.filter(F.col("t").isin(vocabulary)).collect()}
+    vectors = []
+    for _, words in known:
+        vector = {t: words.count(t) * (math.log((1 + n) / (1 + of.get(t, 0))) + 1) for t in set(words)}
+        norm = math.sqrt(sum(v * v for v in vector.values()))
+        vectors.append({t: v / norm for t, v in vector.items()})
+    rows = [(t, [v.get(t, 0.0) for v in vectors]) for t in vocabulary]
+    own = written(spark.createDataFrame(rows, "t string, ws array<double>"), folder, "templates")
+    value = F.col("f") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
+    weighed = counts.join(df, "t").select("h", "t", value.alias("v")).join(own, "t", "left")
+    dots = [F.sum(F.col("v") * F.get("ws", F.lit(j))).alias(f"d{j}") for j in range(len(known))]
+    sums = weighed.groupBy("h").agg(F.sum(F.col("v") * F.col("v")).alias("square"), *dots)
+    best = F.array_max(F.array(*(
+        F.struct(F.round(F.coalesce(f"d{j}", F.lit(0.0)) / F.sqrt("square"), 9).alias("similarity"), F.lit(name).alias("license"))
+        for j, (name, _) in enumerate(known)
+    )))
+    verdict = written(sums.select("h", best.alias("best")).filter(F.col("best.similarity") >= threshold), folder, "verdicts")
+    return parts.select("k", "whole", "h").join(verdict, "h").groupBy("k", "whole").agg(F.max("best").alias("best"))
 
 
 def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -101,16 +176,20 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     file (LICENSE, COPYING, NOTICE with any ending) stands for its directory with
     the licence found in it; of several the most similar, then the last by name.
     A null path is a file in no directory and inherits nothing; null and empty
-    texts have no notice; repeated rows are judged alike. Ties between templates
+    texts have no notice; repeated rows are judged alike. A notice inside running
+    text is found where it is a line or paragraph of its own. Ties between templates
     go to the last licence by name.
     """
     folder = scratch(files.sparkSession)
     rows = files.select("id", F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     slash = F.length("path") - F.length(F.substring_index("path", "/", -1))
+    rows = rows.withColumn("file", F.substring_index("path", "/", -1)).withColumn("whole", F.coalesce(F.col("file").rlike(LICENSE_FILE), F.lit(False)))
+    rows = rows.withColumn("k", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    near = judged(rows, folder, threshold)
     found = written(
-        rows.select(
+        rows.join(near, ["k", "whole"], "left").select(
             "id", "path", F.when(F.col("path").isNotNull(), F.substring("path", F.lit(1), F.greatest(slash - 1, F.lit(0)))).alias("dir"),
-            F.substring_index("path", "/", -1).alias("file"), notices(rows, threshold=threshold).alias("own"),
+            "file", F.array_max(F.array("best", identified(F.col("text")))).alias("own"),
         ),
         folder, "found",
     )

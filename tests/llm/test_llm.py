@@ -329,6 +329,22 @@ def test_license_scan(spark):
     assert licenses.scan(files).count() == len(rows) and licenses.scan(files.limit(0)).count() == 0
 
 
+def test_license_texts_and_frequencies(spark):
+    mit = "\n\n".join(licenses.MIT_TEXT)
+    header = "#!/bin/sh\n# Copyright 2024 Acme Widgets\n#\n" + re.sub(r"(.{40,60}) ", r"# \1\n", licenses.APACHE_HEADER).replace("\nS", "\n# S") + "\nrun_this --now\n"
+    rows = [(1, "a/x", "Code and text here are licensed under CC BY-NC 4.0."), (2, "b/x", "zork plugh\n\n" + mit.replace(", ", ",\n") + "\n\nxyzzy"),
+            (3, "c/x", "Copyright 2024 Acme. All rights reserved."), (4, "d/LICENSE", "MIT License\n\nCopyright (c) 2019 Jo Doe\n\n" + mit), (5, "e/x.sh", header),
+            (6, "f/x.c", "// SPDX-License-Identifier: GPL-2.0-only\nint x;"), (7, "g/x.c", "/* SPDX-License-Identifier: MIT OR Zlib */"), (8, "d/y", None),
+            (9, "h/COPYING", dict(licenses.templates()[-8:])["MPL-2.0"]), (10, "i/x", "a permission slip costs a lot of money here"), (11, "j/x", licenses.MIT_TEXT[0])]
+    files = spark.createDataFrame(rows, "id long, path string, text string")
+    many = spark.range(100, 200_100).selectExpr("id", "'z/' || id as path", "'code and text here are under this or that of the software' as text")
+    out = {r.id: (r.license, r.origin) for r in licenses.scan(files.unionByName(many)).filter("id < 100").collect()}
+    assert out == {
+        1: ("CC-BY-NC", "own"), 2: ("MIT", "own"), 3: ("Proprietary", "own"), 4: ("MIT", "own"), 5: ("Apache-2.0", "own"), 6: ("GPL", "own"),
+        7: ("MIT OR Zlib", "own"), 8: ("MIT", "inherited"), 9: ("MPL-2.0", "own"), 10: (None, "none"), 11: ("MIT", "own"),
+    }
+
+
 def test_pipeline(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
