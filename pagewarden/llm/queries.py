@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewarden.llm import (
-    chosenpath, curriculum, decontaminate, licenses, linededup, linkgraph, quality, runindex, toxicity, warc,
+    chosenpath, collocations, curriculum, decontaminate, hyperminhash, licenses, linededup, linkgraph, metrictree, quality,
+    runindex, toxicity, warc,
 )
 from pagewarden.llm.common import table
+from pagewarden.llm.sql import SQL  # noqa: F401
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +73,18 @@ def op10_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_metric_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrictree.codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_stripe_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_run_length_index": op2_run_length_index,
@@ -82,5 +96,7 @@ QUERIES = {
     "op8_chosen_path_join": op8_chosen_path_join,
     "op9_pattern_grammar": op9_pattern_grammar,
     "op10_simhash_windows": op10_simhash_windows,
+    "op11_hyperminhash": op11_hyperminhash,
+    "op12_metric_tree_codes": op12_metric_tree_codes,
+    "op13_stripe_collocations": op13_stripe_collocations,
 }
-SQL: dict[str, str] = {}
