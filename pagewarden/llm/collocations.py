@@ -10,7 +10,7 @@ Stripes of length k only take words whose two parts of length k - 1 are frequent
 as each part of a frequent phrase is. That is looked up in a bitmap of fixed size
 (hashes of frequent parts), which may let rare ones through and never loses one.
 A prefix that holds a large share of all words has its next words dealt to
-``SHARDS`` stripes; there are at most ``BROAD`` such prefixes of each length.
+several stripes; there are less than ``BROAD`` such prefixes of each length.
 """
 
 from __future__ import annotations
@@ -27,11 +27,11 @@ from pagewarden.llm import arrays
 from pagewarden.llm.common import scratch, written
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
-CHUNK = 4 << 20  # bytes that are counted at once; pieces are never cut
+CHUNK = 2 << 20  # bytes that are counted at once; pieces are never cut
 FILTER_BITS = 27  # the bitmap of frequent parts takes 2**27 bits: 16 MB
 BITMAP = 32768  # bits of a block in Spark's bitmap functions
-BROAD = 4096  # a prefix with 1/BROAD of all words is dealt out
-SHARDS = 64
+BROAD = 16384  # a prefix with more than 1/BROAD of all words is dealt to a stripe for each such share
+EMPTY_SHARDS = 1024  # stripes of the empty prefix
 MERGE_ROWS = 1 << 19  # entries that are merged at once
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -62,16 +62,17 @@ def _chunks(data: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and hash of each word, and whether the next word follows in the same piece."""
-    inside = ~_IS_SPACE[data]
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    breaks = np.concatenate([[0], np.cumsum(_IS_BREAK[data])])
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = ~_IS_SPACE[data]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edges[::2], edges[1::2]
+    before = np.searchsorted(np.flatnonzero(_IS_BREAK[data]), start)
     linked = np.zeros(len(start), bool)
-    linked[:-1] = breaks[end[:-1]] == breaks[start[1:]]
+    linked[:-1] = before[1:] == before[:-1]
     return start, end, arrays.span_hash(arrays.prefix_hash(data), start, end), linked
 
 
-def _seeds(langs: np.ndarray) -> np.ndarray:
+def _seeds(langs: list[str]) -> np.ndarray:
     """A hash for each language name."""
     data, offsets = arrays.utf8(pa.array(langs, pa.large_string()))
     return arrays.mix(arrays.span_hash(arrays.prefix_hash(data), offsets[:-1], offsets[1:]) + np.uint64(1))
@@ -79,7 +80,7 @@ def _seeds(langs: np.ndarray) -> np.ndarray:
 
 def _chained(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of the phrase of ``size`` words that starts at each word; the last ones wrap round."""
-    value = words.copy()
+    value = words
     for k in range(1, size):
         value = arrays.mix(value * _STEP + np.roll(words, -k))
     return value
@@ -92,70 +93,86 @@ def _frequent(bits: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7)) & 1 == 1
 
 
-def _stripes(size: int, bits: np.ndarray | None, broad: np.ndarray):
-    """Texts to the stripes of each chunk; prefixes have ``size - 1`` words."""
+def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Strings of the words between two offsets each, joined by blanks."""
+    size = end - start + 1
+    edge = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(int(edge[-1])) - np.repeat(edge[:-1] - start, size)
+    joined = data[np.minimum(at, len(data) - 1)] if len(data) else np.zeros(0, np.uint8)
+    joined[edge[1:] - 1] = 32
+    first, last = edge[offsets[:-1]], edge[offsets[1:]]
+    # Every string but the empty ones ends in a blank, which goes.
+    keep = np.ones(len(joined), bool)
+    keep[last[last > first] - 1] = False
+    bounds = np.concatenate([[0], np.cumsum(np.maximum(last - first - 1, 0))]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(bounds), pa.py_buffer(joined[keep].tobytes()))
 
-    def count(data: np.ndarray, lang: np.ndarray, names: list[str], seeds: np.ndarray):
+
+def _binary(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The values between two offsets each, packed as 32-bit integers."""
+    bounds = pa.py_buffer((offsets * 4).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, bounds, pa.py_buffer(values.astype("<i4").tobytes())])
+
+
+def _stripes(size: int, bits: np.ndarray | None, broad: dict[int, tuple[int, int]]):
+    """Texts to the stripes of each chunk; prefixes have ``size - 1`` words.
+
+    A stripe's next words are one string, their numbers one binary value.
+    """
+    known = np.array(sorted(broad), np.int64).view(np.uint64)
+    known_shards = np.array([broad[k][1] for k in known.view(np.int64).tolist()], np.uint64)
+    by = np.argsort(known)
+    known, known_shards = known[by], known_shards[by]
+
+    def count(data: np.ndarray, lang: np.ndarray, ends: np.ndarray, base: int, names: list[str], seeds: np.ndarray):
         start, end, word, linked = _words(data)
-        lang = lang[start]
-        word = arrays.mix(word ^ seeds[lang])
         n = len(word)
-        distinct, sample, ids = np.unique(word, return_index=True, return_inverse=True)
-        spelled = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(sample),
-            [None, pa.py_buffer(np.concatenate([[0], np.cumsum(end[sample] - start[sample])]).astype(np.int64)),
-             pa.py_buffer(data[_runs(start[sample], end[sample])].tobytes())],
-        ).cast(pa.string())
-        reach = np.ones(n, bool)  # words that start size - 1 words of one piece
-        for k in range(size - 2):
-            reach &= np.roll(linked, -k)
-            reach[n - 1 - k :] = False
-        part = _chained(word, max(1, size - 1))
-        heads = np.flatnonzero(reach & _frequent(bits, part))
+        lang = lang[np.searchsorted(ends, start + base, side="right")]
+        word = arrays.mix(word ^ seeds[lang])
         if size == 1:
-            prefix, total_of = lang.astype(np.uint64), np.bincount(lang, minlength=len(names))
-            key, first = np.arange(len(names), dtype=np.uint64), None
-            entries, follow = np.arange(n), np.arange(n)
-            row_of = prefix.astype(np.int64)
+            part, heads, follows = seeds[lang], np.arange(n), np.ones(n, bool)
+            whole = word
         else:
-            key, first, row_of_head, total_of = np.unique(part[heads], return_index=True, return_inverse=True, return_counts=True)
-            first = heads[first]
-            row_of = np.full(n, -1, np.int64)
-            row_of[heads] = row_of_head
-            follow = np.arange(n) + size - 1
-            ok = row_of >= 0
-            ok[max(0, n - size + 1) :] = False
-            ok &= np.roll(linked, -(size - 2))
-            tail = np.roll(part, -1)  # the phrase without its first word
-            ok &= _frequent(bits, tail)
-            entries = np.flatnonzero(ok)
-            follow = follow[entries]
-            row_of = row_of[entries]
-        spread = np.ones(len(key), bool) if size == 1 else np.isin(key, broad)
-        then = ids[follow]
-        shard = np.where(spread[row_of], distinct[then] % np.uint64(SHARDS), np.uint64(0)).astype(np.int64)
-        wide = max(1, len(distinct))
-        pair, number = np.unique((row_of * SHARDS + shard) * wide + then, return_counts=True)
-        stripe, then = pair // wide, pair % wide
+            part = _chained(word, size - 1)
+            reach = np.ones(n, bool)  # words that start size - 1 words of one piece
+            for k in range(size - 2):
+                reach &= np.roll(linked, -k)
+            reach[max(0, n - size + 2) :] = False
+            good = _frequent(bits, part)
+            heads = np.flatnonzero(reach & good)
+            # The phrase goes on with a word, and is frequent without its first one too.
+            on = heads + size - 1
+            follows = on < n
+            follows[follows] = linked[on[follows] - 1] & good[heads[follows] + 1]
+            whole = arrays.mix(part * _STEP + np.roll(word, 1 - size))
+        key, first, total = np.unique(part[heads], return_index=True, return_counts=True)
+        entries = heads[follows]
+        phrase, at, number = np.unique(whole[entries], return_index=True, return_counts=True)
+        at = entries[at]
+        row = np.searchsorted(key, part[at])
+        shards = np.full(len(key), EMPTY_SHARDS if size == 1 else 1, np.uint64)
+        if size > 1 and len(known):
+            place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            shards = np.where(known[place] == key, known_shards[place], shards)
+        then = at + size - 1
+        shard = (word[then] % shards[row]).astype(np.int64)
+        stripe = row << 32 | shard
+        by = np.argsort(stripe, kind="stable")
+        stripe, then, number = stripe[by], then[by], number[by]
         # A prefix's own number travels with its first stripe, also when nothing follows.
-        stripes = np.unique(np.concatenate([stripe, np.arange(len(key)) * SHARDS]))
-        offsets = np.searchsorted(stripe, np.append(stripes, stripes[-1] + 1 if len(stripes) else 0))
-        row, shard = stripes // SHARDS, stripes % SHARDS
-        if size == 1:
-            spelled_prefix, lang_of = pa.array([""] * len(row), pa.string()), row
-        else:
-            pieces = [spelled.take(pa.array(ids[first[row] + k])) for k in range(size - 1)]
-            spelled_prefix = pc.binary_join_element_wise(*pieces, " ") if size > 2 else pieces[0]
-            lang_of = lang[first[row]]
-        edges = pa.array(offsets.astype(np.int32))
+        stripes = np.unique(np.concatenate([stripe, np.arange(len(key)) << 32]))
+        offsets = np.append(np.searchsorted(stripe, stripes), len(stripe))
+        row, shard = stripes >> 32, stripes & 0xFFFFFFFF
+        head = heads[first[row]]
+        ws = (head[:, None] + np.arange(size - 1)).ravel()
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(names, pa.string()).take(pa.array(lang_of)),
-                spelled_prefix,
+                pa.array(names, pa.string()).take(pa.array(lang[head])),
+                _strings(data, start[ws], end[ws], np.arange(len(row) + 1) * (size - 1)),
                 pa.array(shard.astype(np.int32)),
-                pa.array(np.where(shard == 0, total_of[row], 0).astype(np.int64)),
-                pa.ListArray.from_arrays(edges, spelled.take(pa.array(then))),
-                pa.ListArray.from_arrays(edges, pa.array(number.astype(np.int64))),
+                pa.array(np.where(shard == 0, total[row], 0).astype(np.int64)),
+                _strings(data, start[then], end[then], offsets),
+                _binary(number, offsets),
             ],
             ["lang", "prefix", "shard", "total", "next", "n"],
         )
@@ -167,104 +184,104 @@ def _stripes(size: int, bits: np.ndarray | None, broad: np.ndarray):
             names = names.dictionary.to_pylist()
             if not names:
                 continue
-            seeds = _seeds(np.array(names, object))
+            seeds = _seeds(names)
             data, offsets = arrays.utf8(batch.column("text"))
-            for first, last in arrays.runs(offsets, 4 * CHUNK):
+            for first, last in arrays.runs(offsets, CHUNK):
                 # A line feed behind every text: no piece spans two.
-                size_of = np.diff(offsets[first : last + 1])
-                ends = np.cumsum(size_of + 1)
-                joined = np.full(int(ends[-1]), 10, np.uint8)
-                place = np.arange(int(size_of.sum())) + np.repeat(np.arange(last - first), size_of)
-                joined[place] = _LOWER[data[offsets[first] : offsets[last]]]
-                owner = np.repeat(lang[first:last], size_of + 1)
+                ends = np.cumsum(np.diff(offsets[first : last + 1]) + 1)
+                own = np.ones(int(ends[-1]), bool)
+                own[ends - 1] = False
+                joined = np.full(len(own), 10, np.uint8)
+                joined[own] = _LOWER[data[offsets[first] : offsets[last]]]
                 for a, b in _chunks(joined):
-                    found = count(joined[a:b], owner[a:b], names, seeds)
+                    found = count(joined[a:b], lang[first:last], ends, a, names, seeds)
                     for at in range(0, found.num_rows, 20_000):
                         yield found.slice(at, 20_000)
 
     return run
 
 
-def _runs(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Positions of all bytes of the given spans, one span after the other."""
-    size = end - start
-    first = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size
-    return np.arange(int(size.sum())) - np.repeat(first, size) + np.repeat(start, size)
-
-
 def _phrase_hash(lang: pa.Array, phrase: pa.Array, size: int) -> np.ndarray:
     """The hash that ``_stripes`` gives the same phrase of ``size`` words."""
     names = pc.dictionary_encode(lang)
-    seeds = _seeds(np.array(names.dictionary.to_pylist(), object))[np.asarray(names.indices)]
-    data, _ = arrays.utf8(pc.binary_join_element_wise(phrase.cast(pa.string()), "", "\n"))
+    seeds = _seeds(names.dictionary.to_pylist())[np.asarray(names.indices)]
+    data, _ = arrays.utf8(pc.binary_join_element_wise(phrase, "", "\n"))
     _, _, word, _ = _words(data)
     word = arrays.mix(word ^ np.repeat(seeds, size))
     return _chained(word, size)[::size]
 
 
-def _merge(size: int, least: int, totals: dict[int, int]):
+def _merge(size: int, least: int, broad: dict[int, tuple[int, int]]):
     """Sorted stripes of a partition to their merged entries of at least ``least``.
 
     For the empty prefix an entry without a next word carries the number of all words.
     """
-
-    def flush(table: pa.Table, own: pa.Table) -> pa.RecordBatch:
-        own = own.group_by(["lang", "prefix", "shard"], use_threads=False).aggregate([("total", "sum")])
-        kept = table.filter(pc.greater_equal(table["n"], least))
-        joined = kept.join(own, ["lang", "prefix", "shard"], use_threads=False) if kept.num_rows else None
-        columns: list[list] = [[], [], [], [], [], []]
-        if joined is not None:
-            joined = joined.combine_chunks()
-            lang, prefix, then = (joined[c].combine_chunks() for c in ("lang", "prefix", "next"))
-            total = np.asarray(joined["total_sum"].combine_chunks())
-            phrase = then if size == 1 else pc.binary_join_element_wise(prefix, then, " ")
-            if size > 1 and totals:
-                key = _phrase_hash(lang, prefix, size - 1).view(np.int64)
-                total = np.array([totals.get(k, t) for k, t in zip(key.tolist(), total.tolist())], np.int64)
-            h = _phrase_hash(lang, phrase, size).view(np.int64)
-            columns = [[lang], [prefix], [then], [joined["n"].combine_chunks()], [pa.array(total)], [pa.array(h)]]
+    kinds = [pa.string()] * 3 + [pa.int64()] * 3
+
+    def flush(heads: pa.RecordBatch, total: np.ndarray, entries: pa.Table) -> pa.RecordBatch:
+        entries = entries.filter(pc.greater_equal(entries["n"], least)).combine_chunks()
+        key, then = (entries[c].combine_chunks() for c in ("key", "next"))
+        lang, prefix = (heads.column(c).take(key) for c in ("lang", "prefix"))
+        total_of = total[np.asarray(key)]
+        phrase = then if size == 1 else pc.binary_join_element_wise(prefix, then, " ")
+        if size > 1 and broad:
+            whole = _phrase_hash(lang, prefix, size - 1).view(np.int64).tolist()
+            total_of = np.array([broad[h][0] if h in broad else t for h, t in zip(whole, total_of.tolist())], np.int64)
+        columns = [lang, prefix, then, entries["n"].combine_chunks(), pa.array(total_of), pa.array(_phrase_hash(lang, phrase, size).view(np.int64))]
+        columns = [c.cast(k) for c, k in zip(columns, kinds)]
         if size == 1:
-            own = own.filter(pc.equal(own["shard"], 0)).combine_chunks()
-            n = own.num_rows
-            extra = [own["lang"], own["prefix"], pa.nulls(n, pa.string()), own["total_sum"], own["total_sum"], pa.array(np.zeros(n, np.int64))]
-            columns = [c + ([e.combine_chunks()] if isinstance(e, pa.ChunkedArray) else [e]) for c, e in zip(columns, extra)]
-        kinds = [pa.string()] * 3 + [pa.int64()] * 3
-        return pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([a.cast(k) for a in c]) if c else pa.array([], k) for c, k in zip(columns, kinds)],
-            ["lang", "prefix", "next", "f", "total", "h"],
-        )
-
-    def summed(tables: list[pa.Table]) -> pa.Table:
-        keys = ["lang", "prefix", "shard", "next"]
-        return pa.concat_tables(tables).group_by(keys, use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+            at = np.flatnonzero(total)
+            own = pa.array(total[at])
+            extra = [heads.column("lang").take(pa.array(at)), pa.array([""] * len(at)), pa.nulls(len(at), pa.string()), own, own, pa.nulls(len(at), pa.int64())]
+            columns = [pa.concat_arrays([c, e.cast(k)]) for c, e, k in zip(columns, extra, kinds)]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "prefix", "next", "f", "total", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        own: list[pa.Table] = []
-        rows = 0
+        # One head for each stripe so far, its own number, and (key, next, n) entries.
+        heads: list[pa.RecordBatch] = []
+        totals: list[np.ndarray] = []
+        entries: list[pa.Table] = []
+        keys = rows = 0
+
+        def summed() -> pa.Table:
+            table = pa.concat_tables(entries).group_by(["key", "next"], use_threads=False).aggregate([("n", "sum")])
+            return table.rename_columns({"n_sum": "n"})
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            listed = batch.column("next")
-            at = pc.list_parent_indices(listed)
-            heads = pa.Table.from_batches([batch.select(["lang", "prefix", "shard"])])
-            held.append(heads.take(at).append_column("next", listed.flatten()).append_column("n", batch.column("n").flatten()))
-            own.append(heads.append_column("total", batch.column("total")))
-            rows += len(at)
+            listed = pc.split_pattern(batch.column("next"), " ")
+            n = batch.column("n")
+            number = np.frombuffer(b"".join(n.to_pylist()), "<i4").astype(np.int64)
+            count = np.asarray(pc.binary_length(n)) // 4
+            names = batch.select(["lang", "prefix", "shard"])
+            fresh = np.zeros(len(count), bool)
+            for c in names.columns:
+                fresh[1:] |= np.asarray(pc.not_equal(c[1:], c[:-1]).cast(pa.int8())) == 1
+            fresh[0] = not heads or any(names.column(c)[0] != heads[-1].column(c)[len(heads[-1]) - 1] for c in range(3))
+            key = np.cumsum(fresh) - 1 + keys
+            if fresh.any():
+                heads.append(names.take(pa.array(np.flatnonzero(fresh))))
+            keys = int(key[-1]) + 1
+            totals.append(np.bincount(key, weights=np.asarray(batch.column("total")), minlength=keys).astype(np.int64))
+            # The empty string splits into one empty word.
+            spelled = listed.filter(pa.array(count > 0)).flatten()
+            entries.append(pa.table({"key": np.repeat(key, count), "next": spelled, "n": number}))
+            rows += len(number)
             if rows < MERGE_ROWS:
                 continue
-            table, mine = summed(held), pa.concat_tables(own)
-            last = [batch.column(c)[batch.num_rows - 1] for c in ("lang", "prefix", "shard")]
-            # The last stripe of a batch may go on in the next one.
-            open_, open_own = (
-                pc.and_(pc.and_(pc.equal(t["lang"], last[0]), pc.equal(t["prefix"], last[1])), pc.equal(t["shard"], last[2]))
-                for t in (table, mine)
-            )
-            yield flush(table.filter(pc.invert(open_)), mine.filter(pc.invert(open_own)))
-            held, own = [table.filter(open_)], [mine.filter(open_own)]
-            rows = 0
-        if own:
-            yield flush(summed(held), pa.concat_tables(own))
+            # The last stripe may go on in the next batch.
+            table, total = summed(), sum(np.pad(t, (0, keys - len(t))) for t in totals)
+            whole = pa.Table.from_batches(heads).combine_chunks().to_batches()[0]
+            done = pc.less(table["key"], keys - 1)
+            yield flush(whole, np.append(total[:-1], 0), table.filter(done))
+            held = table.filter(pc.invert(done))
+            heads, totals = [whole.slice(keys - 1)], [total[-1:]]
+            entries = [held.set_column(held.schema.get_field_index("key"), "key", pa.array(np.zeros(held.num_rows, np.int64)))]
+            keys, rows = 1, 0
+        if keys:
+            total = sum(np.pad(t, (0, keys - len(t))) for t in totals)
+            yield flush(pa.Table.from_batches(heads).combine_chunks().to_batches()[0], total, summed())
 
     return run
 
@@ -287,13 +304,12 @@ def counted(docs: DataFrame, folder: str, longest: int, least: int, text_col: st
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
     )
-    bits, totals, all_counts, per_lang, everything = None, {}, None, None, 0
+    bits, broad, all_counts, per_lang, everything = None, {}, None, None, 0
     for size in range(1, longest + 1):
-        broad = np.array(sorted(totals), np.int64).view(np.uint64)
         counts = written(
-            texts.mapInArrow(_stripes(size, bits, broad), "lang string, prefix string, shard int, total long, next array<string>, n array<long>")
+            texts.mapInArrow(_stripes(size, bits, broad), "lang string, prefix string, shard int, total long, next string, n binary")
             .repartition("lang", "prefix", "shard").sortWithinPartitions("lang", "prefix", "shard")
-            .mapInArrow(_merge(size, least, totals), MERGED),
+            .mapInArrow(_merge(size, least, broad), MERGED),
             folder, f"stripes{size}",
         )
         if size == 1:
@@ -304,9 +320,10 @@ def counted(docs: DataFrame, folder: str, longest: int, least: int, text_col: st
         all_counts = sized if all_counts is None else all_counts.unionByName(sized)
         if size < longest:
             bits = _bitmap(counts)
-            # At most BROAD phrases of one length hold this share of all words.
+            # Less than BROAD phrases of one length hold this share of all words.
             share = max(least, everything // BROAD)
-            totals = dict(counts.filter(F.col("f") > share).select("h", "f").collect())
+            large = counts.filter(F.col("f") > share).select("h", "f").collect()
+            broad = {h: (f, 1 << int(f // share).bit_length()) for h, f in large}
     return all_counts, per_lang
 
 
@@ -375,10 +392,11 @@ def collocations(
     kept = scored.join(maxima, ["lang", "phrase"], "left").filter(
         F.col("cover").isNull() | (F.col("cover") * 100 < F.col("f") * covered)
     )
+    # The plain row number lets Spark cut each task's rows to ``top`` a language before the exchange.
     best = kept.select("lang", "phrase", F.col("f").alias("a"), "worst.l", "worst.r", "worst.score").withColumn(
-        "rank", F.expr("row_number() over (partition by lang order by score desc, a desc, phrase)").cast("long")
+        "rank", F.expr("row_number() over (partition by lang order by score desc, a desc, phrase)")
     ).filter(F.col("rank") <= top)
-    return best.join(per_lang, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return best.join(per_lang, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def brute_force(rows: list[tuple], longest: int = 3, least: int = 10, covered: int = 50, top: int = 2000) -> list[tuple]:

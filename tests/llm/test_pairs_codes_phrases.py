@@ -115,7 +115,7 @@ def test_trees_hold_every_point_once():
     assert len(metrictree.Tree.build(np.ones((300, 4), np.int64)).kids) == 1
 
 
-@pytest.mark.parametrize("longest,chunk,merge", [(3, 4 << 20, 1 << 19), (4, 500, 40), (2, 4 << 20, 1 << 19)])
+@pytest.mark.parametrize("longest,chunk,merge", [(3, 2 << 20, 1 << 19), (4, 500, 40)])
 def test_phrases_are_those_of_brute_force(spark, monkeypatch, longest, chunk, merge):
     monkeypatch.setattr(collocations, "CHUNK", chunk)
     monkeypatch.setattr(collocations, "MERGE_ROWS", merge)
