@@ -4,7 +4,8 @@ Nothing here pairs every request with every element of its page. Requests are
 made distinct first; elements are turned into keyed facts (how many elements
 answer to a key, which comes first, its label) by one partial aggregation; each
 request then looks its keys up by an equi-join, one row per rule it may match.
-Substring rules go through the gram join. The lowest rule number wins.
+Substring rules go through the gram join. The lowest rule number wins. Rules that
+score words are answered in packed rows, see ``profiles``.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pagewarden.functions.text import (
     text_or_blank,
     word_form,
 )
+from pagewarden.operators import profiles
 
 IDENTIFIERS = ("text", "aria_label", "placeholder", "name", "id")
 
@@ -178,24 +180,39 @@ _KINDS = {
 }
 
 
+def _kinds() -> Column:
+    tag = F.lower(F.coalesce(F.nullif(F.col("type"), F.lit("")), F.col("tag"), F.lit("")))
+    return F.array_compact(F.array(*[F.when(tag.isin(*tags), F.lit(kind)) for kind, tags in _KINDS.items()]))
+
+
 def eligible_elements(elements: DataFrame) -> DataFrame:
     """Element rows per target kind they may serve; passwords serve none."""
-    tag = F.lower(F.coalesce(F.nullif(F.col("type"), F.lit("")), F.col("tag"), F.lit("")))
-    kinds = F.array_compact(
-        F.array(*[F.when(tag.isin(*tags), F.lit(kind)) for kind, tags in _KINDS.items()])
-    )
     return elements.filter(F.lower(text_or_blank("input_type")) != "password").withColumn(
-        "kind", F.explode(kinds)
+        "kind", F.explode(_kinds())
     )
 
 
-def _profiles(elements: DataFrame) -> DataFrame:
-    """Distinct word forms per page and kind, with how many elements share one."""
-    combined = word_form(F.concat_ws(" ", *[ident(c) for c in IDENTIFIERS]))
+def _packed_requests(requests: DataFrame) -> DataFrame:
+    """Distinct requests with the keys the rules ask for; blank targets ask for nothing."""
+    on = ["page_id", "kind", "target"]
     return (
-        eligible_elements(elements)
-        .groupBy("page_id", "kind", combined.alias("profile"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord"))
+        requests.select(*on).distinct().withColumn("key", ident("target")).filter(F.col("key") != "")
+        .withColumns({"form": word_form("key"), "group": alias_group(F.col("target"))})
+    )
+
+
+def _packed_elements(elements: DataFrame, payload: Column | None = None) -> DataFrame:
+    """Elements with all kinds they may serve, identifiers, word form and alias groups."""
+    form = word_form(F.concat_ws(" ", *[ident(c) for c in IDENTIFIERS]))
+    groups = [F.when(F.col("form").rlike("|".join(names)), F.lit(group)) for group, names in _alias_forms().items()]
+    return (
+        elements.filter(F.lower(text_or_blank("input_type")) != "password")
+        .select(
+            "page_id", "ord", _kinds().alias("kinds"), form.alias("form"),
+            _distinct_keys(*[F.nullif(ident(c), F.lit("")) for c in IDENTIFIERS]).alias("ids"),
+            (F.struct(F.lit(None).cast("int").alias("none")) if payload is None else payload).alias("payload"),
+        )
+        .withColumn("groups", F.array_compact(F.array(*groups)))
     )
 
 
@@ -203,38 +220,12 @@ def match_scored(requests: DataFrame, elements: DataFrame) -> DataFrame:
     """Best-scoring element per (page_id, kind, target), with the size of the tie.
 
     100 for an equal word form, 20 per target word that is a whole word, else 5
-    when it occurs inside one. Scores are computed per distinct word form, from
-    word postings, and ties are counted over the elements sharing it.
+    when it occurs inside one.
     """
-    on = ["page_id", "kind", "target"]
-    asked = requests.select(*on).distinct().withColumn("form", word_form(ident("target"))).filter(ident("target") != "")
-    profiles = _profiles(only_asked(elements, asked, ["page_id"]))
-    words = asked.select(
-        *on, F.posexplode(F.filter(F.split("form", " "), lambda w: w != "")).alias("pos", "word")
-    )
-    tokens = profiles.select(
-        "page_id", "kind", "profile",
-        F.explode(F.array_distinct(F.split("profile", " "))).alias("token"),
-    ).filter(F.col("token") != "")
-    scope = ["page_id", "kind"]
-    hits = contains_join(words, tokens, scope, "word", "token")
-    points = (
-        hits.join(tokens, [*scope, "token"])
-        .groupBy(*scope, "word", "profile")
-        .agg(F.max(F.when(F.col("word") == F.col("token"), 20).otherwise(5)).alias("points"))
-    )
-    by_words = words.join(points, [*scope, "word"]).select(*on, "profile", "points")
-    equal = asked.join(
-        profiles.select(*scope, F.col("profile").alias("form"), "profile"), [*scope, "form"]
-    ).select(*on, "profile", F.lit(100).alias("points"))
-    scored = by_words.unionByName(equal).groupBy(*on, "profile").agg(F.sum("points").alias("score"))
-    ties = (
-        scored.join(profiles, [*scope, "profile"])
-        .groupBy(*on, "score")
-        .agg(F.sum("n").alias("n"), F.min("ord").alias("ord"))
-    )
-    return ties.groupBy(*on).agg(F.max(F.struct("score", "n", "ord")).alias("b")).select(
-        *on, "b.score", F.col("b.n").alias("ties"), F.col("b.ord").alias("ord")
+    won = profiles.answers(_packed_requests(requests), _packed_elements(elements))
+    best = won.select("page_id", "kind", "target", profiles.ruled(F.col("won"), profiles.SCORED).alias("b"))
+    return best.filter(F.col("b").isNotNull()).select(
+        "page_id", "kind", "target", F.col("b.score").cast("int").alias("score"), F.col("b.n").alias("ties"), F.col("b.first.ord").alias("ord")
     )
 
 
@@ -290,29 +281,25 @@ def match_single(requests: DataFrame, elements: DataFrame) -> DataFrame:
     return hits.filter(F.col("n") == 1).select("page_id", "kind", "target", "ord")
 
 
-def resolve_bridge(requests: DataFrame, elements: DataFrame) -> DataFrame:
+def resolve_bridge(requests: DataFrame, elements: DataFrame, payload: Column | None = None) -> DataFrame:
     """(page_id, kind, target) to ``ord`` and the rule that found it.
 
-    Exact, first in order; unique best score; unique alias; sole candidate.
+    Exact, first in order; unique best score; unique alias; sole candidate. A
+    ``payload`` (struct over elements) comes along from the element found.
     """
-    on = ["page_id", "kind", "target"]
-    requests = distinct_requests(requests, on)
-    keyed = _bridge_rule(
-        requests,
-        elements,
-        F.array(
-            F.struct(F.lit(0).alias("rule_no"), F.concat(F.lit("e|"), F.col("kind"), F.lit("|"), ident("target")).alias("key")),
-            F.struct(F.lit(2).alias("rule_no"), _alias_key().alias("key")),
-            F.struct(F.lit(3).alias("rule_no"), F.concat(F.lit("n|"), F.col("kind")).alias("key")),
-        ),
-    ).filter((F.col("rule_no") == 0) | (F.col("n") == 1))
-    scored = match_scored(requests, elements).filter(F.col("ties") == 1)
-    rules = keyed.select(*on, "rule_no", "ord").unionByName(
-        scored.select(*on, F.lit(1).alias("rule_no"), "ord")
-    )
-    best = rules.groupBy(*on).agg(F.min(F.struct("rule_no", "ord")).alias("b"))
-    names = F.element_at(F.array(*[F.lit(n) for n in ("exact", "score", "alias", "single")]), F.col("b.rule_no") + 1)
-    return best.select(*on, F.col("b.ord").alias("ord"), names.alias("rule"))
+    names = ("exact", "score", "alias", "single")
+    won = profiles.answers(_packed_requests(requests), _packed_elements(elements, payload))
+    rules = won.select(
+        "page_id", "kind", "target",
+        F.array(*[
+            F.struct(F.lit(name).alias("rule"), profiles.ruled(F.col("won"), n).alias("b")) for n, name in enumerate(names)
+        ]).alias("rules"),
+    )
+    # Only the exact rule takes the first of several.
+    found = F.filter("rules", lambda r: r["b"].isNotNull() & ((r["rule"] == "exact") | (r["b"]["n"] == 1)))
+    best = rules.select("page_id", "kind", "target", F.get(found, F.lit(0)).alias("r")).filter(F.col("r").isNotNull())
+    more = [] if payload is None else [F.col("r.b.first.payload").alias("payload")]
+    return best.select("page_id", "kind", "target", F.col("r.b.first.ord").alias("ord"), F.col("r.rule").alias("rule"), *more)
 
 
 # ------------------------------------------------------- canonical popup target

@@ -18,6 +18,7 @@ from pagewarden.functions.text import (
     task_pattern,
     text_or_blank,
 )
+from pagewarden.functions.staging import staged
 from pagewarden.operators.targets import resolve_bridge
 
 
@@ -159,14 +160,13 @@ def next_step(tasks: DataFrame, elements: DataFrame) -> DataFrame:
             )
         ),
     ).filter(F.col("target").isNotNull())
-    described = elements.select(
-        "page_id", "ord", F.col("value").alias("current"),
+    described = F.struct(
+        F.col("value").alias("current"),
         first_filled("placeholder", "aria_label", "name", "id", "text").alias("type_label"),
         first_filled("text", "aria_label", "placeholder", "name", "id").alias("click_label"),
     )
-    resolved = resolve_bridge(requests, elements).select("page_id", "kind", "target", "ord").join(
-        described, ["page_id", "ord"]
-    )
+    # Read by both joins below.
+    resolved = staged(resolve_bridge(requests, elements, described).select("page_id", "kind", "target", "payload.*"))
     fields = resolved.filter(F.col("kind") == "type").select(
         "page_id", F.col("target").alias("_field"), F.lit(True).alias("_field_found"), "current", "type_label"
     )
