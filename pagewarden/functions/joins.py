@@ -1,4 +1,4 @@
-"""A containment join by shared grams, and a semi join on what is asked."""
+"""Containment joins by shared grams, and a semi join on what is asked."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAM = 3
+LONG_GRAM = 8  # grams of needles that are long enough; values with a common beginning differ in these
 
 
 def only_asked(rows: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,3 +56,39 @@ def contains_join(
     return joined(wanted.filter(F.length(needle) >= GRAM), (GRAM,), distinct_hays).unionByName(
         joined(short, tuple(range(1, GRAM)), only_asked(distinct_hays, short, keys))
     )
+
+
+def rarest_grams(needles: DataFrame, keys: list[str], needle: str) -> DataFrame:
+    """(keys, needle, _gram): the gram of each distinct needle that fewest needles of the keys have.
+
+    Needles of ``LONG_GRAM`` characters or more have grams of that length, others
+    of ``GRAM``; what is shorter than that is left out.
+    """
+    size = F.length(needle)
+    grams = F.when(size >= LONG_GRAM, _grams(F.col(needle), (LONG_GRAM,))).otherwise(_grams(F.col(needle), (GRAM,)))
+    cut = needles.select(*keys, needle).filter(size >= GRAM).distinct().select(*keys, needle, F.explode(grams).alias("_gram"))
+    often = cut.groupBy(*keys, "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    return (
+        cut.join(often, [*keys, "_gram"])
+        .groupBy(*keys, needle)
+        .agg(F.min(F.struct("_n", "_gram")).alias("_rarest"))
+        .select(*keys, needle, F.col("_rarest._gram").alias("_gram"))
+    )
+
+
+def gram_candidates(needles: DataFrame, hays: DataFrame, keys: list[str], needle: str, hay: str) -> DataFrame:
+    """(keys, needle, hay) where the hay has the needle's rarest gram; not yet tested."""
+    cut = hays.withColumn("_gram", F.explode(_grams(F.col(hay), (GRAM, LONG_GRAM))))
+    return rarest_grams(needles, keys, needle).join(cut, [*keys, "_gram"]).select(*keys, needle, hay)
+
+
+def rare_contains_join(needles: DataFrame, hays: DataFrame, keys: list[str], needle: str, hay: str) -> DataFrame:
+    """As ``contains_join``, for many needles that begin alike, such as numbers of one range.
+
+    Each needle meets the hays that have its rarest gram.
+    """
+    wanted = needles.select(*keys, needle).filter(F.col(needle) != "").distinct()
+    distinct_hays = only_asked(hays.select(*keys, hay).filter(F.col(hay) != ""), wanted, keys).distinct()
+    tested = gram_candidates(wanted, distinct_hays, keys, needle, hay).filter(F.col(hay).contains(F.col(needle)))
+    short = wanted.filter(F.length(needle) < GRAM)
+    return tested.unionByName(contains_join(short, distinct_hays, keys, needle, hay))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewarden.functions import fixed
-from pagewarden.functions.joins import contains_join
+from pagewarden.functions.joins import rare_contains_join
 from pagewarden.functions.numbering import number_within
 from pagewarden.functions.pii import (
     is_credential,
@@ -329,7 +329,7 @@ def residual_leaks(
     """Raw values (page_id, value) that still occur after redaction, with the place.
 
     Text: one page row meets its distinct values. Elements: distinct values meet
-    distinct field strings that share a gram, not every field of the page.
+    distinct field strings that have their rarest gram, not every field of the page.
     """
     page_columns = [c for c in ("page_text", "url", "title") if c in sanitized_pages.columns]
     in_page = values.join(sanitized_pages.select("page_id", *page_columns), "page_id").select(
@@ -344,7 +344,7 @@ def residual_leaks(
         "page_id",
         F.inline(F.array(*[F.struct(F.lit(c).alias("place"), F.col(c).alias("hay")) for c in columns])),
     ).filter(F.col("hay") != "")
-    hits = contains_join(values, fields, ["page_id"], "value", "hay")
+    hits = rare_contains_join(values, fields, ["page_id"], "value", "hay")
     in_fields = hits.join(fields.distinct(), ["page_id", "hay"]).select("page_id", "value", "place")
     return in_page.unionByName(in_fields.distinct())
 
