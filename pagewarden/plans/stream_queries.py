@@ -38,7 +38,7 @@ def budget_stream(spark, sf):
         budget.budget_stream(log, UNIT_US), f"{folder}/out", f"{folder}/checkpoint"
     )
     query.awaitTermination()
-    return spark.read.schema(budget.OUTPUT_SCHEMA).parquet(f"{folder}/out/batch=*").select(
+    return budget.latest_breaches(spark, f"{folder}/out").select(
         "task_id", F.col("step").cast("bigint").alias("step"), "breach"
     )
 

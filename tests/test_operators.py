@@ -206,32 +206,3 @@ def test_last_of_repeated_json_keys_counts(spark):
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     row = spark.sql("""select to_json(try_parse_json('{"status":"blocked","status":"ready"}')) as j""").first()
     assert row.j == '{"status":"ready"}'
-
-
-@pytest.mark.parametrize("in_order", [True, False])
-def test_budget_stream_over_several_batches(spark, tmp_path, in_order):
-    """No late row is lost; batches in order of time give the batch result."""
-    start = datetime.datetime(2024, 1, 1)
-    log = [(1, start + datetime.timedelta(seconds=i), i, i, True) for i in range(10)]
-    log += [(2, start + datetime.timedelta(seconds=i), i, i, False) for i in range(30)]
-    log += [(3, start + datetime.timedelta(seconds=s), s, s, False) for s in (0, 9, 25, 121)]
-    schema = "task_id bigint, ts timestamp, event_id bigint, elapsed_s bigint, is_replan boolean"
-    batches = [[r for r in log if r[2] < 8], [r for r in log if 8 <= r[2] < 19], [r for r in log if r[2] >= 19]]
-    if not in_order:  # the last file is nine hours older than the others
-        old = datetime.timedelta(hours=9)
-        batches[2] = [(r[0], r[1] - old, *r[2:]) for r in batches[2] if r[0] == 2]
-    for n, rows in enumerate(batches):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/b={n}")
-        for part in (tmp_path / "in" / f"b={n}").glob("*.parquet"):  # files are taken by age
-            os.utime(part, (1_700_000_000 + 60 * n, 1_700_000_000 + 60 * n))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", budget.STATE_STORE)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    out = f"{tmp_path}/out"
-    budget.write_breaches(budget.budget_stream(stream), out, f"{tmp_path}/checkpoint").awaitTermination()
-    assert len(list((tmp_path / "out").glob("batch=*"))) >= 3
-    got = {r.task_id: (r.step, r.breach) for r in spark.read.schema(budget.OUTPUT_SCHEMA).parquet(f"{out}/batch=*").collect()}
-    df = spark.createDataFrame(log, schema)
-    want = {r.task_id: (r.step, r.breach) for r in policy.budget_breaches(df).collect()}
-    if not in_order:
-        want.pop(3)  # its row beyond the time limit is not among these
-    assert got == want
