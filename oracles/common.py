@@ -72,7 +72,7 @@ _FORM_ROWS = " union all ".join(
     f"'{f[6]}' as aria_label, {f[7]} as text, {f[8]} as value from customer"
     for n, f in enumerate(D.FORM_FIELDS)
 )
-CAPTURED = f"""captured as (select *, '' as role, (page_id + ord) % 17 <> 0 as visible,
+CAPTURED = f"""captured as (select *, '' as role, {D.FORM_LABEL} as label, (page_id + ord) % 17 <> 0 as visible,
   (page_id + ord) % 11 <> 0 as enabled, 10.0::double as box_x, (30 * ord)::double as box_y,
   (case when (page_id + ord) % 13 = 0 then 0 else 200 end)::double as box_w, 24.0::double as box_h
   from ({_FORM_ROWS}))"""

@@ -69,7 +69,10 @@ SQL = {
     "scan_form_elements": C.rec(C.HTML, _scan("form_html")) + f"""select page_id, ord, type, tag, {_ELEMENT_TEXT},
       {_attr('aria-label')} as aria_label, {_attr('placeholder')} as placeholder, {_attr('type')} as input_type, {_attr('name')} as name,
       {_attr('id')} as id, {_attr('value')} as value, {_attr('href')} as href,
-      not regexp_matches(t, '(?i)\\sdisabled[\\s>=/]') as enabled from scanned""",
+      not regexp_matches(t, '(?i)\\sdisabled[\\s>=/]') as enabled,
+      case when tag = 'select' then trim(regexp_extract(h, '<label>([^<]*)<select', 1))
+        when {_attr('id')} <> '' then regexp_extract(h, '<label for="' || {_attr('id')} || '">([^<]*)</label>', 1) else '' end as label
+      from scanned join shown using (page_id)""",
     "filter_visible_enabled": C.rec(C.ELEMENTS) + "select page_id, ord, type, enabled, box_y from elements",
     "page_text": f"""select page_id, {_decode(f"regexp_extract({_HIDE.format('html')}, '(?is)<title[^>]*>(.*?)</title\\s*>', 1)")} as title,
       {_BODY_TEXT} as page_text from pages""",

@@ -148,8 +148,8 @@ def find_dom(source: str, elements: str = "captured") -> str:
     case when regexp_matches(t, '{plain}') then trim(regexp_extract(t, '{plain}', 1)) end as text5 from freq),
   fpair as (select f.*, e.ord, e.tag,
     is_drop and e.tag = 'select' and len(ws) > 0 and len(list_filter(ws, lambda w: not contains(
-      regexp_replace(lower(e.name || ' ' || e.id || ' ' || e.aria_label || ' ' || e.placeholder || ' ' || e.text), '[^a-z0-9]+', ' ', 'g'), w))) = 0 as r0,
-    is_drop and e.tag = 'select' and len(list_filter(ws, lambda w: contains(lower(e.name || ' ' || e.id || ' ' || e.aria_label || ' ' || e.text), w))) > 0 as r1,
+      regexp_replace(lower(e.name || ' ' || e.id || ' ' || e.aria_label || ' ' || e.placeholder || ' ' || e.label || ' ' || e.text), '[^a-z0-9]+', ' ', 'g'), w))) = 0 as r0,
+    is_drop and e.tag = 'select' and len(list_filter(ws, lambda w: contains(lower(e.name || ' ' || e.id || ' ' || e.aria_label || ' ' || e.label || ' ' || e.text), w))) > 0 as r1,
     is_field and phrase <> '' and ((e.tag = 'input' and lower(e.input_type) <> 'password') or e.tag = 'textarea')
       and (contains(lower(e.name), phrase) or contains(lower(e.id), phrase) or contains(lower(e.placeholder), phrase) or contains(lower(e.aria_label), phrase)) as r2,
     list_contains({fields(ident)}, l) as r3, coalesce(trim(e.text) = text4, false) as r4, coalesce(trim(e.text) = text5, false) as r5

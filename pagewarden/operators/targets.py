@@ -440,7 +440,7 @@ _PLAIN = r"(?i)\A(?:button|input|textarea|select|link)\s+(.+)\z"
 def find_target_dom(requests: DataFrame, elements: DataFrame) -> DataFrame:
     """(page_id, target) to the element a page script would act on.
 
-    Dropdown words over selects, the sole select, field words over editable
+    Dropdown words over selects (their labels included), the sole select, field words over editable
     fields, exact identifier, ``button with text '..'``, ``button ..``; a rule
     counts only when it names exactly one element, else the next is tried.
     """
@@ -448,6 +448,8 @@ def find_target_dom(requests: DataFrame, elements: DataFrame) -> DataFrame:
     trimmed = js_trim(text_or_blank("target"))
     asked = distinct_requests(requests.filter(trimmed != ""), on)
     elements = only_asked(elements, asked, ["page_id"])
+    if "label" not in elements.columns:
+        elements = elements.withColumn("label", F.lit(""))
     lower = F.lower(trimmed)
 
     # Rule 0 and 1: words of a dropdown target against the selects.
@@ -459,7 +461,7 @@ def find_target_dom(requests: DataFrame, elements: DataFrame) -> DataFrame:
     ).filter(F.size("words") > 0)
     selects = elements.filter(F.col("tag") == "select")
     doc = F.regexp_replace(
-        F.lower(F.concat_ws(" ", *[text_or_blank(c) for c in ("name", "id", "aria_label", "placeholder", "text")])),
+        F.lower(F.concat_ws(" ", *[text_or_blank(c) for c in ("name", "id", "aria_label", "placeholder", "label", "text")])),
         "[^a-z0-9]+", " ",
     )
     docs = selects.groupBy("page_id", doc.alias("hay")).agg(
@@ -478,7 +480,7 @@ def find_target_dom(requests: DataFrame, elements: DataFrame) -> DataFrame:
         .filter(F.col("n") == 1)
         .select(*on, F.lit(0).alias("rule_no"), "ord")
     )
-    raw = F.lower(F.concat_ws(" ", *[text_or_blank(c) for c in ("name", "id", "aria_label", "text")]))
+    raw = F.lower(F.concat_ws(" ", *[text_or_blank(c) for c in ("name", "id", "aria_label", "label", "text")]))
     sole = (
         selects.groupBy("page_id")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", raw.alias("doc"))).alias("s"))

@@ -22,7 +22,7 @@ def scan_form_elements(spark, sf):
     rows = P.scan_page_elements(D.form_html(spark, sf))
     return rows.select(
         "page_id", "ord", "type", "tag", "text", "aria_label", "placeholder", "input_type",
-        "name", "id", "value", "href", "enabled",
+        "name", "id", "value", "href", "enabled", "label",
     )
 
 

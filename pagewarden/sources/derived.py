@@ -59,15 +59,16 @@ PAGE_TEXT = (
     "case c_custkey % 4 when 0 then 'Search completed successfully' "
     "when 1 then 'Pending' when 2 then 'OPERATION COMPLETED' else 'Task completed' end"
 )
+FORM_LABEL = "case when tag = 'select' then 'State of residence' else '' end"
 FORM_HTML = (
     "'<html><head><title>Form ' || c_mktsegment || ' &amp; more</title>"
     "<style>b{x:y}</style><script>var s=\"<input name=z>\";</script></head><body>"
-    "<!-- <a href=\"/no\">no</a> --><input type=\"text\" id=\"name\" name=\"name\" "
+    "<!-- <a href=\"/no\">no</a> --><label for=\"name\">Name of ' || c_mktsegment || '</label><input type=\"text\" id=\"name\" name=\"name\" "
     "placeholder=\"Enter your name\" value=\"' || c_name || '\">"
     f"<input type=\"password\" name=\"password\" value=\"secret-' || {_K} || '\">"
     f"<textarea name=\"notes\" aria-label=\"Notes\">call ' || {_PHONE} || '</textarea>"
-    "<select name=\"country\" id=\"country\"><option value=\"IN\">India</option>"
-    "<option value=\"JP\">Japan</option></select>"
+    f"<label>Home of ' || {_K} || ' <select name=\"country\" id=\"country\"><option value=\"IN\">India</option>"
+    "<option value=\"JP\">Japan</option></select></label>"
     "<button type=\"submit\" id=\"go\">Search <b>now</b></button>' || "
     "case when c_custkey % 2 = 0 then '<button disabled>Login</button>' else '' end || "
     f"'<a href=\"/history/' || {_K} || '\">History</a>' || "
@@ -104,7 +105,8 @@ ACTION_KIND = (
 ACTION_TARGET = (
     "case event_id % 12 when 0 then 'Search' when 1 then 'Enter your name' "
     "when 2 then 'input[name=\"email\"]' when 3 then 'password' when 4 then 'missing' "
-    "when 5 then 'name field' when 6 then 'Country dropdown' when 7 then ' ' "
+    "when 5 then 'name field' "
+    "when 6 then case when event_id % 5 = 0 then 'Residence selector' else 'Country dropdown' end when 7 then ' ' "
     "when 8 then 'History' when 9 then 'button with text \"Login\"' "
     "when 10 then 'login button' else 'Input [ placeholder = \"Phone\" ]' end"
 )
@@ -169,7 +171,7 @@ def form_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return base.selectExpr(
         "page_id", "ord", "type", "tag", "'' as role", "text", "aria_label",
-        "placeholder", "input_type", "name", "id", "value",
+        "placeholder", "input_type", "name", "id", "value", f"{FORM_LABEL} as label",
         "(page_id + ord) % 17 <> 0 as visible",
         "(page_id + ord) % 11 <> 0 as enabled",
         "named_struct('x', cast(10 as double), 'y', cast(30 * ord as double), 'width', "

@@ -8,18 +8,14 @@ from pyspark.sql import functions as F
 
 from pagewarden.functions import fixed
 from pagewarden.functions.text import strip
+from pagewarden.sources.markup import element_spans_of
 
-# Element kinds in capture order, with the tag of each.
-ELEMENT_KINDS = (
-    ("button", "button"), ("input", "input"), ("textarea", "textarea"),
-    ("select", "select"), ("link", "a"),
-)
 _HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+_CONTROLS = r"(?is)<(select|textarea)(?=[\s/>]).*?</\1\s*>"
 _LINE_ENDS = r"(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|tr|td|option|title)\s*>"
 # The rest of a tag after its name: a ">" inside a quoted value does not end it.
 _TAG_REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
 _ANY_TAG = "<" + _TAG_REST
-_START_TAG = rf"(?s)\A{_ANY_TAG}"
 # One attribute: a name, then a double-quoted, single-quoted, bare or no value.
 _ATTRIBUTE = r"""[^\s/>=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]*))?"""
 _VALUE = r"""(?s)\A[^\s=]+\s*(?:=\s*)?(?:"([^"]*)"|'([^']*)'|(.*))\z"""
@@ -84,25 +80,15 @@ def _attribute(attributes: Column, name: str) -> Column:
 
 
 def scan_page_elements(pages: DataFrame) -> DataFrame:
-    """HTML to element rows, ordered by kind and then by document position."""
-    source = pages.select("page_id", shown_html("html").alias("_h"))
-
-    def of_kind(kind: str, tag: str) -> Column:
-        end = "" if tag == "input" else rf".*?</{tag}\s*>"
-        return F.transform(
-            F.regexp_extract_all(F.col("_h"), F.lit(rf"(?is)<{tag}(?=[\s/>]){_TAG_REST}{end}"), F.lit(0)),
-            lambda m: F.struct(F.lit(kind).alias("type"), F.lit(tag).alias("tag"), m.alias("m")),
-        )
+    """HTML to element rows, ordered by kind and then by document position.
 
-    found = [of_kind(kind, tag) for kind, tag in ELEMENT_KINDS]
-    rows = (
-        source.select("page_id", F.posexplode_outer(F.concat(*found)).alias("ord", "e"))
-        .filter(F.col("e").isNotNull())
-        .select("page_id", "ord", "e.type", "e.tag", "e.m")
-        .withColumn("_a", _attributes(F.regexp_extract("m", _START_TAG, 0)))
-    )
-    inner = F.regexp_replace("m", rf"{_START_TAG}|</[a-zA-Z]+\s*>\z", "")
-    text = F.when(F.col("tag") == "input", F.lit("")).otherwise(shown_text(inner))
+    ``label`` is the text of all labels of an element, those that name its id and
+    those around it, in document order; the text of selects inside them is left out.
+    """
+    source = pages.select("page_id", F.posexplode(element_spans_of(shown_html("html"))).alias("ord", "e"))
+    rows = source.select("page_id", "ord", "e.*", _attributes(F.col("e.start")).alias("_a"))
+    text = F.when(F.col("tag") == "input", F.lit("")).otherwise(shown_text(F.col("inner")))
+    label = F.transform("labels", lambda inner: shown_text(F.regexp_replace(inner, _CONTROLS, "")))
     return rows.select(
         "page_id", "ord", "type", "tag",
         _attribute(F.col("_a"), "role").alias("role"),
@@ -114,6 +100,7 @@ def scan_page_elements(pages: DataFrame) -> DataFrame:
         _attribute(F.col("_a"), "id").alias("id"),
         _attribute(F.col("_a"), "value").alias("value"),
         _attribute(F.col("_a"), "href").alias("href"),
+        F.array_join(label, " ").alias("label"),
         (~F.exists("_a", lambda a: a["name"] == "disabled")).alias("enabled"),
     )
 

@@ -1,5 +1,7 @@
 """HTML as it is found: quote forms, entities, names that only begin like a kind."""
 
+import re
+import timeit
 from html.parser import HTMLParser
 
 from hypothesis import HealthCheck, given, settings
@@ -7,6 +9,7 @@ from hypothesis import strategies as st
 
 from pagewarden.functions.pii import is_credential
 from pagewarden.sources import pages as P
+from pagewarden.sources.markup import element_spans
 
 HTML = [
     (1, "<input type='password' name='pw' value='topsecret'>"),
@@ -76,3 +79,95 @@ def test_against_a_parser(spark, tags):
         parser.feed(tag)
         want += [(page, *found) for found in parser.found]
     assert sorted((r.page_id, r.name, r.value, r.enabled) for r in got) == want
+
+
+class _Tree(HTMLParser):
+    """Elements with their text, by the parser's own events and a plain search of the stack."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.found = [], []
+
+    def cut(self, depth):
+        del self.stack[depth:]
+
+    def last(self, name):
+        for depth in range(len(self.stack) - 1, -1, -1):
+            if self.stack[depth][0] == name:
+                return depth
+            if self.stack[depth][0] == "td" and name != "td":
+                break
+        return None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "input" and self.last("select") is not None:
+            self.cut(self.last("select"))
+        if tag in ("a", "button", "select") and self.last(tag) is not None:
+            self.cut(self.last(tag))
+            if tag == "select":
+                return
+        text = []
+        if tag in ("a", "button", "select", "input"):
+            self.found.append((tag, text))
+        if tag != "input":
+            self.stack.append((tag, text))
+
+    def handle_endtag(self, tag):
+        depth = self.last(tag)
+        if depth is not None:
+            self.cut(depth)
+
+    def handle_data(self, data):
+        for _, text in self.stack:
+            text.append(data)
+
+
+_SOUP = st.lists(
+    st.one_of(
+        st.sampled_from("a button select div span td b".split()).map(lambda t: f"<{t}>"),
+        st.sampled_from("a button select div span td b".split()).map(lambda t: f"</{t}>"),
+        st.sampled_from(("<input>", "x", "yz", "<A href='>'>", "</BUTTON >", "<button type=\"<a>\">")),
+    ),
+    max_size=25,
+).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(html=_SOUP)
+def test_tag_stack_against_a_parser(html):
+    parser = _Tree()
+    parser.feed(html)
+    got = element_spans(html)
+    order = ["button", "input", "textarea", "select", "a"]
+    want = sorted(((order.index(tag), n, tag, "".join(text)) for n, (tag, text) in enumerate(parser.found)))
+    assert [(e["tag"], re.sub(r"""<(?:"[^"]*"|'[^']*'|[^>"'])*>""", "", e["inner"])) for e in got] == [(t, x) for _, _, t, x in want]
+
+
+def test_elements_without_an_end(spark):
+    html = [
+        (1, "<button>Save"), (2, "<textarea name=n>hello"), (3, "<a href=u>one<a href=v>two</a>"),
+        (4, "<div><button>Go</div>after"), (5, "<table><td><a>in</td><td>out</table></a>"), (6, "<button disabled"),
+        (7, "<textarea><a>raw</a></textarea><a>x</a>"), (8, "<select><option>A<input name=q><a>z"),
+    ]
+    got = [(r.page_id, r.tag, r.text) for r in P.scan_page_elements(frame(spark, html)).orderBy("page_id", "ord").collect()]
+    assert got == [
+        (1, "button", "Save"), (2, "textarea", "hello"), (3, "a", "one"), (3, "a", "two"), (4, "button", "Go"), (5, "a", "in"),
+        (7, "textarea", "raw"), (7, "a", "x"), (8, "input", ""), (8, "select", "A"), (8, "a", "z"),
+    ]
+
+
+def test_labels_of_elements(spark):
+    html = """<label for="c">Home &amp; land</label><label>Which <select id=c><option>India</option></select> one</label>
+      <input id=n><label for=n>Name<label for=other>No</label> <label>Mail <input name=m></label> <a id=n>link</a>"""
+    rows = {(r.tag, r.id or r.name): r.label for r in P.scan_page_elements(frame(spark, [(1, html)])).collect()}
+    assert rows["select", "c"] == "Home & land Which one" and rows["input", "m"].endswith("Mail") and rows["a", "n"] == ""
+    assert rows["input", "n"].startswith("Name")
+
+
+def test_open_tags_take_linear_time():
+    def seconds(n):
+        html = "<button>x" * n + "<div><b>" * n + "</p></i>" * n + "<td>" * n + "</b>" * n
+        return min(timeit.repeat(lambda: element_spans(html), number=1, repeat=3))
+
+    assert seconds(40_000) < 30 * seconds(4_000)
+    assert len(element_spans("<button>" * 50_000)) == 50_000
