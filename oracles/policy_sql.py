@@ -39,6 +39,19 @@ _PLANS = C.rec(
     validated("day_actions"),
 )
 
+_MEMBER = "coalesce(case when json_type(item) = 'OBJECT' and json_type(item, '$.{n}') = 'VARCHAR' then item ->> '$.{n}' end, '')"
+_RAW = C.rec(
+    C.ELEMENTS, C.MODELS,
+    f"""raw_plans as (select event_id, page_id, case when a <> '' and json_valid(a) then a end as a from (select event_id, page_id, {S._ARRAY} as a from model_texts)),
+  raw_items as (select event_id, page_id, unnest(json_extract(a, '$[*]')) as item, unnest(range(json_array_length(a)::int)) + 1 as step from raw_plans where a is not null),
+  raw_steps as (select event_id, page_id, step, json_type(item) as kind, {_MEMBER.format(n='action')} as action, {_MEMBER.format(n='target')} as target,
+    case when json_type(item) = 'OBJECT' and json_type(item, '$.value') = 'VARCHAR' then item ->> '$.value' end as value from raw_items)""",
+    validated("raw_steps"),
+    f"""judged as (select event_id, step, case when kind <> 'OBJECT' then {s(fixed.MSG_NOT_OBJECT)} else message end as message from validated
+    union all select event_id, null, case when a is null then {s(fixed.MSG_PLAN_NOT_LIST)} else {s(fixed.MSG_PLAN_EMPTY)} end
+    from raw_plans where a is null or json_array_length(a) = 0)""",
+)
+
 _TOK = T._lst(fixed.TOKENS.values())
 _XY = " or ".join("json_type({x}, '$." + k + "') is not null" for k in fixed.COORDINATE_KEYS)
 PLANS = f"""pk as (select event_id, page_id, task, plan, case when plan is null then '' else json_type(plan) end as kind from parsed),
@@ -132,6 +145,10 @@ SQL = {
     "validate_plan": _PLANS + """select task_id, plan_day, bool_and(valid) as valid, count(*) as steps, count(*) filter (where not valid) as errors,
       arg_min(message, step) filter (where not valid) as first_error from validated group by 1, 2""",
     "validate_plan_errors": _PLANS + "select task_id, plan_day, step, 'Step ' || step || ': ' || message as error from validated where not valid",
+    "validate_raw_action": _RAW + f"select event_id, step, message = {s(fixed.MSG_VALID)} as valid, message from judged",
+    "validate_raw_plan": _RAW + f"""select event_id, bool_and(message = {s(fixed.MSG_VALID)}) as valid, count(step) as steps,
+      count(*) filter (where message <> {s(fixed.MSG_VALID)}) as errors,
+      arg_min(message, coalesce(step, 0)) filter (where message <> {s(fixed.MSG_VALID)}) as first_error from judged group by 1""",
     "validate_model_plan": C.rec(C.MODELS, S.PARSED, PLANS) + "select event_id, plan_status, plan_reason, n_actions, action, target, value from checked",
     "action_policy": C.rec(C.ACTIONS) + f"""select event_id, action, action in {T._lst(fixed.POLICY_ALLOWED)} as allowed,
       case when action in {T._lst(fixed.POLICY_ALLOWED)} then {s(fixed.MSG_ALLOWED)} when action in {T._lst(fixed.POLICY_CONFIRM)}

@@ -123,6 +123,7 @@ MSG_NOT_TEXT_INPUT = "Target is not a text input: "
 MSG_NOT_CLICKABLE = "Target is not clickable: "
 MSG_VALID = "Valid action."
 VALUE_PLACEHOLDER = "USER_PROVIDED_VALUE"
+MSG_PLAN_NOT_LIST = "Action plan is not a list."
 MSG_PLAN_EMPTY = "Action plan is empty."
 
 # Messages of the capability policy.

@@ -63,6 +63,41 @@ def validate_plan(validated: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def raw_plan_steps(plans: DataFrame, elements: DataFrame, keys: list[str]) -> DataFrame:
+    """Plans as they were parsed to judged steps, one row at least for each plan.
+
+    ``plans``(keys, page_id, plan): ``plan`` is an array of variants, null when
+    the answer was no list. A plan that is no list or an empty one has one row
+    without a step; a step that is no object fails as such. Members that are no
+    strings count as blank.
+    """
+    size = F.coalesce(F.size("plan"), F.lit(-1))
+    rows = plans.select(
+        *keys, "page_id",
+        F.when(size < 0, fixed.MSG_PLAN_NOT_LIST).when(size == 0, fixed.MSG_PLAN_EMPTY).alias("_fault"),
+        F.posexplode_outer("plan").alias("_pos", "_item"),
+    )
+    member = lambda name: F.when(F.col("_is_object"), _string(_part(F.col("_item"), name)))
+    steps = rows.withColumn("_is_object", json_kind(F.col("_item")) == "OBJECT").select(
+        *keys, "page_id", "_fault", (F.col("_pos") + 1).cast("bigint").alias("step"), "_is_object",
+        F.coalesce(member("action"), F.lit("")).alias("action"), F.coalesce(member("target"), F.lit("")).alias("target"),
+        member("value").alias("value"),
+    )
+    message = F.coalesce("_fault", F.when(~F.col("_is_object"), fixed.MSG_NOT_OBJECT), "message")
+    judged = validate_action(steps, elements).withColumn("message", message)
+    return judged.select(*keys, "page_id", "step", "action", "target", "message", (message == fixed.MSG_VALID).alias("valid"))
+
+
+def raw_plan_verdicts(judged: DataFrame, keys: list[str]) -> DataFrame:
+    """One verdict for each plan, also where it has no step: valid, steps, errors, first_error."""
+    return judged.groupBy(*keys).agg(
+        F.bool_and("valid").alias("valid"),
+        F.count("step").alias("steps"),
+        F.count_if(~F.col("valid")).alias("errors"),
+        F.min(F.when(~F.col("valid"), F.struct("step", "message")))["message"].alias("first_error"),
+    )
+
+
 # -------------------------------------------------------- model-plan validation
 
 PLAN_STEP = "struct<action:string,target:string,value:string>"

@@ -36,6 +36,19 @@ def validate_plan_errors(spark, sf):
     return O.plan_errors(_validated_plans(spark, sf)).select("task_id", "plan_day", "step", "error")
 
 
+def _raw_plans(spark, sf):
+    """Logged model texts: what stands between the first and the last bracket is the plan."""
+    return O.raw_plan_steps(P.parse_plan_array(D.model_texts(spark, sf)), _elements(spark, sf), ["event_id"])
+
+
+def validate_raw_plan(spark, sf):
+    return O.raw_plan_verdicts(_raw_plans(spark, sf), ["event_id"])
+
+
+def validate_raw_action(spark, sf):
+    return _raw_plans(spark, sf).select("event_id", "step", "valid", "message")
+
+
 def _first_action(actions="plan_actions"):
     first = F.get(actions, F.lit(0))
     return [
@@ -219,6 +232,8 @@ QUERIES = {
     "validate_action": validate_action,
     "validate_plan": validate_plan,
     "validate_plan_errors": validate_plan_errors,
+    "validate_raw_plan": validate_raw_plan,
+    "validate_raw_action": validate_raw_action,
     "validate_model_plan": validate_model_plan,
     "action_policy": action_policy,
     "domain_policy": domain_policy,
