@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagewarden.functions import fixed
 from pagewarden.functions.text import strip
+from pagewarden.sources.answers import first_object_of
 from pagewarden.sources.markup import element_spans_of
 
 _HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
@@ -273,25 +274,8 @@ def parse_plan_object(texts: DataFrame, text: str = "model_text") -> DataFrame:
     bare = F.regexp_replace(bare, r"(?iU)\A```(?:json)?\s*", "")
     bare = F.regexp_replace(bare, r"(?U)\s*```\z", "")
     marked = texts.withColumn("_t", bare).withColumn("_w", whole_json(F.col("_t")))
-    # The parser reads one value and ignores what follows: exactly a raw decode.
-    starts = F.filter(
-        F.transform(F.split("_t", r"\{", -1), lambda part, i: i), lambda i: i > 0
-    )
-    pieces = F.split(F.col("_t"), r"\{", -1)
-    first = F.aggregate(
-        starts,
-        F.lit(None).cast("variant"),
-        lambda found, i: F.coalesce(
-            found,
-            F.try_parse_json(
-                F.concat(
-                    F.lit("{"),
-                    F.array_join(F.slice(pieces, i + 1, F.size(pieces)), "{"),
-                )
-            ),
-        ),
-    )
-    return marked.withColumn("plan", F.when(F.col("_w").isNotNull(), F.col("_w")).otherwise(first)).drop("_t", "_w")
+    first = F.try_parse_json(first_object_of(F.when(F.col("_w").isNull(), F.col("_t"))))
+    return marked.withColumn("plan", F.coalesce("_w", first)).drop("_t", "_w")
 
 
 def html_table_rows(pages: DataFrame) -> DataFrame:
