@@ -107,6 +107,10 @@ SQL = {
     "sink_results": C.rec(C.ACTIONS) + """select task_id,
       coalesce(arg_max(case when event_type = 'error' then 'idle' else event_type end, (ts, event_id)), 'idle') as status,
       arg_max(target, (ts, event_id)) as target from actions group by 1""",
+    "sink_merged": C.rec(C.ACTIONS) + """select task_id, coalesce(arg_max(status, part) filter (where status is not null), 'idle') as status,
+      arg_max(target, part) filter (where target is not null) as target from (
+        select task_id, dayofyear(ts) % 3 as part, target, case when event_type <> 'error' then event_type end as status from actions
+        qualify row_number() over (partition by task_id, dayofyear(ts) % 3 order by ts desc, event_id desc) = 1) group by 1""",
     "prompt_dataset": C.rec(C.FINDINGS, V.CLEAN_ELEMENTS, V.CLEAN_PAGES, C.TASKS) + """,
       js as (select page_id, '[' || string_agg(to_json({'ord': ord, 'type': e.type, 'text': c.text, 'name': c.name, 'value': c.value})::varchar, ',' order by ord) || ']' as j
         from clean_el c join elements e using (page_id, ord) group by 1)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagewarden.functions.staging import work_folder
 from pagewarden.plans import flows
 from pagewarden.sources import derived as D
 from pagewarden.sources import pages as P
+from pagewarden.sources import results
 
 
 def _joined(cells: str = "cells"):
@@ -131,6 +133,27 @@ def prompt_dataset(spark, sf):
     return prompts.select("event_id", "page_id", "prompt")
 
 
+RESULT = "task_id bigint, status string, target string"
+
+
+def sink_merged(spark, sf):
+    """Three writes of overlapping tasks, one repeated, a fold between; read back.
+
+    A write holds what its third of the log says last of each task.
+    """
+    path = work_folder(spark)
+    log = D.actions(spark, sf).withColumn("part", F.dayofyear("ts") % 3)
+    for number in (0, 1, 1, 2):
+        writes = log.filter(F.col("part") == number).select(
+            "task_id", "ts", "event_id", "target", F.when(F.col("event_type") != "error", F.col("event_type")).alias("status")
+        )
+        last = P.last_writes(writes, "task_id", ["ts", "event_id"], ["status", "target"])
+        results.write(last.select("task_id", "status", "target"), path, number, ["task_id"])
+        if number == 1:
+            results.fold(spark, path, RESULT, ["task_id"])
+    return results.read(spark, path, RESULT, ["task_id"]).select("task_id", F.coalesce("status", F.lit("idle")).alias("status"), "target")
+
+
 QUERIES = {
     "scan_page_elements": scan_page_elements,
     "scan_form_elements": scan_form_elements,
@@ -147,5 +170,6 @@ QUERIES = {
     "transaction_lines_fallback": transaction_lines_fallback,
     "transaction_cards_fallback": transaction_cards_fallback,
     "sink_results": sink_results,
+    "sink_merged": sink_merged,
     "prompt_dataset": prompt_dataset,
 }

@@ -352,10 +352,6 @@ def last_writes(writes: DataFrame, key: str, order: list[str], columns: list[str
     return latest.select(key, *[F.col(f"_w.{c}").alias(c) for c in columns])
 
 
-def write_results(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    df.write.mode(mode).format(fmt).save(path)
-
-
 def prompt_rows(tasks: DataFrame, states: DataFrame) -> DataFrame:
     """One prompt per task from its sanitized page state."""
     shaped = states.select(
