@@ -124,7 +124,7 @@ _EXPECTED = C.rec(C.ELEMENTS, LOOP)
 _CYCLES = ", ".join(f"{v} as {n}" for n, v in D.CYCLE_COLUMNS.items())
 POPUP = f"""pc0 as (select * replace (task_id * 100 + day(ts) as task_id) from actions),
   pc1 as (select *, row_number() over (partition by task_id order by ts, event_id) as cycle from pc0),
-  pc2 as (select *, {_CYCLES} from (select * replace (task_id * {D.POPUP_RUNS} + (cycle - 1) // 5 as task_id, (cycle - 1) % 5 + 1 as cycle) from pc1)),
+  pc2 as (select *, {_CYCLES} from (select * replace ((cycle - 1) % 5 + 1 as cycle), (cycle - 1) // 5 as run from pc1)),
   {T.canonical_actions('pc2')},
   pc3 as (select p.*, {popup_reason('p.action', 'c.canonical', 'p.value')} as policy_reason,
     {" or ".join(f"contains(lower(after_text), '{x}')" for x in fixed.SUCCESS_PHRASES)} as shows
@@ -196,10 +196,10 @@ SQL = {
       from sreq left join picked using (page_id, value)""",
     "first_action_per_cycle": C.rec(C.ACTIONS) + """select task_id, cycle, event_id, action, target from (select *, day(ts) as cycle,
       row_number() over (partition by task_id, day(ts) order by ts, event_id) as rn from actions) where rn = 1""",
-    "cycle_status": C.rec(C.ELEMENTS, C.ACTIONS, POPUP) + "select event_id, task_id, cycle, policy_reason, status from pc",
-    "cycle_outcome": C.rec(C.ELEMENTS, C.ACTIONS, POPUP) + """select task_id, coalesce(arg_min(status, cycle) filter (where status <> 'continue'),
+    "cycle_status": C.rec(C.ELEMENTS, C.ACTIONS, POPUP) + "select event_id, task_id, run, cycle, policy_reason, status from pc",
+    "cycle_outcome": C.rec(C.ELEMENTS, C.ACTIONS, POPUP) + """select task_id, run, coalesce(arg_min(status, cycle) filter (where status <> 'continue'),
       case when max(cycle) >= 5 then 'max_cycles' else 'running' end) as status,
-      coalesce(min(cycle) filter (where status <> 'continue'), max(cycle)) as cycle from pc group by 1""",
+      coalesce(min(cycle) filter (where status <> 'continue'), max(cycle)) as cycle from pc group by 1, 2""",
     "task_outcome": C.rec(C.ACTIONS) + f"""select task_id, count(*) filter (where ok) as verified, case when bool_and(ok) and bool_or(completed)
       and (max(intent) <> 'sequence' or count(*) filter (where ok) >= max(n_steps)) then 'completed' else 'failed' end as outcome
       from (select task_id, {", ".join(f"{v} as {n}" for n, v in Q.HISTORY.items())} from actions) group by 1""",

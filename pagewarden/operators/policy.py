@@ -494,15 +494,15 @@ def cycle_status(cycles: DataFrame) -> DataFrame:
     return cycles.withColumn("status", status)
 
 
-def cycle_outcome(cycles: DataFrame) -> DataFrame:
+def cycle_outcome(cycles: DataFrame, keys: tuple[str, ...] = ("task_id",)) -> DataFrame:
     """Terminal status per task: the first cycle that ends it, else the cycle limit."""
     rows = cycle_status(cycles).filter(F.col("cycle") <= fixed.MAX_CYCLES)
-    per_task = rows.groupBy("task_id").agg(
+    per_task = rows.groupBy(*keys).agg(
         F.min(F.when(F.col("status") != "continue", F.struct("cycle", "status"))).alias("end"),
         F.max("cycle").alias("cycles"),
     )
     return per_task.select(
-        "task_id",
+        *keys,
         F.coalesce(
             "end.status", F.when(F.col("cycles") >= fixed.MAX_CYCLES, F.lit("max_cycles")).otherwise("running")
         ).alias("status"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewarden.functions.numbering import number_within
@@ -24,7 +23,7 @@ def validate_action(spark, sf):
 def _validated_plans(spark, sf):
     """A plan is a user's day; steps follow the log."""
     log = D.actions(spark, sf).withColumn("plan_day", F.dayofmonth("ts"))
-    steps = number_within(log, ["task_id", "plan_day"], F.hour("ts"), ["ts", "event_id"], "step")
+    steps = number_within(log, ["task_id", "plan_day"], F.date_trunc("hour", "ts"), ["ts", "event_id"], "step")
     return O.validate_action(steps, _elements(spark, sf))
 
 
@@ -122,9 +121,7 @@ ELAPSED = "5 * step + task_id % 60"
 
 def budget_log(spark, sf):
     """Cycle starts of each task: the log in order, elapsed time by step."""
-    order = W.partitionBy("task_id").orderBy("ts", "event_id")
-    log = D.actions(spark, sf).withColumn("step", F.row_number().over(order))
-    return log.select(
+    return D.numbered_actions(spark, sf).select(
         "task_id", "ts", "event_id", F.expr(ELAPSED).alias("elapsed_s"),
         (F.col("event_type") == "view").alias("is_replan"),
     )
@@ -182,11 +179,11 @@ def _popup_cycles(spark, sf):
 
 
 def cycle_status(spark, sf):
-    return _popup_cycles(spark, sf).select("event_id", "task_id", "cycle", "policy_reason", "status")
+    return _popup_cycles(spark, sf).select("event_id", "task_id", "run", "cycle", "policy_reason", "status")
 
 
 def cycle_outcome(spark, sf):
-    return O.cycle_outcome(_popup_cycles(spark, sf).drop("status"))
+    return O.cycle_outcome(_popup_cycles(spark, sf).drop("status"), ("task_id", "run"))
 
 
 # Verified history of tasks: what each row says about its task.

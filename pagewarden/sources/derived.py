@@ -9,7 +9,6 @@ table grows with its base table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewarden.functions.numbering import number_within
@@ -303,8 +302,9 @@ LOOP_CLICK_VERIFIED = "event_id % 17 <> 0 and event_id % 5 <> 4"
 
 def loop_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a cycle of its user's task."""
-    order = W.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = read_table(spark, sf_dir, "events").withColumn("cycle", F.row_number().over(order))
+    rows = number_within(
+        read_table(spark, sf_dir, "events"), ["user_id"], F.date_trunc("hour", F.col("ts")), ["ts", "event_id"], "place"
+    ).withColumn("cycle", F.col("place").cast("int"))
     return rows.selectExpr(
         "event_id", "user_id as task_id", "user_id as page_id", "ts", "cycle",
         f"{LOOP_TASK} as task", f"{LOOP_PLAN} as model_text", f"{LOOP_ELAPSED} as elapsed_s",
@@ -377,19 +377,12 @@ CYCLE_COLUMNS = {
 }
 
 
-POPUP_RUNS = 1_000_000  # tasks that a (user, day) may have
-
-
 def popup_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cycles as the extension logs them: each run of five events of a (user, day) is a task."""
+    """Cycles as the extension logs them: each run of five events of a (user, day) is a task, (task_id, run)."""
     log = actions(spark, sf_dir).withColumn(
         "task_id", F.expr("task_id * 100 + day(ts)").cast("bigint")
     )
-    place = F.row_number().over(W.partitionBy("task_id").orderBy("ts", "event_id")) - 1
-    ranked = (
-        log.withColumn("_place", place)
-        .withColumn("task_id", (F.col("task_id") * POPUP_RUNS + F.floor(F.col("_place") / 5)).cast("bigint"))
-        .withColumn("cycle", (F.col("_place") % 5 + 1).cast("int"))
-        .drop("_place")
-    )
+    placed = number_within(log, ["task_id"], F.date_trunc("hour", F.col("ts")), ["ts", "event_id"], "_place")
+    before = F.col("_place") - 1
+    ranked = placed.withColumns({"run": F.floor(before / 5), "cycle": (before % 5 + 1).cast("int")}).drop("_place")
     return ranked.withColumns({n: F.expr(v) for n, v in CYCLE_COLUMNS.items()})
