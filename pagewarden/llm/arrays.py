@@ -23,7 +23,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS = {"n": 0, "up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, at least n of each."""
     if _POWERS["n"] < n:
         for key, base in (("up", _BASE), ("down", _INVERSE)):
             steps = np.full(n + 1, np.uint64(base & (2**64 - 1)), np.uint64)
@@ -66,7 +67,7 @@ def runs(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, i
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Running polynomial hash; feed to ``span_hash``."""
-    up, _ = _powers(len(data))
+    up, _ = powers(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_TABLE[data] * up[: len(data)], out=total[1:], dtype=np.uint64)
     return total
@@ -74,7 +75,7 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
 
 def span_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Mixed hash of each byte span; depends on content and length only."""
-    _, down = _powers(len(total) - 1)
+    _, down = powers(len(total) - 1)
     value = (total[end] - total[start]) * down[start]
     return mix(value + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 

@@ -17,13 +17,18 @@ their halves. That test loses nothing.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewarden.llm import arrays
 from pagewarden.llm.common import scratch, words, written
 
+VARIANTS = 200_000  # variants of a task, about
 MIN_WORDS = 5  # shorter lines only count as equal or not: one edit would leave less than 0.8 of them
 
 
@@ -66,6 +71,40 @@ def within(a: list[str], b: list[str], bound: int) -> bool:
     return row.get(len(b), bound + 1) <= bound
 
 
+def neighbourhood(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and hash of each variant: place 0 is the whole line, place i lacks word i.
+
+    ``offsets`` cut ``values`` into lines. Two running sums give the words before
+    and behind each place, so a variant costs the same however long its line is.
+    """
+    size = np.diff(offsets)
+    up, down = arrays.powers(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=total[1:], dtype=np.uint64)
+    row = np.repeat(np.arange(len(size)), size + 1)
+    place = np.arange(len(row)) - np.repeat(offsets[:-1] + np.arange(len(size)), size + 1)
+    first, last = offsets[:-1][row], offsets[1:][row]
+    at = first + np.maximum(place - 1, 0)
+    less = place > 0
+    head = (total[np.where(less, at, last)] - total[first]) * down[first]
+    tail = np.where(less, (total[last] - total[np.minimum(at + 1, last)]) * down[np.minimum(first + 1, len(values))], np.uint64(0))
+    length = (last - first - less).astype(np.uint64)
+    return row, place, arrays.mix(head + tail + length * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        listed = batch.column("v")
+        values = np.asarray(listed.flatten()).view(np.uint64)
+        row, place, key = neighbourhood(values, np.concatenate([[0], np.cumsum(np.asarray(listed.value_lengths()))]).astype(np.int64))
+        for at in range(0, len(row), 50_000):
+            part = slice(at, at + 50_000)
+            own = batch.select(["h1", "h2", "at"]).take(pa.array(row[part]))
+            yield pa.RecordBatch.from_arrays(
+                [*own.columns, pa.array(place[part].astype(np.int32)), pa.array(key[part].view(np.int64))], ["h1", "h2", "at", "place", "v1"]
+            )
+
+
 def _verified(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([within(list(x), list(y), 1) for x, y in zip(a, b)], dtype=bool)
 
@@ -113,13 +152,13 @@ def duplicate_lines(docs: DataFrame, folder: str, min_words: int = MIN_WORDS) ->
     )
     near = near.withColumn("v", _numbers(F.col("w")))
     near = written(near.filter(_pair(F.col("v"))[0] == F.col("h1")).dropDuplicates(["h1", "h2"]), folder, "near")
-    def lacking(i: Column) -> Column:  # place 0 stands for the whole line
-        rest = F.concat(F.slice("v", F.lit(1), F.greatest(i - 1, F.lit(0))), F.slice("v", i + 1, F.size("v")))
-        return F.struct(i.alias("place"), F.xxhash64(rest).alias("v1"))
-
-    neighbourhood = F.transform(F.sequence(F.lit(0), F.size("v")), lacking)
+    # Long lines come spread: a task gets about VARIANTS of them.
+    many = near.agg(F.sum(F.size("v") + 1)).first()[0] or 0
+    kind = dict(near.dtypes)["at"]
     variants = written(
-        near.select("h1", "h2", "at", F.explode(neighbourhood).alias("e")).select("h1", "h2", "at", "e.*"), folder, "variants"
+        near.select("h1", "h2", "at", "v").repartition(max(8, many // VARIANTS))
+        .mapInArrow(_neighbourhoods, f"h1 long, h2 long, at {kind}, place int, v1 long"),
+        folder, "variants",
     )
     least = F.min(F.struct("at", "h1", "h2"))
     by_place = written(variants.groupBy("v1", "place").agg(least.alias("same"), F.count(F.lit(1)).alias("n")), folder, "places")
