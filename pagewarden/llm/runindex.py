@@ -30,8 +30,6 @@ SEED = 32  # bytes of an anchor
 BLOCK = (1 << 20) - 2  # bytes of an index block; sort keys hold 20 bits a rank
 GROUP = 2_500  # contexts of an anchor that one block holds; larger groups are cut finer
 LONG_TEXT = 4 << 20  # windows of a longer text are handled in pieces
-_ANCHORS = "k long, place long, ah long, ch long"
-_CONTEXTS = "ah long, k long, lo long, n long, hot boolean, windows int, bytes binary"
 
 
 def _pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
@@ -82,7 +80,7 @@ def anchor_runs(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, length:
 def _anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            keys = batch.column(0)
             data, offsets = arrays.utf8(batch.column(1))
             for first, last, begin, end in _pieces(offsets, length):
                 starts = np.maximum(offsets[first:last], begin) - begin
@@ -92,7 +90,7 @@ def _anchors(length: int):
                 in_text = lo + begin - offsets[first + row]
                 place = (in_text << 16) | ((hi - lo) << 8) | (anchor - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (keys[first + row], place, seed.view(np.int64), context.view(np.int64))],
+                    [keys.take(pa.array(first + row)), *(pa.array(x) for x in (place, seed.view(np.int64), context.view(np.int64)))],
                     ["k", "place", "ah", "ch"],
                 )
 
@@ -178,14 +176,16 @@ def _marks(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # whole groups, then the rows of the group that is being read
         size, group, opened = 0, None, 0
+        kind = pa.binary()
 
         def emit(rows: list[tuple]):
             spans = block(rows) if rows else []
             yield pa.RecordBatch.from_arrays(
-                [pa.array([s[i] for s in spans], pa.int64()) for i in range(3)], ["k", "start", "end"]
+                [pa.array([s[i] for s in spans], t) for i, t in enumerate((kind, pa.int64(), pa.int64()))], ["k", "start", "end"]
             )
 
         for batch in batches:
+            kind = batch.column("k").type
             columns = [batch.column(c).to_pylist() for c in ("ah", "k", "lo", "windows", "bytes", "n")]
             for row in zip(*columns):
                 if row[0] != group:
@@ -209,7 +209,7 @@ def _windows(length: int):
                 at = np.arange(len(data) - length + 1)
                 value = arrays.span_hash(arrays.prefix_hash(data), at, at + length).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), ah)), pa.array(value), pa.array(np.full(len(at), k)),
+                    [pa.array(np.full(len(at), ah)), pa.array(value), pa.repeat(pa.scalar(k, batch.column("k").type), len(at)),
                      pa.array(at + lo), pa.array(np.full(len(at), n))],
                     ["ah", "w", "k", "start", "n"],
                 )
@@ -228,7 +228,7 @@ def _slices(length: int):
                     row = (w["ah"], k, lo, w["n"], w["hot"], more + 1, data[lo : lo + more + length])
                     for column, value in zip(out, row):
                         column.append(value)
-            types = [pa.int64()] * 4 + [pa.bool_(), pa.int32(), pa.binary()]
+            types = [pa.int64(), batch.column("k").type, pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(out, types)], ["ah", "k", "lo", "n", "hot", "windows", "bytes"]
             )
@@ -242,7 +242,8 @@ def repeated_spans(texts: DataFrame, length: int, folder: str) -> DataFrame:
     ``texts`` has k, a key of the text's content, and text. Each span comes once,
     however many rows share a text.
     """
-    found = written(texts.mapInArrow(_anchors(length), _ANCHORS), folder, "anchors")
+    kind = dict(texts.dtypes)["k"]
+    found = written(texts.mapInArrow(_anchors(length), f"k {kind}, place long, ah long, ch long"), folder, "anchors")
     often = found.groupBy("ah").agg(F.count(F.lit(1)).alias("total")).filter("total > 1").select("ah")
     # Written, so that the join has an exchange of its own on both sides and a hot anchor can be split.
     repeated = written(found.join(written(often, folder, "often"), "ah"), folder, "repeated")
@@ -262,7 +263,9 @@ def repeated_spans(texts: DataFrame, length: int, folder: str) -> DataFrame:
         .groupBy(F.col("at.k").alias("k"))
         .agg(F.collect_list(F.struct("ah", "n", F.col("at.place").alias("place"), (F.col("d") > GROUP).alias("hot"))).alias("wanted"))
     )
-    sliced = texts.join(wanted, "k").mapInArrow(_slices(length), _CONTEXTS)
+    sliced = texts.join(wanted, "k").mapInArrow(
+        _slices(length), f"ah long, k {kind}, lo long, n long, hot boolean, windows int, bytes binary"
+    )
     # Equal texts give the same slices: one of each is kept, before the exchange too.
     sliced = written(
         sliced.groupBy("ah", "k", "lo").agg(*(F.first(c).alias(c) for c in ("n", "hot", "windows", "bytes"))),
@@ -272,10 +275,10 @@ def repeated_spans(texts: DataFrame, length: int, folder: str) -> DataFrame:
     parts = max(8, min(20_000, rows * 300 // (4 << 20)))
     indexed = (
         sliced.filter("not hot").repartition(parts, "ah").sortWithinPartitions("ah", "k", "lo")
-        .mapInArrow(_marks(length), "k long, start long, end long")
+        .mapInArrow(_marks(length), f"k {kind}, start long, end long")
     )
     # The exact way for groups beyond a block: every window counted by its own hash.
-    windows = sliced.filter("hot").mapInArrow(_windows(length), "ah long, w long, k long, start long, n long")
+    windows = sliced.filter("hot").mapInArrow(_windows(length), f"ah long, w long, k {kind}, start long, n long")
     twice = windows.groupBy("ah", "w").agg(F.sum("n").alias("total")).filter("total > 1").select("ah", "w")
     cut = windows.join(twice, ["ah", "w"]).select("k", "start", (F.col("start") + length).alias("end"))
     # Copies of a text give the same spans: they go before the exchange, and a text has no more spans than bytes.
@@ -324,7 +327,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     UTF-8; a null text is empty; texts shorter than ``length`` are returned
     whole; equal texts remove each other entirely; null ids and repeated ids are
     kept apart by their texts; other columns are not looked at. Texts are told
-    apart by 64 bits of their MD5 and all bytes of the match are compared inside
+    apart by all 128 bits of their MD5 and all bytes of the match are compared inside
     index blocks.
     """
     if not SEED <= length <= SEED + 255:
@@ -332,7 +335,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     folder = scratch(docs.sparkSession)
     texts = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")
-    ).withColumn("k", F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 15), 16, 10).cast("long"))
+    ).withColumn("k", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     spans = repeated_spans(texts.filter(F.octet_length("text") >= length).select("k", "text"), length, folder)
     listed = spans.groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("s"))
     joined = texts.join(listed, "k", "left").select("id", "text", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
