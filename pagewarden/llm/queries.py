@@ -55,8 +55,8 @@ def op6_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = curriculum.mixed(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "first_position")
+    rows = curriculum.ordered(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "first_position", "positions")
 
 
 def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
