@@ -37,7 +37,17 @@ TEMPLATES = (
     ("CC-BY", "Licensed under CC BY 4.0."),
     ("CC-BY-SA", "Licensed under CC BY-SA 4.0."),
     ("Proprietary", "All rights reserved."),
+    ("Apache-2.0 OR MIT", "Licensed under MIT or Apache-2.0."),
+    ("Apache-2.0 OR MIT", "Licensed under either of the Apache License, Version 2.0 or the MIT license at your option."),
+    ("GPL-2.0 OR MIT", "Dual licensed under the MIT or GPL Version 2 licenses."),
 )
+# Names as they stand in sentences like these.
+NAMES = (
+    ("MIT", "MIT License"), ("Apache-2.0", "Apache License, Version 2.0"), ("GPL", "GNU General Public License"),
+    ("LGPL", "GNU Lesser General Public License"), ("AGPL", "GNU Affero General Public License"), ("BSD", "BSD License"),
+    ("MPL-2.0", "Mozilla Public License, v. 2.0"),
+)
+SENTENCES = ("Licensed under the {}.", "This project uses the {}.")
 ANCHORS = ("license", "licensed", "licence", "licenced", "copyright", "reserved", "redistribution", "permission", "spdx", "cc")
 MIT_TEXT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
@@ -64,6 +74,7 @@ GPL_HEADER = (
     "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. "
     "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/."
 )
+GNU_FAMILIES = (("GPL", "GNU General"), ("LGPL", "GNU Lesser General"), ("AGPL", "GNU Affero General"))
 MPL_HEADER = (
     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
     "this file, You can obtain one at https://mozilla.org/MPL/2.0/."
@@ -71,7 +82,7 @@ MPL_HEADER = (
 # Headers and full texts; the files stand in license_texts.
 TEXTS = (
     ("MIT", MIT_TEXT[0]), ("MIT", " ".join(MIT_TEXT[:2])), ("MIT", "MIT License " + " ".join(MIT_TEXT)),
-    ("Apache-2.0", APACHE_HEADER), ("GPL", GPL_HEADER), ("GPL", GPL_HEADER.split(" This program is distributed")[0]), ("MPL-2.0", MPL_HEADER),
+    ("Apache-2.0", APACHE_HEADER), ("MPL-2.0", MPL_HEADER),
 )
 FILES = (
     ("Apache-2.0", "Apache-2.0"), ("GPL", "GPL-2"), ("GPL", "GPL-3"), ("LGPL", "LGPL-2.1"), ("LGPL", "LGPL-3"), ("MPL-2.0", "MPL-2.0"),
@@ -80,8 +91,8 @@ FILES = (
 # Families of SPDX identifiers; others count as they are written.
 SPDX = (("AGPL-", "AGPL"), ("LGPL-", "LGPL"), ("GPL-", "GPL"), ("BSD-", "BSD"), ("CC-BY-NC-4", "CC-BY-NC"), ("CC-BY-SA-", "CC-BY-SA"), ("CC-BY-4", "CC-BY"))
 SPDX_LINE = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() \t-]*[A-Za-z0-9.+)])"
-# From "Copyright" and a year or sign to the end of the sentence or line.
-COPYRIGHT = r"(?im)(?:copyright[ \t]*(?:\(c\)|©|:)?|©|\(c\))[ \t]*\d{4}.*?(?=all rights reserved|[.;](?:\s|$)|$)"
+# From "Copyright" and a year or sign to the end of the sentence or line, or to the licence it names.
+COPYRIGHT = r"(?im)(?:copyright[ \t]*(?:\(c\)|©|:)?|©|\(c\))[ \t]*\d{4}.*?(?=all rights reserved|\b(?:dual[ -])?licen[sc]ed\b|\breleased under\b|\bunder the\b|[.;](?:\s|$)|$)"
 _MARK = r"[ \t]*(?://|/\*|\*|#|--|;|%|<!--)"
 _BLANK = r"\n(?:[^\p{L}\p{N}\n]*\n)++"  # a line without letters ends a paragraph, though not a comment
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.-].*)?$"
@@ -101,7 +112,11 @@ _ANCHOR = rf"(?i)(?<![a-z0-9])(?:{'|'.join(ANCHORS)})(?![a-z0-9])"
 
 def templates() -> list[tuple[str, str]]:
     files = [(name, pkgutil.get_data(__package__, f"license_texts/{file}.txt").decode()) for name, file in FILES]
-    return [*TEMPLATES, *TEXTS, *files]
+    named = [(key, sentence.format(name)) for key, name in NAMES for sentence in SENTENCES]
+    gnu = [(key, GPL_HEADER.replace("GNU General", family)) for key, family in GNU_FAMILIES]
+    short = [(key, text.split(" This program is distributed")[0]) for key, text in gnu]
+    first = [(key, text.split(" as published by")[0]) for key, text in gnu]
+    return [*TEMPLATES, *named, *TEXTS, *gnu, *short, *first, *files]
 
 
 def notices(text: Column, whole: Column) -> Column:
@@ -111,7 +126,8 @@ def notices(text: Column, whole: Column) -> Column:
     cut = F.regexp_replace(cut, rf"(?m)^(?!{_MARK})(.*)\n(?={_MARK})", "$1\n\x01")
     parts = F.concat(
         F.split(plain, "\n"), F.split(plain, _BLANK), F.split(cut, r"\x01|\n[ \t\r]*\n"),
-        F.when(whole, F.array(plain)).otherwise(F.array().cast("array<string>")),
+        # A licence file may name its licence in a sentence among others.
+        F.when(whole, F.concat(F.array(plain), F.split(plain, r"(?<=[.!?])\s+"))).otherwise(F.array().cast("array<string>")),
     )
     held = F.filter(F.array_distinct(parts), lambda p: p.rlike(_ANCHOR))
     return F.array_distinct(F.transform(held, lambda p: F.array_join(terms(p), " ")))
@@ -186,10 +202,12 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = rows.withColumn("file", F.substring_index("path", "/", -1)).withColumn("whole", F.coalesce(F.col("file").rlike(LICENSE_FILE), F.lit(False)))
     rows = rows.withColumn("k", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     near = judged(rows, folder, threshold)
+    # Identifiers are read before the join: no text goes through an exchange.
+    rows = rows.withColumn("spdx", identified(F.col("text"))).drop("text")
     found = written(
         rows.join(near, ["k", "whole"], "left").select(
             "id", "path", F.when(F.col("path").isNotNull(), F.substring("path", F.lit(1), F.greatest(slash - 1, F.lit(0)))).alias("dir"),
-            "file", F.array_max(F.array("best", identified(F.col("text")))).alias("own"),
+            "file", F.array_max(F.array("best", "spdx")).alias("own"),
         ),
         folder, "found",
     )
