@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewarden.llm import arrays
-from pagewarden.llm.common import scratch, written
+from pagewarden.llm.common import scratch, unused, written
 
 SHINGLE = 5
 FIRST, DEPTH = 2, 5  # steps before the first size test, and at most
@@ -294,9 +294,10 @@ def text_key(column: str):
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each class; texts without words all stay."""
     found = near_duplicates(docs, **options)
-    gone = found.filter("not first").select(F.col("doc_id").alias("_i"), F.col("k").alias("_k")).distinct()
-    left = docs.withColumn("_key", text_key("text"))
-    kept = left.join(gone, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left_anti")
+    own, i, k = unused(docs, "_key", "_i", "_k")
+    gone = found.filter("not first").select(F.col("doc_id").alias(i), F.col("k").alias(k)).distinct()
+    left = docs.withColumn(own, text_key("text"))
+    kept = left.join(gone, (F.col(own) == F.col(k)) & F.col("doc_id").eqNullSafe(F.col(i)), "left_anti")
     blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     # Repeated rows of a text that stays: one of them.
-    return kept.filter(~blank).dropDuplicates(["_key"]).unionByName(kept.filter(blank)).drop("_key")
+    return kept.filter(~blank).dropDuplicates([own]).unionByName(kept.filter(blank)).drop(own)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import scratch, words, written
+from pagewarden.llm.common import scratch, unused, words, written
 
 SHINGLE = 5
 BLOCKS, WIDTH = 8, 8
@@ -183,5 +183,6 @@ def leaks(
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that leak an item."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_leaky")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_leaky")), "left_anti")
+    (leaky,) = unused(docs, "_leaky")
+    bad = leaks(docs, benchmark).select(F.col("doc_id").alias(leaky)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(leaky)), "left_anti")

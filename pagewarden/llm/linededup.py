@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewarden.llm import arrays
-from pagewarden.llm.common import scratch, words, written
+from pagewarden.llm.common import scratch, unused, words, written
 
 VARIANTS = 200_000  # variants of a task, about
 MIN_WORDS = 5  # shorter lines only count as equal or not: one edit would leave less than 0.8 of them
@@ -191,40 +191,47 @@ def duplicate_lines(docs: DataFrame, folder: str, min_words: int = MIN_WORDS) ->
     return gone.groupBy("id", "k").agg(F.collect_set("line").alias("gone"))
 
 
-def drop_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``_lines``: text, n_lines, n_removed.
+def drop_lines(
+    docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", into: str = "_lines"
+) -> DataFrame:
+    """``docs`` with a struct column ``into``: text, n_lines, n_removed.
 
     A line (between newlines) goes if an earlier line of any document is equal in
     its words or, where both have ``min_words`` words or more, one word edit away.
     Lines without words stay. Null and empty texts have no such line and stay as they are. Null
     ids come last in the order. Rows of one id, or of the null id, are kept apart
     by a 128-bit digest of their text, and stand in its order; rows that repeat
-    both are one document, and keep and lose the same lines. Other columns pass
-    through.
+    both are one document, and keep and lose the same lines. A column that is called
+    ``into`` is replaced; all others pass through.
     """
     folder = scratch(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
     rows = rows.withColumn("k", _key("text"))
-    gone = duplicate_lines(rows, folder, min_words).select(F.col("id").alias("_gone_id"), F.col("k").alias("_gone_k"), F.col("gone").alias("_gone"))
+    gone_id, gone_k, listed, own_k = unused(docs, "_gone_id", "_gone_k", "_gone", "_own_k")
+    gone = duplicate_lines(rows, folder, min_words).select(F.col("id").alias(gone_id), F.col("k").alias(gone_k), F.col("gone").alias(listed))
     split = F.split(F.col(text_col), "\n")
-    none = F.coalesce("_gone", F.array().cast("array<int>"))
+    none = F.coalesce(listed, F.array().cast("array<int>"))
     text = F.when(F.size(none) == 0, F.col(text_col)).otherwise(
         F.array_join(F.filter(split, lambda s, i: ~F.array_contains(none, i)), "\n")
     )
-    own = docs.withColumn("_own_k", _key(F.col(text_col).cast("string")))
-    return own.join(gone, (F.col("_own_k") == F.col("_gone_k")) & F.col(id_col).eqNullSafe(F.col("_gone_id")), "left").withColumn(
-        "_lines",
+    own = docs.withColumn(own_k, _key(F.col(text_col).cast("string")))
+    return own.join(gone, (F.col(own_k) == F.col(gone_k)) & F.col(id_col).eqNullSafe(F.col(gone_id)), "left").withColumn(
+        into,
         F.struct(text.alias("text"), F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.size(none).alias("n_removed")),
-    ).drop("_gone", "_gone_id", "_gone_k", "_own_k")
+    ).drop(gone_id, gone_k, listed, own_k)
 
 
 def without_duplicate_lines(docs: DataFrame) -> DataFrame:
-    """Documents with the lines gone; a document that loses all its words goes too."""
-    out = drop_lines(docs)
-    left = (F.col("_lines.n_removed") == 0) | F.col("_lines.text").rlike(r"[^\x20\x09-\x0D]")
-    return out.filter(left).withColumn("text", F.col("_lines.text")).withColumn(
-        "n_chars", F.when(F.col("_lines.n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    ).select(*docs.columns)
+    """Documents with the lines gone; a document that loses all its words goes too.
+
+    A column n_chars follows the text, where there is one.
+    """
+    (into,) = unused(docs, "_lines")
+    out, lines = drop_lines(docs, into=into), F.col(into)
+    out = out.filter((lines["n_removed"] == 0) | lines["text"].rlike(r"[^\x20\x09-\x0D]")).withColumn("text", lines["text"])
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(lines["n_removed"] > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.drop(into)
 
 
 def brute_force(rows: list[tuple[int, str | None]], min_words: int = MIN_WORDS, by_text: bool = False) -> dict:

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewarden.llm.common import unused
+
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BLANK = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -166,30 +168,33 @@ def fit_from(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     return fit(x, np.array([r["_y"] > 0 for r in rows], float))
 
 
-def judged(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``_quality``: the counts, score, base_failed and kept.
+def judged(docs: DataFrame, trees: Trees, text_col: str = "text", into: str = "_quality") -> DataFrame:
+    """``docs`` with a struct column ``into``: the counts, score, base_failed and kept.
 
     Null, empty and blank texts have no words and fail the base rules. Rows are
-    judged one by one, so ties, repeated rows and other columns change nothing.
+    judged one by one, so ties, repeated rows and other columns change nothing;
+    a column that is called ``into`` is replaced, all others pass through.
     """
+    measured, scored = unused(docs, "_m", "_s")
 
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:
         return pd.Series(trees.score(np.array(list(x), float).reshape(len(x), len(FEATURES))))
 
-    m = F.col("_m")
+    m = F.col(measured)
     failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT * m["n_words"])
     return (
-        docs.withColumn("_m", measures(F.col(text_col)))
-        .withColumn("_s", score(F.col("_m")["x"]))
-        .withColumn("_quality", F.struct(
+        docs.withColumn(measured, measures(F.col(text_col)))
+        .withColumn(scored, score(m["x"]))
+        .withColumn(into, F.struct(
             *(m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
-            failed.alias("base_failed"), (~failed & (F.col("_s") >= KEEP_AT)).alias("kept"), F.col("_s").alias("score"),
+            failed.alias("base_failed"), (~failed & (F.col(scored) >= KEEP_AT)).alias("kept"), F.col(scored).alias("score"),
         ))
-        .drop("_m", "_s")
+        .drop(measured, scored)
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` that pass the base rules and the trees."""
-    return judged(docs, fit_from(docs, labels)).filter("_quality.kept").drop("_quality")
+    (into,) = unused(docs, "_quality")
+    return judged(docs, fit_from(docs, labels), into=into).filter(F.col(into)["kept"]).drop(into)
