@@ -123,6 +123,34 @@ def numbered_findings(findings: DataFrame) -> DataFrame:
     return number_within(findings, ["page_id"], block, FINDING_ORDER, "seq")
 
 
+def inspect_states(states: DataFrame) -> DataFrame:
+    """Numbered findings of rows that hold a page and its elements as an array.
+
+    A page's findings are put in order within its row, so nothing is exchanged,
+    raw values least of all. Elements are taken by their ``ord``, the text last.
+    A null array is a page without elements.
+    """
+    kind = "array<struct<elem_ord:int,field:string,type:string,value:string>>"
+
+    def in_order(a: Column, b: Column) -> Column:
+        return F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)
+
+    def of_element(e: Column) -> Column:
+        return F.transform(
+            element_findings_expr(e.getField),
+            lambda f: F.struct(e["ord"].cast("int").alias("elem_ord"), f["field"], f["type"], f["value"]),
+        ).cast(kind)
+
+    elements = F.coalesce(F.array_sort("elements", in_order), F.array())
+    of_text = F.transform(
+        pii_spans("page_text"),
+        lambda s: F.struct(F.lit(None).cast("int").alias("elem_ord"), F.lit("page_text").alias("field"), s["type"], s["value"]),
+    )
+    listed = F.concat(F.flatten(F.transform(elements, of_element)), F.coalesce(of_text.cast(kind), F.array().cast(kind)))
+    rows = states.select("page_id", F.posexplode_outer(listed).alias("seq", "f")).filter(F.col("f").isNotNull())
+    return rows.select("page_id", (F.col("seq") + 1).cast("long").alias("seq"), "f.elem_ord", "f.field", "f.type", "f.value")
+
+
 def folded_field(name: str, value: Column, findings: Column) -> Column:
     """One field of an element after its findings, applied in order."""
 

@@ -63,8 +63,7 @@ def inspect_text(spark, sf):
 
 
 def inspect_page(spark, sf):
-    found = O.inspect_page(_elements(spark, sf), D.form_pages(spark, sf))
-    return O.numbered_findings(found).select("page_id", "seq", "elem_ord", "field", "type", "value")
+    return O.inspect_states(D.form_states(spark, sf))
 
 
 def sanitize_elements(spark, sf):

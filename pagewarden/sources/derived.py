@@ -157,16 +157,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def form_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captured elements, thirteen per customer page, before any filter."""
-    rows = ", ".join(
+def _form_rows() -> str:
+    return ", ".join(
         f"named_struct('ord', {n}, 'type', '{f[0]}', 'tag', '{f[1]}', 'input_type', '{f[2]}', "
         f"'name', '{f[3]}', 'id', '{f[4]}', 'placeholder', '{f[5]}', 'aria_label', '{f[6]}', "
         f"'text', {f[7]}, 'value', {f[8]})"
         for n, f in enumerate(FORM_FIELDS)
     )
+
+
+def form_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page states: a page with the array of its elements that are visible and have a size."""
+    shown = "(c_custkey + e.ord) % 17 <> 0 and (c_custkey + e.ord) % 13 <> 0"
+    return read_table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey as page_id", f"{PAGE_URL} as url", f"{PAGE_TITLE} as title", f"{PAGE_TEXT} as page_text",
+        f"filter(array({_form_rows()}), e -> {shown}) as elements",
+    )
+
+
+def form_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured elements, thirteen per customer page, before any filter."""
     base = read_table(spark, sf_dir, "customer").selectExpr(
-        "c_custkey as page_id", f"inline(array({rows}))"
+        "c_custkey as page_id", f"inline(array({_form_rows()}))"
     )
     return base.selectExpr(
         "page_id", "ord", "type", "tag", "'' as role", "text", "aria_label",
