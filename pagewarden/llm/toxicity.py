@@ -1,11 +1,15 @@
 """Toxicity by a weighted grammar of finite-state transducers over clauses.
 
-Words become symbols: insult, threat, target, negation, report, other, and the
-clause end. Small transducers follow one thing each (is a target near, is the
-clause negated, is it reported speech); their composition reads a clause and
-emits, for each insult or threat, the pattern it stands in. A text is scored by
-the patterns that its clauses match, with weights learned from labels, so a lone
-word weighs less than one that is aimed at somebody or comes with others.
+A lexical transducer turns words into symbols: insult, threat, target, negation,
+report, intent, other, and the clause end. Followers read a clause from left to
+right and tell, at each word, if a target, a negation or an intent came shortly
+before and if the clause is reported speech; one more reads it from right to left
+and tells if a target comes shortly after. The insult and the threat transducer
+read a word with what the followers say on both of its sides and write the form
+it stands in (a lone insult, one aimed at somebody, a threat that is aimed or
+vowed); negation and report mark that form. Composed, they give every clause its
+set of patterns. A text is scored by its clauses alone, with a weight for each
+pattern learned from labels; no word counts outside its clause.
 """
 
 from __future__ import annotations
@@ -23,30 +27,46 @@ from pagewarden.llm.common import scratch, written
 SAMPLE = 10_000  # labelled rows the stems and weights are learned from, at most
 SHARE, ODDS = 0.03, 8.0  # a learned stem: in this share of toxic texts, and so much likelier there
 STEM, LONGEST = 4, 12  # characters of a stem
-REACH = 4  # words that a target or a negation reaches
+REACH = 4  # words that a target, a negation or an intent reaches
 CUT = 0.3
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
+SYMBOLS = 8
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT, END = range(SYMBOLS)
 
-# Fixed word lists of the grammar.
+# Fixed word lists of the grammar: English, German, French, Spanish. Insults of
+# other languages are learned as stems.
 WORDS = {
     INSULT: ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "imbecile", "fool"),
     THREAT: ("kill", "hurt", "destroy", "beat", "shoot", "stab", "burn", "strangle"),
-    TARGET: ("you", "your", "yours", "he", "she", "they", "him", "her", "them", "this", "that", "these", "those", "who"),
-    NEGATION: ("not", "no", "never", "nor", "neither", "without", "isn't", "aren't", "don't", "doesn't", "wasn't"),
-    REPORT: ("said", "says", "claimed", "claims", "wrote", "reported", "quoted", "alleged", "accused", "called"),
+    TARGET: (
+        "you", "your", "yours", "he", "she", "they", "him", "her", "them", "this", "that", "these", "those", "who",
+        "du", "dich", "dir", "ihr", "euch", "sie", "tu", "toi", "te", "vous", "ils", "elles", "eux", "tú", "ti", "usted", "ustedes", "ellos",
+    ),
+    NEGATION: (
+        "not", "no", "never", "nor", "neither", "without", "isn't", "aren't", "don't", "doesn't", "wasn't",
+        "nicht", "kein", "keine", "nie", "pas", "jamais", "sans", "nunca", "sin",
+    ),
+    REPORT: (
+        "said", "says", "claimed", "claims", "wrote", "reported", "quoted", "alleged", "accused", "called",
+        "sagte", "schrieb", "behauptete", "dit", "écrit", "affirme", "dijo", "escribió", "afirmó",
+    ),
+    INTENT: (
+        "will", "i'll", "we'll", "shall", "gonna", "going", "must", "should", "let's",
+        "werde", "werden", "wollen", "vais", "allons", "voy", "vamos",
+    ),
 }
+ENDINGS = ("s", "es", "ed", "ing", "ly", "'s")  # a listed insult or threat also stands with one of these
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;\n]")
 _ENDS = ".!?;\n"
 
 
 def follower(opens: int, reach: int | None) -> dict[tuple[int, int], tuple[int, bool]]:
-    """Transducer whose output tells if ``opens`` came up to ``reach`` words ago in this clause.
+    """Transducer whose output tells if ``opens`` was read up to ``reach`` words ago in this clause.
 
     State 0 is closed, state n has n words left; None means up to the clause end.
     """
     top = reach or 1
     arcs = {}
-    for state, symbol in product(range(top + 1), range(7)):
+    for state, symbol in product(range(top + 1), range(SYMBOLS)):
         if symbol == opens:
             target = top
         elif symbol == END:
@@ -57,39 +77,65 @@ def follower(opens: int, reach: int | None) -> dict[tuple[int, int], tuple[int,
     return arcs
 
 
-def compose(*machines: dict) -> tuple[list[list[int]], list[list[int]]]:
-    """Product machine: next state and pattern (0 for none) by state and symbol.
-
-    A pattern is 1 + threat + 2 x targeted + 4 x negated + 8 x reported.
-    """
+def compose(*machines: dict) -> tuple[list[list[int]], list[list[tuple[bool, ...]]]]:
+    """Product machine: next state, and the outputs of all machines, by state and symbol."""
     start = (0,) * len(machines)
     number, queue, step, emit = {start: 0}, [start], [], []
     while len(step) < len(queue):
         state = queue[len(step)]
         row, out = [], []
-        for symbol in range(7):
+        for symbol in range(SYMBOLS):
             arcs = [m[s, symbol] for m, s in zip(machines, state)]
             to = tuple(a[0] for a in arcs)
             if to not in number:
                 number[to] = len(queue)
                 queue.append(to)
             row.append(number[to])
-            flags = sum(2 ** (i + 1) * bool(a[1]) for i, a in enumerate(arcs))
-            out.append(1 + (symbol == THREAT) + flags if symbol in (INSULT, THREAT) else 0)
+            out.append(tuple(a[1] for a in arcs))
         step.append(row)
         emit.append(out)
     return step, emit
 
 
-PATTERNS = 17
-STEP, EMIT = compose(follower(TARGET, REACH), follower(NEGATION, REACH), follower(REPORT, None))
+# Forms that the insult and the threat transducer write.
+FORMS = ("insult", "aimed insult", "threat", "aimed threat", "vowed threat")
+PATTERNS = 4 * len(FORMS)
+
+
+def insult(before: bool, after: bool, intent: bool) -> int:
+    """A target on either side makes an insult an aimed one."""
+    return int(before or after)
+
+
+def threat(before: bool, after: bool, intent: bool) -> int:
+    """A threat is aimed at the target after it; with an intent before it, it is vowed."""
+    return 2 + (1 + intent if after else 0)
+
+
+WRITERS = {INSULT: insult, THREAT: threat}
+STEP, SIDE = compose(follower(TARGET, REACH), follower(NEGATION, REACH), follower(REPORT, None), follower(INTENT, REACH))
+BACK, AHEAD = compose(follower(TARGET, REACH))
+
+
+def written_pattern(state: int, symbol: int, after: bool) -> int:
+    """Output of the composed machine: 4 x form + 2 x negated + reported."""
+    before, negated, reported, intent = SIDE[state][symbol]
+    return 4 * WRITERS[symbol](before, after, intent) + 2 * negated + reported
+
+
+# By state, symbol of a match, and what the reading from the right says.
+EMIT = {
+    (state, symbol, after): written_pattern(state, symbol, after)
+    for state, symbol, after in product(range(len(STEP)), WRITERS, (False, True))
+}
 
 
 class Lexicon:
     """Symbol of a word: listed words first, then learned insult stems."""
 
     def __init__(self, stems: tuple[str, ...] = ()):
-        self.words = {w: s for s, words in WORDS.items() for w in words}
+        self.words = {w + e: s for s in WRITERS for w in WORDS[s] for e in ("",) + ENDINGS}
+        self.words.update({w: s for s, words in WORDS.items() for w in words})
         self.stems = stems
         self.heads = {s[:STEM] for s in stems}
 
@@ -113,29 +159,44 @@ def stems_of(counts: dict[str, int]) -> tuple[str, ...]:
     return tuple(sorted(out))
 
 
+def patterns(tokens: list[str], symbols: Lexicon) -> list[list[int]]:
+    """Patterns of the matches of each clause, in order; clauses without words are left out."""
+    tape = [END if t in _ENDS else symbols.get(t) for t in tokens]
+    after, state = [False] * len(tape), 0
+    for at in range(len(tape) - 1, -1, -1):
+        after[at] = AHEAD[state][tape[at]][0]
+        state = BACK[state][tape[at]]
+    clauses, fresh, state = [], True, 0
+    for symbol, ahead in zip(tape, after):
+        if symbol == END:
+            fresh = True
+        else:
+            if fresh:
+                clauses.append([])
+                fresh = False
+            if symbol in WRITERS:
+                clauses[-1].append(EMIT[state, symbol, ahead])
+        state = STEP[state][symbol]
+    return clauses
+
+
+WIDTH = PATTERNS + 7
+
+
 def matches(text: str | None, symbols: Lexicon) -> np.ndarray:
-    """Features of one text: matched patterns, clauses, their densest clause and length."""
+    """Features of one text: clauses by pattern, clauses that match and their share, the densest clause."""
     tokens = _TOKEN.findall((text or "").lower())
-    counts = np.zeros(PATTERNS)
-    clauses = densest = here = state = 0
-    kinds: set[str] = set()
-    if any(symbols.get(t) in (INSULT, THREAT) for t in set(tokens)):
-        for token in tokens:
-            symbol = END if token in _ENDS else symbols.get(token)
-            pattern = EMIT[state][symbol]
-            state = STEP[state][symbol]
-            if pattern:
-                counts[pattern] += 1
-                kinds.add(token)
-                clauses += here == 0
-                here += 1
-                densest = max(densest, here)
-            elif symbol == END:
-                here = 0
-    total = counts.sum()
-    words = max(len(tokens), 1)
-    steps = [float(total >= k) for k in (1, 2, 3, 4)]
-    return np.r_[np.log1p(counts[1:]), steps, np.log1p(clauses), densest, len(kinds), np.log1p(100 * total / words)]
+    out = np.zeros(WIDTH)
+    if any(symbols.get(t) in WRITERS for t in set(tokens)):
+        clauses = patterns(tokens, symbols)
+        found = [c for c in clauses if c]
+        for clause in found:
+            out[list(set(clause))] += 1
+        n = len(found)
+        out[:PATTERNS] = np.log1p(out[:PATTERNS])
+        out[PATTERNS : PATTERNS + 4] = [n >= k for k in (1, 2, 3, 4)]
+        out[PATTERNS + 4 :] = np.log1p(n), max(map(len, found)), np.log1p(100 * n / len(clauses))
+    return out
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,7 +245,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Lex
     # Few rows: each prefix is in that share of the toxic texts of the sample.
     symbols = Lexicon(stems_of({r["stem"]: r["toxic"] for r in often.collect()}))
     data = rows.select("y", features("t", symbols).alias("x")).collect()
-    x = np.array([r["x"] for r in data], float).reshape(len(data), PATTERNS - 1 + 8)
+    x = np.array([r["x"] for r in data], float).reshape(len(data), WIDTH)
     return symbols, fit(x, np.array([r["y"] for r in data], float))
 
 
