@@ -14,6 +14,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +25,7 @@ from pagewarden.llm.common import scratch, written
 ROLL = 4 << 20  # compressed bytes after which an archive is closed
 PIECE = 64 << 10  # bytes fed to zlib at once
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+PAGE, NO_ID = "urn:page:", "<urn:no-page>"
 DATE = "2024-01-01T00:00:00Z"
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 _RECORD = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, digest_ok boolean, payload binary, url string"
@@ -33,16 +35,21 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _urn(page: str | None) -> str:
+    """Record id of a page id, percent-encoded so that any string is one header value."""
+    return NO_ID if page is None else f"<{PAGE}{quote(page, safe='')}>"
+
+
 def record(page: str | None, url: str | None, payload: bytes, refers_to: str | None, revisit: bool) -> bytes:
     """One gzip member: WARC header, HTTP header, and the payload unless it is a revisit."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Date: {DATE}"]
-    head.append(f"WARC-Record-ID: <urn:page:{'' if page is None else page}>")
+    head.append(f"WARC-Record-ID: {_urn(page)}")
     if url is not None:
         head.append("WARC-Target-URI: " + _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url))
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(refers_to)}"]
     head += [f"WARC-Payload-Digest: sha1:{digest(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     member = zlib.compressobj(6, zlib.DEFLATED, 31)
     return member.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + member.flush()
@@ -95,7 +102,11 @@ def parse(head: bytes) -> dict[str, str]:
 
 
 def _page(value: str | None) -> str | None:
-    return (value or "").removeprefix("<urn:page:").removesuffix(">") or None
+    """Page id of a record id; ids of other writers are given as they are, without brackets."""
+    if not value or value == NO_ID:
+        return None
+    inner = value.removeprefix("<").removesuffix(">")
+    return unquote(inner.removeprefix(PAGE)) if inner.startswith(PAGE) else inner
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +146,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     largest page_id is the response; the others revisit it and name it. A null
     html is an empty payload. Rows that repeat the largest page_id are responses
     too; null ids revisit, and are responses where no page of their payload has
-    an id. A null url is left out; other columns are not written.
+    an id. Ids are any strings: blanks, line breaks and empty ones come back. A
+    null url is left out; other columns are not written.
     """
     rows = pages.select(F.col("page_id").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("d", F.sha1(F.encode("html", "UTF-8")))
