@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagewarden.functions import fixed
 from pagewarden.functions.numbering import number_within
 from pagewarden.functions.pii import pii_spans, prefix_sums
+from pagewarden.functions.staging import staged
 from pagewarden.functions.text import let
 from pagewarden.operators.privacy import element_findings_expr
 
@@ -165,7 +166,8 @@ def redaction_plan(element_boxes: DataFrame, regions: DataFrame, sizes: DataFram
     block = F.when(F.col("source_no") == 0, F.floor(F.col("place") / 4096) - (1 << 40)).otherwise(
         F.floor(F.col("place") / (1 << 24))
     )
+    # Read twice by the numbering: for the counts and for the rows. Rectangles hold no raw values.
     return number_within(
-        rects.select("image_id", "source_no", "place", "finding_no", "rect"),
+        staged(rects.select("image_id", "source_no", "place", "finding_no", "rect")),
         ["image_id"], block, ["source_no", "place", "finding_no"], "seq",
     )
