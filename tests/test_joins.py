@@ -30,3 +30,27 @@ def test_numbers_of_one_prefix(spark):
     assert joins.gram_candidates(numbers, hays, ["k"], "n", "h").count() <= 2 * n
     found = joins.rare_contains_join(numbers, hays, ["k"], "n", "h")
     assert found.filter(F.col("h").contains(F.col("n"))).count() == n
+
+
+def test_page_queries_broadcast_nothing(spark):
+    """Elements are many times the rows of their file: no side of a keyed join goes through the driver."""
+    import __spark_entry__
+
+    queries = __spark_entry__.queries()
+    for name in ("verify_select", "verify_type", "select_option", "match_selector", "leak_audit_unprotected", "validate_plan"):
+        plan = queries[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "Broadcast" not in plan, name
+
+
+def test_own_broadcast_limit_comes_back(spark):
+    from pagewarden.session import configure
+
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    own = spark.conf.get(limit)
+    try:
+        spark.conf.set(limit, "256k")
+        for _ in range(2):
+            assert configure(spark, keyed_joins=True).conf.get(limit) == "-1"
+        assert configure(spark).conf.get(limit) == "256k"
+    finally:
+        spark.conf.set(limit, own)
