@@ -54,3 +54,19 @@ def test_own_broadcast_limit_comes_back(spark):
         assert configure(spark).conf.get(limit) == "256k"
     finally:
         spark.conf.set(limit, own)
+
+
+def test_rows_are_dealt_before_they_are_expanded(spark):
+    """One file of one row group: all tasks get a share, and grouping by page or image exchanges nothing more."""
+    import __spark_entry__
+    from pagewarden.sources import derived as D
+
+    sf = "/root/testdata/sf0.001"
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for made in (D.form_elements, D.form_pages, D.form_states, D.form_html, D.ocr_words):
+        assert made(spark, sf).rdd.getNumPartitions() == tasks, made.__name__
+    queries = __spark_entry__.queries()
+    for name in ("ocr_lines", "ocr_page_text", "sanitize_page_text", "privacy_summary"):
+        plan = queries[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        exchanges = [line for line in plan.splitlines() if "Exchange " in line]
+        assert exchanges and all("REPARTITION_BY_NUM" in line for line in exchanges), name
