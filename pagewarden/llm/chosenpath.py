@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewarden.llm import arrays
-from pagewarden.llm.common import scratch, unused, written
+from pagewarden.llm.common import fitted, scratch, unused, written
 
 SHINGLE = 5
 FIRST, DEPTH = 2, 5  # steps before the first size test, and at most
@@ -170,27 +170,27 @@ def _all_sets(texts: list[str | None]):
     return None, None, sets
 
 
-def components(edges: DataFrame, folder: str) -> DataFrame:
+def components(edges: DataFrame, folder: str, rows: int | None = None) -> DataFrame:
     """(set_id, root) of every node of ``edges`` (a, b): smallest node that it reaches.
 
     Labels take the smallest label around, then jump to their label's label. Each
     round is written to the shared folder, and only counts come to the driver.
+    ``rows``, about as many as there are edges, says how many tasks write them.
     """
-    both = written(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(),
-        folder, "edges",
-    )
-    label = written(both.groupBy(F.col("a").alias("set_id")).agg(F.min("b").alias("b")).select("set_id", F.least("set_id", "b").alias("root")), folder, "labels0")
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+    both = written(both if rows is None else fitted(both, rows), folder, "edges")
+    n = both.count()
+    start = both.groupBy(F.col("a").alias("set_id")).agg(F.min("b").alias("b")).select("set_id", F.least("set_id", "b").alias("root"))
+    label = written(fitted(start, n), folder, "labels0")
     turn, moved = 0, 1
     while moved:
         turn += 1
-        around = both.join(label.withColumnRenamed("set_id", "b"), "b").groupBy(F.col("a").alias("set_id")).agg(F.min("root").alias("near"))
-        lower = label.join(around, "set_id").select("set_id", F.col("root").alias("was"), F.least("root", "near").alias("root"))
+        beside = fitted(both.join(label.withColumnRenamed("set_id", "b"), "b").select("a", "root"), n)
+        around = beside.groupBy(F.col("a").alias("set_id")).agg(F.min("root").alias("near"))
+        lower = fitted(label.join(around, "set_id").select("set_id", F.col("root").alias("was"), F.least("root", "near").alias("root")), n)
         jump = label.select(F.col("set_id").alias("root"), F.col("root").alias("far"))
-        label = written(
-            lower.join(jump, "root", "left").select("set_id", "was", F.least("root", F.coalesce("far", "root")).alias("root")),
-            folder, f"labels{turn}",
-        )
+        lower = lower.join(jump, "root", "left").select("set_id", "was", F.least("root", F.coalesce("far", "root")).alias("root"))
+        label = written(fitted(lower, n), folder, f"labels{turn}")
         moved = label.filter("was <> root").limit(1).count()
         label = label.select("set_id", "root")
     return label

@@ -13,8 +13,12 @@ A cluster that fits in a tile is compared in one task. A larger one is dealt to
 blocks, each compared within itself and with ``HUBS`` sets of the cluster, which
 joins what is alike in one pass; then only the bands that still hold several
 components are compared, the sets outside the band's largest component against
-the others. In a tile pairs are taken by falling estimate and skipped once they
-are connected, so that a tile of n sets gives less than n links.
+the others; a pair counts in the first of its bands only. In a tile pairs are
+skipped once they are connected, so that a tile of n sets gives less than n links.
+
+Graphs are kept small: clusters are found among the hubs of bands, each set with
+its smallest hub; a tile's links lead to the smallest member of what it joins; and
+the last links are between components, no longer between sets.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from pagewarden.llm import arrays
 from pagewarden.llm.chosenpath import components, text_key
-from pagewarden.llm.common import scratch, written
+from pagewarden.llm.common import fitted, scratch, written
 
 SHINGLE = 5
 BUCKETS, MANTISSA = 256, 10
@@ -110,55 +114,58 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(ROWS):
             key = arrays.mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, k])
         who = pa.array(np.repeat(np.arange(len(rows)), BANDS))
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), batch.column("set_id").take(who)], ["band", "set_id"])
+        index = pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(rows)))
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), index, batch.column("set_id").take(who)], ["band", "index", "set_id"])
 
 
 def _links(rows: list[tuple], threshold: int) -> list[tuple]:
-    """Links (set_id, set_id) that connect what is alike in a tile; each row is (side, label, set_id, registers, text).
+    """Links that connect what is alike in a tile; each row is (side, label, set_id, index, registers, text).
 
-    Sides other than 0 are compared with every row, rows of side 0 with the others only.
+    Sides other than 0 are compared with every row, rows of side 0 with the others only. ``index`` is
+    that of the band the rows share: pairs that agree in an earlier band are left to it. Without one
+    (below 0) all pairs count. A link is (smallest member, member) of what is joined; members are labels,
+    where rows have them, else set ids.
     """
-    sets = [s for _, part in _sets(pa.array([r[4] for r in rows], pa.string())) for s in part]
+    sets = [s for _, part in _sets(pa.array([r[5] for r in rows], pa.string())) for s in part]
     sizes = np.array([len(s) for s in sets])
-    signs = np.stack([np.frombuffer(r[3], np.uint16) for r in rows])
-    side = np.array([r[0] for r in rows])
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(flat, np.cumsum(sizes)[:-1])
+    marked = np.zeros(len(names), bool)
+    signs = np.stack([np.frombuffer(r[4], np.uint16) for r in rows])
+    side, index = np.array([r[0] for r in rows]), rows[0][3]
     by_chance: dict[int, float] = {}
-    pairs = []
+    members = [r[2] if r[1] is None else r[1] for r in rows]
+    first: dict = {}
+    group = np.array([first.setdefault(m, n) for n, m in enumerate(members)])
+    joined = set()
     for i in np.flatnonzero(side != 0):
-        others = np.flatnonzero((side == 0) | (np.arange(len(rows)) > i))
+        others = np.flatnonzero(((side == 0) | (np.arange(len(rows)) > i)) & (group != group[i]))
         others = others[100 * np.minimum(sizes[others], sizes[i]) >= threshold * np.maximum(sizes[others], sizes[i])]
         level = int(sizes[i]).bit_length()
         if level not in by_chance:
             by_chance[level] = chance(1 << level)
-        near = estimates(signs[i], signs[others], by_chance[level])
-        good = near >= threshold / 100 - SLACK
-        pairs += zip((-near[good]).tolist(), [int(i)] * int(good.sum()), others[good].tolist())
-    group = list(range(len(rows)))
-
-    def find(x: int) -> int:
-        while group[x] != x:
-            group[x] = group[group[x]]
-            x = group[x]
-        return x
-
-    first: dict = {}
-    for n, r in enumerate(rows):
-        if r[1] is not None:
-            group[find(n)] = find(first.setdefault(r[1], n))
-    found = []
-    for _, i, j in sorted(pairs):
-        a, b = find(i), find(j)
-        if a == b:
+        others = others[estimates(signs[i], signs[others], by_chance[level]) >= threshold / 100 - SLACK]
+        if index >= 0:
+            agree = (signs[others] == signs[i])[:, : ROWS * BANDS].reshape(len(others), BANDS, ROWS).all(2)
+            others = others[agree.argmax(1) == index]
+        if not len(others):
             continue
-        shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        if 100 * shared >= threshold * (sizes[i] + sizes[j] - shared):
-            group[a] = b
-            found.append((rows[i][2], rows[j][2]))
-    return found
+        marked[own[i]] = True
+        ends = np.cumsum(sizes[others])
+        shared = np.add.reduceat(marked[np.concatenate([own[j] for j in others])], ends - sizes[others], dtype=np.int64)
+        marked[own[i]] = False
+        for j in others[100 * shared >= threshold * (sizes[others] + sizes[i] - shared)]:
+            if group[i] != group[j]:
+                joined |= {int(i), int(j)}
+                group[group == group[j]] = group[i]
+    alike: dict[int, set] = {}
+    for n in joined:
+        alike.setdefault(int(group[n]), set()).add(members[n])
+    return [(least, x) for some in alike.values() for least in [min(some)] for x in some if x != least]
 
 
 def _tiles(threshold: int):
-    """Rows sorted by tile to confirmed links; each set of a tile counts once."""
+    """Rows sorted by tile to confirmed links; each set of a tile counts once, a tile has one index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(found: list[tuple]):
@@ -167,7 +174,7 @@ def _tiles(threshold: int):
         held, tile = {}, None
         for batch in batches:
             out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("tile", "side", "label", "set_id", "registers", "text"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("tile", "side", "label", "set_id", "index", "registers", "text"))):
                 if row[0] != tile:
                     if len(held) > 1:
                         out += _links(list(held.values()), threshold)
@@ -186,7 +193,7 @@ def _blocks(n: Column) -> Column:
 
 
 def _compared(rows: DataFrame, fetched: DataFrame, threshold: int, folder: str, name: str) -> DataFrame:
-    """Links within the tiles of ``rows`` (tile, side, label, set_id)."""
+    """Links within the tiles of ``rows`` (tile, side, label, set_id, index)."""
     dealt = rows.join(fetched.select("set_id", "registers", "text"), "set_id")
     return written(
         dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(threshold), "a binary, b binary"), folder, name
@@ -216,20 +223,28 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id"
         signed.filter(F.col("size") >= least).groupBy("set_id")
         .agg(F.min("k").alias("k"), F.first("size").alias("size"), F.first("registers").alias("registers"))
     )
-    banded = sets.select("set_id", "registers").mapInArrow(_bands, "band long, set_id binary")
-    shared = banded.groupBy("band").agg(
+    many = signed.count()
+    banded = fitted(sets.select("set_id", "registers"), many).mapInArrow(_bands, "band long, index int, set_id binary")
+    shared = banded.groupBy("band", "index").agg(
         F.count(F.lit(1)).alias("n"), F.min("set_id").alias("hub"),
         F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "set_id")).alias("y"),
     ).filter("n > 1")
-    # Bands with the same members are looked at once.
-    once = shared.groupBy("n", "x", "y", "hub").agg(F.min("band").alias("band"))
-    members = written(banded.join(once.select("band", "hub"), "band"), folder, "members")
-    coarse = components(members.select(F.col("hub").alias("a"), F.col("set_id").alias("b")), folder + "/coarse")
-    fetched = written(
-        texts.select("k", "text").join(sets.join(coarse, "set_id"), "k")
-        .groupBy("set_id").agg(F.first("root").alias("root"), F.first("size").alias("size"), F.first("registers").alias("registers"), F.first("text").alias("text")),
-        folder, "texts",
+    # Bands with the same members are looked at once, at the first.
+    once = shared.groupBy("n", "x", "y", "hub").agg(F.min(F.struct("index", "band")).alias("at"))
+    members = written(
+        fitted(banded.join(once.select("at.band", "at.index", "hub"), ["band", "index"]), many), folder, "members"
     )
+    # At most BANDS hubs for a set; a hub is one of its own.
+    hubs = written(fitted(members.groupBy("set_id").agg(F.sort_array(F.collect_set("hub")).alias("hubs")), many), folder, "hubs")
+    least_hub = F.get("hubs", F.lit(0))
+    tops = components(hubs.select(least_hub.alias("a"), F.explode("hubs").alias("b")), folder + "/coarse", many)
+    coarse = hubs.select("set_id", least_hub.alias("hub")).join(tops.withColumnRenamed("set_id", "hub"), "hub", "left").select(
+        "set_id", F.coalesce("root", "hub").alias("root")
+    )
+    found = texts.select("k", "text").join(sets.join(coarse, "set_id"), "k").groupBy("set_id").agg(
+        F.first("root").alias("root"), F.first("size").alias("size"), F.first("registers").alias("registers"), F.first("text").alias("text")
+    )
+    fetched = written(fitted(found, many), folder, "texts")
     placed = fetched.select("set_id", "root", "size")
     clusters = placed.groupBy("root").agg(
         F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"),
@@ -243,13 +258,15 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id"
         tile("root", F.col("block")).alias("tile"), F.lit(1).alias("side"), F.explode("hubs").alias("set_id")
     )
     none = F.lit(None).cast("binary").alias("label")
-    links = _compared(own.unionByName(hubs).select("tile", "side", none, "set_id"), fetched, threshold, folder, "links")
-    large = written(clusters.filter("blocks > 1").select("root"), folder, "large")
-    if not large.isEmpty():
-        links = links.unionByName(_rest(members, placed.join(large, "root"), fetched, links, threshold, folder, tile))
-    roots = components(links, folder + "/fine")
+    links = _compared(own.unionByName(hubs).select("tile", "side", none, "set_id", F.lit(-1).alias("index")), fetched, threshold, folder, "links")
+    roots = components(links, folder + "/between", many)
     per_set = signed.filter("size > 0").groupBy("set_id").agg(F.min("id").alias("least"))
     labelled = per_set.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    large = written(fitted(clusters.filter("blocks > 1").select("root"), many), folder, "large")
+    if not large.isEmpty():
+        rest = _rest(members, placed.join(large, "root"), fetched, roots, threshold, folder, tile, many)
+        tops = components(rest, folder + "/fine", many).select(F.col("set_id").alias("root"), F.col("root").alias("top"))
+        labelled = labelled.join(tops, "root", "left").select("set_id", "least", F.coalesce("top", "root").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     facts = labelled.join(smallest, "root").select("set_id", "component_id")
     out = signed.select("id", "set_id", "size").join(facts, "set_id", "left")
@@ -259,30 +276,31 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id"
     )
 
 
-def _rest(members, placed, fetched, links, threshold, folder, tile) -> DataFrame:
-    """Links between components that share a band, in clusters beyond a tile.
+def _rest(members, placed, fetched, roots, threshold, folder, tile, many) -> DataFrame:
+    """Links (root, root) between components that share a band, in clusters beyond a tile.
 
     The sets outside a band's largest component are compared with all its sets.
     """
-    roots = components(links, folder + "/between")
     label = placed.select("set_id").join(roots, "set_id", "left").select("set_id", F.coalesce("root", "set_id").alias("label"))
-    held = written(members.select("band", "set_id").join(label, "set_id"), folder, "held")
-    sizes = held.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("band").agg(
+    held = written(fitted(members.select("band", "index", "set_id").join(label, "set_id"), many), folder, "held")
+    sizes = held.groupBy("band", "index", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("band", "index").agg(
         F.sum("n").alias("n"), F.max(F.struct("n", "label"))["label"].alias("most"), F.max("n").alias("top")
-    ).filter("n > top").select("band", "most", _blocks(F.col("n")).alias("blocks"), _blocks(F.col("n") - F.col("top")).alias("odd"))
-    rows = held.join(mixed, "band")
+    ).filter("n > top").select("band", "index", "most", _blocks(F.col("n")).alias("blocks"), _blocks(F.col("n") - F.col("top")).alias("odd"))
+    rows = held.join(mixed, ["band", "index"])
     outside = F.col("label") != F.col("most")
+    one = (F.col("blocks") == 1) & (F.col("odd") == 1)  # a set comes once into a band's only tile
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = rows.filter(outside).select(
-        "band", "set_id", "label", F.pmod(F.xxhash64("set_id"), F.col("odd")).alias("i"), upto(F.col("blocks")).alias("j")
+    left = rows.filter(outside & ~one).select(
+        "band", "index", "set_id", "label", F.pmod(F.xxhash64("set_id"), F.col("odd")).alias("i"), upto(F.col("blocks")).alias("j"), F.lit(1).alias("side")
     )
     right = rows.select(
-        "band", "set_id", "label", upto(F.col("odd")).alias("i"), F.pmod(F.xxhash64("set_id"), F.col("blocks")).alias("j")
+        "band", "index", "set_id", "label", upto(F.col("odd")).alias("i"), F.pmod(F.xxhash64("set_id"), F.col("blocks")).alias("j"),
+        F.when(outside & one, 1).otherwise(0).alias("side"),
     )
-    dealt = left.withColumn("side", F.lit(1)).unionByName(right.withColumn("side", F.lit(0)))
+    dealt = left.unionByName(right)
     return _compared(
-        dealt.select(tile(F.col("band"), F.col("i"), F.col("j")).alias("tile"), "side", "label", "set_id"),
+        dealt.select(tile(F.col("band"), F.col("index"), F.col("i"), F.col("j")).alias("tile"), "side", "label", "set_id", "index"),
         fetched, threshold, folder, "rest",
     )
 

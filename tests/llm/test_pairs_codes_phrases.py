@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
@@ -140,3 +141,42 @@ def test_phrases_of_nothing(spark):
 def test_query(spark, name):
     assert name in entry.queries()
     assert harness.compare(spark, harness.connect(FOLDER), name, FOLDER) == ""
+
+
+def test_a_pair_is_confirmed_in_its_first_band_only():
+    rng = random.Random(7)
+    base = words(rng, 150)
+    texts = [" ".join(base), " ".join(base[:-1] + ["end"])]
+    sets = [s for _, part in hyperminhash._sets(pa.array(texts)) for s in part]
+    signs = [hyperminhash.registers(s) for s in sets]
+    same = (signs[0] == signs[1])[: hyperminhash.ROWS * hyperminhash.BANDS].reshape(hyperminhash.BANDS, hyperminhash.ROWS).all(1)
+    at = np.flatnonzero(same)
+    assert len(at) > 1
+    found = {
+        k: hyperminhash._links([(1, None, b"%d" % n, k, s.tobytes(), t) for n, (s, t) in enumerate(zip(signs, texts))], 85)
+        for k in [-1, *at.tolist()]
+    }
+    assert {k for k, links in found.items() if links} == {-1, at[0]}
+
+
+def test_links_of_a_tile_lead_to_the_smallest_member():
+    text = " ".join(words(random.Random(8), 200))
+    texts = [text + f" tail{n}" for n in range(9)]
+    signs = [hyperminhash.registers(s) for _, part in hyperminhash._sets(pa.array(texts)) for s in part]
+    rows = [(1, None, b"%d" % (8 - n), -1, s.tobytes(), t) for n, (s, t) in enumerate(zip(signs, texts))]
+    assert sorted(hyperminhash._links(rows, 85)) == [(b"0", b"%d" % n) for n in range(1, 9)]
+    labelled = [(1, b"ab"[n % 2 : n % 2 + 1], *r[2:]) for n, r in enumerate(rows)]
+    assert hyperminhash._links(labelled, 85) == [(b"a", b"b")]
+
+
+def test_a_cluster_graph_has_the_hubs_of_bands_only(spark, near, monkeypatch):
+    seen = {}
+    plain = hyperminhash.components
+
+    def counted(edges, folder, *more):
+        seen[folder.rsplit("/", 1)[1]] = edges.filter("a <> b").distinct().count()
+        return plain(edges, folder, *more)
+
+    monkeypatch.setattr(hyperminhash, "components", counted)
+    hyperminhash.near_duplicates(spark.createDataFrame(near, DOCS)).collect()
+    assert seen["coarse"] < 200  # 150 sets of one group have some 4,000 links to the hubs of their bands
