@@ -26,7 +26,8 @@ def inspect_batch(spark, sf):
 
 
 def agent_decision_batch(spark, sf):
-    rows = flows.agent_decisions(D.model_texts(spark, sf), context_elements(spark, sf))
+    asked = D.model_texts(spark, sf)
+    rows = flows.agent_decisions(asked, context_elements(spark, sf, asked))
     return rows.select("event_id", "success", "error", "status", "reason", *_first_action("actions"))
 
 
