@@ -160,17 +160,19 @@ def duplicate_lines(docs: DataFrame, folder: str, min_words: int = MIN_WORDS) ->
         .mapInArrow(_neighbourhoods, f"h1 long, h2 long, at {kind}, place int, v1 long"),
         folder, "variants",
     )
+    # Most variants are met by no other: they are counted by their hash alone, and the rest goes no further.
+    twice = variants.groupBy("v1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("v1")
+    variants = written(variants.join(twice, "v1", "left_semi"), folder, "met")
     least = F.min(F.struct("at", "h1", "h2"))
-    by_place = written(variants.groupBy("v1", "place").agg(least.alias("same"), F.count(F.lit(1)).alias("n")), folder, "places")
+    by_place = written(variants.groupBy("v1", "place").agg(least.alias("same")), folder, "places")
     by_variant = written(
         by_place.groupBy("v1").agg(
             F.min(F.when(F.col("place") == 0, F.col("same"))).alias("whole"),
             F.min(F.when(F.col("place") > 0, F.col("same"))).alias("less"),
-            F.sum("n").alias("n"),
-        ).filter("n > 1").drop("n"),
+        ),
         folder, "shared",
     )
-    met = variants.join(by_variant, ["v1"]).join(by_place.drop("n"), ["v1", "place"])
+    met = variants.join(by_variant, ["v1"]).join(by_place, ["v1", "place"])
     partner = F.when(F.col("place") == 0, F.col("less")).otherwise(F.least("same", "whole"))
     pairs = (
         met.withColumn("p", partner).filter(F.col("p.at") < F.col("at"))
