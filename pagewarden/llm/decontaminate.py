@@ -27,7 +27,8 @@ SHINGLE = 5
 BLOCKS, WIDTH = 8, 8
 RADIUS = 20  # similarity 0.8 differs in about 10 of 64 bits; 20 is 3.5 deviations more
 SLACK = 2
-BROADCAST_ROWS = 200_000  # item shingles of 16 bytes that may be sent to every task
+BROADCAST_ROWS = 200_000  # item shingles of 16 bytes, or entries of items, that may be sent to every task
+BROADCAST_KEYS = 1_000_000  # hashes of texts with windows that may be sent to every task
 
 
 def shingles(w: Column, length: int = SHINGLE) -> Column:
@@ -154,8 +155,12 @@ def leaks(
         .groupBy("id", "key").agg(F.collect_list(F.struct("n", "start")).alias("windows"))
     )
     windows = written(windows, folder, "windows")
-    own = texts.withColumn("key", F.xxhash64(F.array_join("w", " "))).alias("t")
-    asked = windows.alias("q")
+    own = texts.withColumn("key", F.xxhash64(F.array_join("w", " ")))
+    # Texts without windows stay where they are: only the others meet their windows.
+    keys = windows.select("key").distinct()
+    if windows.count() <= BROADCAST_KEYS:
+        own = own.join(F.broadcast(keys), "key", "left_semi")
+    own, asked = own.alias("t"), windows.alias("q")
     cut = own.join(asked, (F.col("t.key") == F.col("q.key")) & F.col("t.id").eqNullSafe(F.col("q.id"))).select(
         F.col("t.id").alias("id"), F.col("t.key").alias("key"), "w", F.explode("windows").alias("win")
     )
@@ -164,18 +169,24 @@ def leaks(
         .withColumn("window_hash", simhash(F.col("window"))),
         folder, "prints",
     )
+    # Fingerprints meet by themselves; the lists of hashes come back for pairs within the radius.
     flips = [m for m in range(1 << WIDTH) if m.bit_count() <= radius // BLOCKS]
-    entered = items.select("item_id", "n", "item", "item_hash", F.explode(blocks_of(F.col("item_hash"))).alias("b")).select(
-        "item_id", "n", "item", "item_hash", "b.block",
+    entered = items.select("item_id", "n", "item_hash").distinct().select("*", F.explode(blocks_of(F.col("item_hash"))).alias("b")).select(
+        "item_id", "n", "item_hash", "b.block",
         F.explode(F.transform(F.array(*(F.lit(m).cast("bigint") for m in flips)), lambda m: m.bitwiseXOR(F.col("b.value")))).alias("value"),
     )
+    # An entry is many times the size that is estimated from the items.
+    few = items.count() * BLOCKS * len(flips) <= BROADCAST_ROWS
     met = (
-        prints.select("id", "key", "n", "start", "window", "window_hash", F.explode(blocks_of(F.col("window_hash"))).alias("b"))
-        .select("id", "key", "n", "start", "window", "window_hash", "b.block", "b.value")
-        .join(entered, ["n", "block", "value"])
+        prints.select("n", "window_hash").distinct().select("*", F.explode(blocks_of(F.col("window_hash"))).alias("b"))
+        .select("n", "window_hash", "b.block", "b.value")
+        .join(F.broadcast(entered) if few else entered.hint("merge"), ["n", "block", "value"])
     )
     within = F.bit_count(F.col("window_hash").bitwiseXOR(F.col("item_hash"))) <= radius
-    candidates = met.filter(within).groupBy("id", "key", "n", "start", "item_id").agg(F.first("window").alias("window"), F.first("item").alias("item"))
+    pairs = met.filter(within).select("n", "window_hash", "item_id", "item_hash").distinct()
+    listed = items.select("item", F.col("item_id").alias("_item"), F.col("n").alias("_n"), F.col("item_hash").alias("_hash")).distinct()
+    same = F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("n") == F.col("_n")) & (F.col("item_hash") == F.col("_hash"))
+    candidates = prints.join(pairs.join(listed, same).drop("_item", "_n", "_hash"), ["n", "window_hash"])
     found = candidates.withColumn("similarity", similarity(F.col("window"), F.col("item"))).filter(F.col("similarity") >= threshold)
     best = found.groupBy("id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("b"))
     return best.select(F.col("id").alias(id_col), "item_id", (-F.col("b.back")).alias("start"), F.col("b.similarity").alias("similarity"))
